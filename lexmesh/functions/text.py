@@ -82,9 +82,12 @@ def split_key(key) -> tuple[Column, Column]:
 
 
 def capitalize(word) -> Column:
-    """Python ``str.capitalize``: first character upper, rest lower."""
+    """Python ``str.capitalize``: first character title-cased, rest lower.
+    Title case differs from upper case for a leading ``ß`` (-> ``Ss``)."""
     w = _c(word)
-    return F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1 << 30)))
+    first = F.substring(w, 1, 1)
+    head = F.when(first == "ß", F.lit("Ss")).otherwise(F.upper(first))
+    return F.concat(head, F.lower(F.substring(w, 2, 1 << 30)))
 
 
 @lru_cache(maxsize=None)

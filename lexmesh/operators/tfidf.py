@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmesh.operators.util import global_row_number
+from lexmesh.session import materialize
 
 
 def term_frequency(tokens: DataFrame, id_col: str = "doc_id", col: str = "word") -> DataFrame:
@@ -58,6 +59,8 @@ def fit_tfidf(tokens: DataFrame, docs: DataFrame, min_df=5, max_df=0.95,
     dfs = document_frequency(term_frequency(tokens, id_col, col), col)
     lo, hi = df_bounds(min_df, max_df, n)
     keep = (F.col("df") >= lo) & (F.col("df") <= hi)
+    # written once: the vocabulary is reused by transform, pruning and indexing
+    dfs = materialize(dfs)
     vocab = (dfs.where(keep)
                 .withColumn("idf", F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + 1.0))
     pruned = dfs.where(~keep).select(col)

@@ -91,6 +91,81 @@ def polarity_lexicon(spark: SparkSession, sf_dir: str, wv=None) -> DataFrame:
                      weight.alias("weight"))
 
 
+def surface_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Letter tokens as written (no lower-casing): the analyzer's input."""
+    return tokenize(docs(spark, sf_dir), mode="letters", lower=False)
+
+
+def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Annotation table for every distinct surface form of the corpus."""
+    from lexmesh.operators.tokens import derive_annotations
+    surfaces = surface_tokens(spark, sf_dir).select(F.col("word").alias("surface")).distinct()
+    return derive_annotations(surfaces)
+
+
+def analyzed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P7 -> P8 -> P9 -> J6 over the corpus: ``(doc_id, tok_pos, ..., word)``."""
+    from lexmesh.operators.tokens import analyze, stopword_list
+    return analyze(docs(spark, sf_dir), annotations(spark, sf_dir), stopword_list(spark))
+
+
+def sql_stopwords() -> str:
+    from lexmesh.functions.text import german_stopwords
+    words = list(german_stopwords()) + [" ", ""]
+    return "SELECT unnest([" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]) AS word"
+
+
+def sql_analyzer_ctes() -> dict:
+    from lexmesh.functions.text import LEMMA_PUNCT
+    punct = LEMMA_PUNCT.replace("'", "''")
+    return {
+        "raw_toks": (
+            "SELECT doc_id, word AS surface FROM (SELECT doc_id, "
+            "unnest(regexp_split_to_array(text, '[^\\p{L}]+')) AS word FROM documents) "
+            "WHERE word <> ''"),
+        "annotated": (
+            "SELECT doc_id, surface, surface AS lemma, "
+            "['ADJ', 'ADV', 'NOUN', 'VERB', 'OTHER'][(u % 5) + 1] AS upos, "
+            "CASE WHEN u % 50 = 0 THEN 'PER' WHEN u % 50 = 1 THEN 'LOC' END AS ent_type "
+            "FROM (SELECT doc_id, surface, ('0x' || substr(md5(surface), 1, 8))::BIGINT AS u "
+            "FROM raw_toks)"),
+        "filtered": ("SELECT * FROM annotated WHERE upos IN ('ADJ', 'ADV', 'NOUN', 'VERB') "
+                     "AND coalesce(ent_type, '') NOT IN ('PER', 'LOC')"),
+        "normalized": (
+            "SELECT doc_id, surface, upos, CASE WHEN upos = 'NOUN' THEN "
+            "(CASE WHEN substr(l, 1, 1) = 'ß' THEN 'Ss' ELSE upper(substr(l, 1, 1)) END) "
+            "|| lower(substr(l, 2)) ELSE lower(l) END AS word FROM "
+            f"(SELECT doc_id, surface, upos, regexp_replace(lemma, '{punct}', '', 'g') AS l "
+            "FROM filtered)"),
+        "normalized_ok": ("SELECT * FROM normalized WHERE NOT contains(word, 'xcx') AND "
+                          "NOT contains(word, 'Xcx') AND NOT contains(word, '5')"),
+        "stopwords": sql_stopwords(),
+        "analyzed": ("SELECT doc_id, word FROM normalized_ok "
+                     "WHERE word NOT IN (SELECT word FROM stopwords)"),
+        "tf": "SELECT doc_id, word, count(*) AS tf FROM analyzed GROUP BY doc_id, word",
+        "dfs": "SELECT word, count(*) AS df FROM tf GROUP BY word",
+        "n_docs": "SELECT count(*) AS n FROM documents",
+        "vocab": ("SELECT word, df, ln((1 + n) / (1 + df)) + 1 AS idf FROM dfs, n_docs "
+                  "WHERE df >= 5 AND df <= 0.95 * n"),
+        "tfidf": ("SELECT doc_id, word, tf, x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)) "
+                  "AS weight FROM (SELECT t.doc_id, t.word, t.tf, t.tf * v.idf AS x "
+                  "FROM tf t JOIN vocab v ON v.word = t.word)"),
+        "top3": ("SELECT doc_id, word, weight, rnk, weight / sum(weight) OVER (PARTITION BY doc_id) "
+                 "AS norm_weight FROM (SELECT doc_id, word, weight, row_number() OVER "
+                 "(PARTITION BY doc_id ORDER BY weight DESC, word DESC) AS rnk FROM tfidf "
+                 "WHERE word IN (SELECT word FROM word_vectors)) WHERE rnk <= 3"),
+        "docvec_elems": (
+            "SELECT t.doc_id, i, sum(t.norm_weight * x) AS value FROM top3 t JOIN "
+            "(SELECT word, unnest(vec) AS x, unnest(generate_series(0, len(vec) - 1)) AS i "
+            "FROM word_vectors) w ON w.word = t.word GROUP BY t.doc_id, i"),
+        "dim": "SELECT max(len(vec)) AS dim FROM word_vectors",
+        "docvec": (
+            "SELECT d.doc_id, p.i AS pos, coalesce(e.value, 0.0) AS value FROM documents d "
+            "JOIN (SELECT unnest(generate_series(0, dim - 1)) AS i FROM dim) p ON true "
+            "LEFT JOIN docvec_elems e ON e.doc_id = d.doc_id AND e.i = p.i"),
+    }
+
+
 # --- DuckDB forms -----------------------------------------------------------
 
 _WEIGHT_CASE = "CASE label " + " ".join(
@@ -136,7 +211,8 @@ SQL_FIXTURES = {
 def with_fixtures(body: str, extra_ctes: str = "") -> str:
     """Prefix a query with every fixture CTE (DuckDB ignores unused ones)
     and with ``extra_ctes`` (``name AS (...)`` items, comma separated)."""
-    parts = ",\n".join(f"{k} AS ({v})" for k, v in SQL_FIXTURES.items())
+    ctes = {**SQL_FIXTURES, **sql_analyzer_ctes()}
+    parts = ",\n".join(f"{k} AS ({v})" for k, v in ctes.items())
     if extra_ctes.strip():
         parts += ",\n" + extra_ctes.strip().rstrip(",")
     return f"WITH {parts}\n{body}"
