@@ -43,3 +43,114 @@ def q_doc_polarity_allwords(spark, sf_dir):
     """Flagship: scaled all-words document polarity over the whole corpus."""
     _, out = fit_doc_scaling(spark, sf_dir)
     return out.select("doc_id", F.round("polarity", 6).alias("polarity"))
+
+
+# --- text cleaning (F1, F2) ------------------------------------------------------
+
+from lexmesh.functions.rules import DEFAULT_RULES, sql_clean_expr, sql_remove_urls  # noqa: E402
+from lexmesh.functions.text import apply_rules, remove_urls  # noqa: E402
+
+
+@register("remove_urls", sql=(
+    f"SELECT page_id, md5(c) AS cleaned_md5, length(c) AS n_chars FROM "
+    f"(SELECT page_id, {sql_remove_urls('html')} AS c FROM pages)"))
+def q_remove_urls(spark, d):
+    pages = fx.table(spark, d, "pages")
+    c = remove_urls(F.col("html"))
+    return pages.select("page_id", F.md5(c).alias("cleaned_md5"), F.length(c).alias("n_chars"))
+
+
+@register("clean_text", sql=(
+    f"SELECT doc_id, md5(c) AS cleaned_md5, length(c) AS n_chars FROM "
+    f"(SELECT doc_id, {sql_clean_expr('CAST(text AS VARCHAR)')} AS c FROM documents)"))
+def q_clean_text(spark, d):
+    docs = fx.table(spark, d, "documents")
+    c = apply_rules(F.col("text").cast("string"), DEFAULT_RULES)
+    return docs.select("doc_id", F.md5(c).alias("cleaned_md5"), F.length(c).alias("n_chars"))
+
+
+# --- word / vector scores, scalers ---------------------------------------------------
+
+_SCALED_WORDS = "SELECT word, round((pol - m) / CASE WHEN sd = 0 THEN 1 ELSE sd END, 6) AS polarity FROM word_pol, stats"
+
+
+@register("word_polarity", sql=_sql(_SCALED_WORDS, _RAW_ALLWORDS))
+def q_word_polarity(spark, d):
+    """Scaled polarity of every word with a vector."""
+    model, _ = fit_doc_scaling(spark, d)
+    out = model.predict_words(model.word_vectors.select("word"))
+    return out.select("word", F.round("polarity", 6).alias("polarity"))
+
+
+@register("vector_polarity", sql=_sql(
+    "SELECT vec_id, round((s - m) / CASE WHEN sd = 0 THEN 1 ELSE sd END, 6) AS polarity FROM "
+    "(SELECT vec_id, sum(x / nrm * a) AS s FROM (SELECT vec_id, unnest(v) AS x, "
+    "unnest(generate_series(1, len(v))) AS i, sqrt(list_sum(list_transform(v, lambda y: y * y))) AS nrm "
+    "FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)) JOIN axis USING (i) "
+    "GROUP BY vec_id), stats", _RAW_ALLWORDS))
+def q_vector_polarity(spark, d):
+    """Scaled polarity of every row of ``embeddings`` as a raw vector (A10)."""
+    model, _ = fit_doc_scaling(spark, d)
+    vecs = fx.table(spark, d, "embeddings").select(
+        "vec_id", F.col("embedding").cast("array<double>").alias("vec"))
+    return model.predict_vectors(vecs).select("vec_id", F.round("polarity", 6).alias("polarity"))
+
+
+@register("fit_scaler", sql=_sql(
+    "SELECT 'standard' AS kind, round(m, 6) AS center, round(sd, 6) AS scale FROM stats "
+    "UNION ALL SELECT 'minmax', round(min(s), 6), round(max(s) - min(s), 6) FROM raw "
+    "WHERE s IS NOT NULL", _RAW_ALLWORDS))
+def q_fit_scaler(spark, d):
+    model, _ = fit_doc_scaling(spark, d)
+    raw = model.extras["training_scores"]
+    rows = [fit_scaler(raw, kind=k) for k in ("standard", "minmax")]
+    frame = rows[0].as_frame(spark).unionByName(rows[1].as_frame(spark))
+    return frame.select("kind", F.round("center", 6).alias("center"),
+                        F.round("scale", 6).alias("scale"))
+
+
+@register("scale_scores", sql=_sql(
+    "SELECT doc_id, round((s - mn) / CASE WHEN mx = mn THEN 1 ELSE mx - mn END, 6) AS polarity "
+    "FROM raw, (SELECT min(s) AS mn, max(s) AS mx FROM raw)", _RAW_ALLWORDS))
+def q_scale_scores(spark, d):
+    """Min-max scaled all-words document polarity (F6 with a minmax scaler)."""
+    _, out = fit_doc_scaling(spark, d, scaler="minmax")
+    return out.select("doc_id", F.round("polarity", 6).alias("polarity"))
+
+
+@register("custom_scaler", sql=_sql(
+    "SELECT doc_id, round((s - med) / CASE WHEN iqr = 0 THEN 1 ELSE iqr END, 6) AS polarity FROM raw, "
+    "(SELECT quantile_cont(s, 0.5) AS med, quantile_cont(s, 0.75) - quantile_cont(s, 0.25) AS iqr "
+    "FROM raw WHERE s IS NOT NULL)", _RAW_ALLWORDS))
+def q_custom_scaler(spark, d):
+    """A user-supplied scaler (X1): median / inter-quartile range."""
+    def robust(scores):
+        return (F.percentile("polarity", 0.5),
+                F.percentile("polarity", 0.75) - F.percentile("polarity", 0.25))
+    _, out = fit_doc_scaling(spark, d, scaler=robust)
+    return out.select("doc_id", F.round("polarity", 6).alias("polarity"))
+
+
+_PROBA = ("SELECT doc_id, 1.0 / (1.0 + exp(-((s - m) / CASE WHEN sd = 0 THEN 1 ELSE sd END))) "
+          "AS proba FROM raw, stats")
+
+
+def _doc_proba(spark, d):
+    _, scaled = fit_doc_scaling(spark, d)
+    return scaled.select("doc_id", (1.0 / (1.0 + F.exp(-F.col("polarity")))).alias("proba"))
+
+
+@register("threshold_predictions", sql=_sql(
+    f"SELECT doc_id, CAST(proba >= 0.5 AS INTEGER) AS prediction FROM ({_PROBA})", _RAW_ALLWORDS))
+def q_threshold_predictions(spark, d):
+    """Classifier cutoff ``proba >= 0.5`` on logistic scaled polarity."""
+    from lexmesh.operators.lexicon import threshold_predictions
+    return threshold_predictions(_doc_proba(spark, d), 0.5).select("doc_id", "prediction")
+
+
+@register("ensemble_predict", sql=_sql(
+    f"SELECT doc_id, CAST(proba > 0.5 AS INTEGER) AS prediction FROM ({_PROBA})", _RAW_ALLWORDS))
+def q_ensemble_predict(spark, d):
+    """Ensemble cutoff ``proba > 0.5`` (P13); null score -> null."""
+    from lexmesh.operators.lexicon import ensemble_predict
+    return ensemble_predict(_doc_proba(spark, d), 0.5).select("doc_id", "prediction")
