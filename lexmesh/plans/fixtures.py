@@ -208,11 +208,11 @@ SQL_FIXTURES = {
                  "GROUP BY word"),
 }
 
-def with_fixtures(body: str, extra_ctes: str = "") -> str:
+def with_fixtures(body: str, extra_ctes: str = "", recursive: bool = False) -> str:
     """Prefix a query with every fixture CTE (DuckDB ignores unused ones)
     and with ``extra_ctes`` (``name AS (...)`` items, comma separated)."""
     ctes = {**SQL_FIXTURES, **sql_analyzer_ctes()}
     parts = ",\n".join(f"{k} AS ({v})" for k, v in ctes.items())
     if extra_ctes.strip():
         parts += ",\n" + extra_ctes.strip().rstrip(",")
-    return f"WITH {parts}\n{body}"
+    return f"WITH {'RECURSIVE ' if recursive else ''}{parts}\n{body}"
