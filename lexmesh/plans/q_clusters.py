@@ -171,3 +171,24 @@ def q_doc_polarity_tfidf(spark, d):
     raw = materialize(doc_polarity_vectors(vecs, _axis(spark, d, wv)))
     out = scale_scores(raw, fit_scaler(raw))
     return out.select("doc_id", F.round("polarity", 6).alias("polarity"))
+
+
+@register("fit_processor", sql=_sql(
+    "SELECT (SELECT count(*) FROM vocab) AS n_vocab, "
+    "(SELECT count(*) FROM word_vectors WHERE word IN (SELECT word FROM vocab UNION "
+    "SELECT term FROM category_lexicon)) AS n_vectors, "
+    "(SELECT count(DISTINCT cluster_id) FROM clusters) AS n_clusters"))
+def q_fit_processor(spark, d):
+    """Fit the document processor (M15): tf-idf vocabulary, vectors kept
+    for vocabulary ∪ lexicon words (J2 over U2), word clusters."""
+    from lexmesh.operators.tfidf import keep_vocabulary
+    from lexmesh.operators.vectors import filter_vectors
+    fit = _Fitted(spark, d)
+    keep = keep_vocabulary(fx.category_lexicon(spark, d, wv=fit.wv), fit.model.vocab)
+    kept = filter_vectors(fit.wvv, keep)
+    n_vocab = fit.model.vocab.agg(F.count(F.lit(1)).alias("n_vocab"))
+    n_vec = kept.agg(F.count(F.lit(1)).alias("n_vectors"))
+    n_cl = fit.clusters().agg(F.countDistinct("cluster_id").alias("n_clusters"))
+    # three one-row aggregates side by side (each has exactly one row)
+    return (n_vocab.withColumn("_k", F.lit(1)).join(n_vec.withColumn("_k", F.lit(1)), "_k")
+                   .join(n_cl.withColumn("_k", F.lit(1)), "_k").drop("_k"))

@@ -154,3 +154,40 @@ def q_ensemble_predict(spark, d):
     """Ensemble cutoff ``proba > 0.5`` (P13); null score -> null."""
     from lexmesh.operators.lexicon import ensemble_predict
     return ensemble_predict(_doc_proba(spark, d), 0.5).select("doc_id", "prediction")
+
+
+# --- J8, M14 -----------------------------------------------------------------------------
+
+@register("word_seed_similarity", sql=_sql(
+    "SELECT w.word, round(avg(list_inner_product(w.u, s.u)), 6) AS mean_cosine, "
+    "round(avg(s.weight * list_inner_product(w.u, s.u)), 6) AS weighted_cosine "
+    "FROM word_units w, seeds s GROUP BY w.word"))
+def q_word_seed_similarity(spark, d):
+    """Mean and weight-averaged cosine of every word to the seed set.
+
+    Both are linear in the seed unit vectors, so each collapses to one
+    dim-sized axis (R1): no word x seed pair is ever formed."""
+    from lexmesh.operators.scaling import word_scores
+    wvm = fx.word_vectors_meta(spark, d)
+    wv = wvm.select("word", "vec")
+    seeds = embed_lexicon(fx.polarity_lexicon(spark, d, wvm), wv)
+    weighted = fit_polarity_axis(seeds)
+    unweighted = fit_polarity_axis(seeds.withColumn("weight", F.lit(1.0)))
+    a = word_scores(wv, weighted).withColumnRenamed("polarity", "weighted_cosine")
+    b = word_scores(wv, unweighted).withColumnRenamed("polarity", "mean_cosine")
+    return a.join(b, "word").select("word", F.round("mean_cosine", 6).alias("mean_cosine"),
+                                    F.round("weighted_cosine", 6).alias("weighted_cosine"))
+
+
+@register("fit_scaling", sql=_sql(
+    "SELECT (SELECT count(*) FROM seeds) AS n_seeds, (SELECT count(*) FROM axis) AS dim, "
+    "round(sqrt((SELECT sum(a * a) FROM axis)), 6) AS axis_norm, round(m, 6) AS center, "
+    "round(sd, 6) AS scale FROM stats", _RAW_ALLWORDS))
+def q_fit_scaling(spark, d):
+    """The fitted scaling model's state (M14): seeds, axis and scaler."""
+    model, _ = fit_doc_scaling(spark, d)
+    ax = model.axis
+    row = [(ax.n_seeds, ax.dim, round(sum(x * x for x in ax.axis) ** 0.5, 6),
+            round(model.scaler.center, 6), round(model.scaler.scale, 6))]
+    return spark.createDataFrame(row, "n_seeds long, dim int, axis_norm double, center double, "
+                                      "scale double")
