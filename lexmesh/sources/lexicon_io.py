@@ -22,6 +22,12 @@ def with_row_index(df: DataFrame, name: str = "pos") -> DataFrame:
         .withColumn(name, F.col(name).cast("int"))
 
 
+def java_charset(encoding: str) -> str:
+    import codecs
+    name = codecs.lookup(encoding).name          # e.g. latin1 -> iso8859-1
+    return {"iso8859-1": "iso-8859-1", "utf-8": "utf-8", "ascii": "us-ascii"}.get(name, name)
+
+
 def lexicon_from_wide(wide: DataFrame, categories: Sequence[str] | None = None,
                       pos_col: str | None = None) -> DataFrame:
     """Wide table, one column per category (S1) -> long lexicon.  The row
@@ -79,8 +85,9 @@ def write_lexicon_json(lexicon: DataFrame, path: str) -> None:
 
 def lexicon_from_csv(spark: SparkSession, path: str, sep: str = ";",
                      encoding: str = "utf-8") -> DataFrame:
-    """Any other path: a wide CSV with a header (S4), then S1."""
-    wide = spark.read.csv(path, header=True, sep=sep, encoding=encoding)
+    """Any other path: a wide CSV with a header (S4), then S1.  Python
+    encoding names (``latin1``) are mapped to Java charset names."""
+    wide = spark.read.csv(path, header=True, sep=sep, encoding=java_charset(encoding))
     return lexicon_from_wide(wide)
 
 
@@ -88,7 +95,8 @@ def write_lexicon_csv(lexicon: DataFrame, path: str, categories: Sequence[str],
                       sep: str = ";", encoding: str = "utf-8") -> None:
     """Wide CSV in ``pos`` order, one file (inverse of S4)."""
     wide = lexicon_to_wide(lexicon, categories).orderBy("pos").drop("pos")
-    wide.coalesce(1).write.mode("overwrite").csv(path, header=True, sep=sep, encoding=encoding)
+    wide.coalesce(1).write.mode("overwrite").csv(path, header=True, sep=sep,
+                                                 encoding=java_charset(encoding))
 
 
 def polarity_from_pairs(pairs, spark: SparkSession | None = None,
