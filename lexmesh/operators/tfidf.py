@@ -45,18 +45,21 @@ class TfidfModel:
     pruned: DataFrame  # words removed by the df limits
 
     def transform(self, tokens: DataFrame, id_col: str = "doc_id", col: str = "word",
-                  normalize: bool = True) -> DataFrame:
-        return tfidf_transform(tokens, self.vocab, id_col=id_col, col=col, normalize=normalize)
+                  normalize: bool = True, counted: bool = False) -> DataFrame:
+        return tfidf_transform(tokens, self.vocab, id_col=id_col, col=col, normalize=normalize,
+                               counted=counted)
 
 
 def fit_tfidf(tokens: DataFrame, docs: DataFrame, min_df=5, max_df=0.95,
-              id_col: str = "doc_id", col: str = "word") -> TfidfModel:
+              id_col: str = "doc_id", col: str = "word", counted: bool = False) -> TfidfModel:
     """Vocabulary with sklearn-default smooth idf (A3):
     ``idf = ln((1 + n) / (1 + df)) + 1``, keeping ``lo <= df <= hi``.
-    ``n`` counts every document, also those without a surviving token."""
+    ``n`` counts every document, also those without a surviving token.
+    ``counted=True``: ``tokens`` already is a term-frequency table."""
     n_docs = docs.select(id_col).count()
     n = F.lit(n_docs).cast("double")
-    dfs = document_frequency(term_frequency(tokens, id_col, col), col)
+    tf = tokens if counted else term_frequency(tokens, id_col, col)
+    dfs = document_frequency(tf, col)
     lo, hi = df_bounds(min_df, max_df, n)
     keep = (F.col("df") >= lo) & (F.col("df") <= hi)
     # written once: the vocabulary is reused by transform, pruning and indexing
@@ -68,10 +71,11 @@ def fit_tfidf(tokens: DataFrame, docs: DataFrame, min_df=5, max_df=0.95,
 
 
 def tfidf_transform(tokens: DataFrame, vocab: DataFrame, id_col: str = "doc_id",
-                    col: str = "word", normalize: bool = True) -> DataFrame:
+                    col: str = "word", normalize: bool = True, counted: bool = False) -> DataFrame:
     """``tf * idf`` over the fitted vocabulary, L2-normalised per document
-    (A4).  Output ``(doc_id, word, tf, weight)``."""
-    tf = term_frequency(tokens, id_col, col)
+    (A4).  Output ``(doc_id, word, tf, weight)``.  ``counted=True``:
+    ``tokens`` already is a term-frequency table ``(doc_id, word, tf)``."""
+    tf = tokens if counted else term_frequency(tokens, id_col, col)
     x = tf.join(vocab.select(col, "idf"), col).withColumn("x", F.col("tf") * F.col("idf"))
     if not normalize:
         return x.select(id_col, col, "tf", F.col("x").alias("weight"))

@@ -54,6 +54,12 @@ def derive_annotations(surfaces: DataFrame, surface_col: str = "surface") -> Dat
                            ent.alias("ent_type"))
 
 
+# Annotation tables (one row per surface form) up to this many rows are
+# broadcast to the token join; larger ones are joined by a shuffle on the
+# surface form, and the token side is never the broadcast side.
+ANNOTATION_BROADCAST_ROWS = 2_000_000
+
+
 def annotate_tokens(tokens: DataFrame, annotations: DataFrame,
                     token_col: str = "word") -> DataFrame:
     """Attach ``lemma, upos, ent_type`` per token by a left join on the
@@ -62,7 +68,8 @@ def annotate_tokens(tokens: DataFrame, annotations: DataFrame,
     The annotation table is vocabulary-sized: it is broadcast when it has a
     proven small size, otherwise the join shuffles on the token string and
     AQE splits hot tokens (skew join)."""
-    ann = annotations.select("surface", "lemma", "upos", "ent_type")
+    ann = sized_broadcast(annotations.select("surface", "lemma", "upos", "ent_type"),
+                          ANNOTATION_BROADCAST_ROWS)
     joined = tokens.join(ann, tokens[token_col] == ann["surface"], "left")
     return joined.select(*[tokens[c] for c in tokens.columns],
                          F.coalesce(F.col("lemma"), tokens[token_col]).alias("lemma"),
@@ -123,3 +130,20 @@ def analyze(docs: DataFrame, annotations: DataFrame, stopwords: DataFrame,
     toks = tokenize(docs, id_cols=id_cols, text_col=text_col, mode="letters", lower=False)
     ann = annotate_tokens(toks, annotations)
     return anti_stopwords(normalize_tokens(filter_tokens(ann, relevant_pos)), stopwords)
+
+
+def analyzed_term_frequency(docs: DataFrame, annotations: DataFrame, stopwords: DataFrame,
+                            id_cols=("doc_id",), text_col: str = "text",
+                            relevant_pos: Iterable[str] = RELEVANT_POS) -> DataFrame:
+    """Term counts of the analyzer's output, ``(*id_cols, word, tf)``.
+
+    Same result as counting :func:`analyze`'s tokens, but surfaces are
+    counted per document first (map-side partial aggregation), so the
+    annotation join, the filters and the stopword join see one row per
+    distinct (document, surface) instead of one per token; the counts are
+    summed again after normalisation merges surfaces into one word."""
+    toks = tokenize(docs, id_cols=id_cols, text_col=text_col, mode="letters", lower=False)
+    surf = toks.groupBy(*id_cols, "word").agg(F.count(F.lit(1)).alias("n"))
+    ann = annotate_tokens(surf, annotations)
+    kept = anti_stopwords(normalize_tokens(filter_tokens(ann, relevant_pos)), stopwords)
+    return kept.groupBy(*id_cols, "word").agg(F.sum("n").alias("tf"))

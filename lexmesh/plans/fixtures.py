@@ -100,7 +100,7 @@ def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Annotation table for every distinct surface form of the corpus."""
     from lexmesh.operators.tokens import derive_annotations
     surfaces = surface_tokens(spark, sf_dir).select(F.col("word").alias("surface")).distinct()
-    return derive_annotations(surfaces)
+    return materialize(derive_annotations(surfaces), "annotations")
 
 
 def analyzed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,6 +109,13 @@ def analyzed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analyze(docs(spark, sf_dir), annotations(spark, sf_dir), stopword_list(spark))
 
 
+def analyzed_tf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Term counts of the analyzer's output ``(doc_id, word, tf)``."""
+    from lexmesh.operators.tokens import analyzed_term_frequency, stopword_list
+    return analyzed_term_frequency(docs(spark, sf_dir), annotations(spark, sf_dir),
+                                   stopword_list(spark))
+
+
 def sql_stopwords() -> str:
     from lexmesh.functions.text import german_stopwords
     words = list(german_stopwords()) + [" ", ""]

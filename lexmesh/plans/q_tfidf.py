@@ -23,9 +23,23 @@ def _annotated(spark, d):
 
 
 def fitted_tfidf(spark, d):
-    """(model, analyzed tokens) fitted on the whole corpus."""
-    toks = materialize(fx.analyzed_tokens(spark, d).select("doc_id", "word"))
-    return TF.fit_tfidf(toks, fx.docs(spark, d), min_df=5, max_df=0.95), toks
+    """(model, term counts) fitted on the whole corpus; the counts are
+    written once and feed both fit and transform."""
+    tf = materialize(fx.analyzed_tf(spark, d), "tf")
+    model = TF.fit_tfidf(tf, fx.docs(spark, d), min_df=5, max_df=0.95, counted=True)
+    return _CountedModel(model), tf
+
+
+class _CountedModel:
+    """The fitted model, transforming the pre-counted table."""
+
+    def __init__(self, model):
+        self._m = model
+        self.vocab, self.n_docs, self.pruned = model.vocab, model.n_docs, model.pruned
+        self.min_df, self.max_df = model.min_df, model.max_df
+
+    def transform(self, tf, **kw):
+        return self._m.transform(tf, counted=True, **kw)
 
 
 @register("annotate_tokens", sql=W(
@@ -82,6 +96,8 @@ def q_tokens_in_vocabulary(spark, d):
 
 @register("term_frequency", sql=W("SELECT doc_id, word, tf FROM tf"))
 def q_term_frequency(spark, d):
+    """A1 over the token-level analyzer output (the pre-counted path used
+    by the fitted processor gives the same table)."""
     return TF.term_frequency(fx.analyzed_tokens(spark, d))
 
 

@@ -58,11 +58,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, "lexmesh-tables", f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-def materialize(df):
-    """Write ``df`` to the shared checkpoint folder and cut its lineage.
+def materialize(df, name: str = "table"):
+    """Write ``df`` as parquet below the shared checkpoint folder and read
+    it back: the lineage is cut and the table survives executor loss.
 
     Used for fitted, reused tables (vocabulary, word vectors, training
     scores) so later actions read them instead of recomputing the corpus
-    pass, and so a lost executor does not force a recomputation either."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    pass.  One job (``Dataset.checkpoint`` would compute the plan twice
+    without a cache), and the parquet copy is columnar, so later readers
+    prune columns and push filters."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
