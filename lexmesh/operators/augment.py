@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmesh.functions.hashing import hash_u
+from lexmesh.functions.hashing import hash_slices, hash_u
 from lexmesh.functions.text import strip_wildcards
 from lexmesh.functions.vectors import linear_combination
 from lexmesh.operators.lexicon import merge_lexica
@@ -110,22 +110,28 @@ def augment_samples(requests: DataFrame, pools: DataFrame, n_draw: int = 3,
     draws ``n_draw`` pool rows with replacement (index = u % n_pool) and
     integer weights 0..10, redrawn when all are 0 (first attempt with a
     non-zero sum).  Output: the request columns plus ``vec``."""
+    if n_draw > 4:
+        raise ValueError("n_draw <= 4: one md5 gives the draws of one attempt")
     sizes = pools.select("pool_id", "n_pool").distinct()
     req = requests.join(sizes, "pool_id")
-    attempts = []
-    for k in range(N_WEIGHT_ATTEMPTS):
-        ws = [hash_u(F.lit(seed), "sample_key", F.lit("w"), F.lit(k), F.lit(i)) % WEIGHT_LEVELS
-              for i in range(n_draw)]
-        attempts.append(F.array(*ws))
+    # one md5 per attempt gives all weights of that attempt; later attempts
+    # are only evaluated when the earlier ones are all zero (CASE WHEN)
+    attempts = [F.array(*[w % WEIGHT_LEVELS for w in
+                          hash_slices(n_draw, F.lit(seed), "sample_key", F.lit("w"), F.lit(k))])
+                for k in range(N_WEIGHT_ATTEMPTS)]
     chosen = F.lit(None)
     for k in reversed(range(N_WEIGHT_ATTEMPTS)):
         total = F.aggregate(attempts[k], F.lit(0).cast("bigint"), lambda a, x: a + x)
         chosen = F.when(total > 0, attempts[k]).otherwise(chosen)
     chosen = F.coalesce(chosen, F.array_repeat(F.lit(1).cast("bigint"), n_draw))
-    req = req.withColumn("_w", chosen)
-    draws = req.select("*", F.posexplode("_w").alias("_i", "_wi")).drop("_w")
-    draws = draws.withColumn(
-        "pool_pos", hash_u(F.lit(seed), "sample_key", F.lit("ix"), "_i") % F.col("n_pool"))
+    # one md5 gives the pool indices of all draws of the sample
+    ix = F.array(*[u % F.col("n_pool") for u in
+                   hash_slices(n_draw, F.lit(seed), "sample_key", F.lit("ix"))])
+    req = req.withColumn("_w", chosen).withColumn("_ix", ix)
+    draws = req.select("*", F.posexplode(F.arrays_zip(F.col("_w").alias("w"),
+                                                      F.col("_ix").alias("p"))).alias("_i", "_d"))
+    draws = draws.select(*[c for c in req.columns if c not in ("_w", "_ix")],
+                         F.col("_d.w").alias("_wi"), F.col("_d.p").alias("pool_pos"))
     joined = draws.join(pools.select("pool_id", "pool_pos", "vec"), ["pool_id", "pool_pos"])
     keep = [c for c in requests.columns]
     grouped = joined.groupBy(*keep).agg(

@@ -60,9 +60,29 @@ def word_vectors(spark: SparkSession, sf_dir: str, with_meta: bool = False) -> D
     return out.select(*cols)
 
 
+# Derived *input* tables (they stand in for the reference's given inputs:
+# a pretrained vector file, lexicon files, a tagger's output) are written
+# once per session and data folder and reused by every query.
+_INPUTS: dict = {}
+
+
+def _memo(spark: SparkSession, sf_dir: str, name: str, build):
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _INPUTS:
+        _INPUTS[key] = materialize(build(), name)
+    return _INPUTS[key]
+
+
 def word_vectors_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word vectors with ``label, vec_id``, written once (vocabulary-sized)."""
-    return materialize(word_vectors(spark, sf_dir, with_meta=True))
+    return _memo(spark, sf_dir, "word_vectors",
+                 lambda: word_vectors(spark, sf_dir, with_meta=True))
+
+
+def prepare_inputs(spark: SparkSession, sf_dir: str) -> None:
+    """Derive the input tables for ``sf_dir`` up front (bench set-up)."""
+    word_vectors_meta(spark, sf_dir)
+    annotations(spark, sf_dir)
 
 
 def category_lexicon(spark: SparkSession, sf_dir: str, labels=None, wv=None) -> DataFrame:
@@ -100,7 +120,7 @@ def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Annotation table for every distinct surface form of the corpus."""
     from lexmesh.operators.tokens import derive_annotations
     surfaces = surface_tokens(spark, sf_dir).select(F.col("word").alias("surface")).distinct()
-    return materialize(derive_annotations(surfaces), "annotations")
+    return _memo(spark, sf_dir, "annotations", lambda: derive_annotations(surfaces))
 
 
 def analyzed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

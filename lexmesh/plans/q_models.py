@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexmesh.functions.hashing import hash_u, sql_hash_u
+from lexmesh.functions.hashing import hash_u, sql_hash_slice, sql_hash_u
 from lexmesh.functions.vectors import norm
 from lexmesh.operators import augment as AU
 from lexmesh.operators import ensemble as EN
@@ -37,13 +37,17 @@ tr_in AS (SELECT category, row_id, vec, row_number() OVER (PARTITION BY category
 reqs AS (SELECT category, s AS sample_id, category || '|-1|in|' || CAST(s AS VARCHAR) AS sample_key,
          n_pool FROM (SELECT category, n_pool, unnest(generate_series(0, n_pool * {MULT} - 1)) AS s
          FROM (SELECT DISTINCT category, n_pool FROM tr_in))),
-wts AS (SELECT sample_key, k, i, {sql_hash_u("'0'", 'sample_key', "'w'", 'k', 'i')} % 11 AS w
+wts AS (SELECT sample_key, k, i, CASE i WHEN 0 THEN {sql_hash_slice(0, "'0'", 'sample_key', "'w'", 'k')}
+               WHEN 1 THEN {sql_hash_slice(1, "'0'", 'sample_key', "'w'", 'k')}
+               ELSE {sql_hash_slice(2, "'0'", 'sample_key', "'w'", 'k')} END % 11 AS w
         FROM reqs, range(5) kk(k), range(3) ii(i)),
 att AS (SELECT sample_key, min(k) AS k FROM (SELECT sample_key, k, sum(w) AS sw FROM wts
         GROUP BY sample_key, k) WHERE sw > 0 GROUP BY sample_key),
 chosen AS (SELECT w.sample_key, w.i, w.w FROM wts w JOIN att a ON a.sample_key = w.sample_key AND a.k = w.k),
 draws AS (SELECT r.category, r.sample_id, c.i, c.w,
-          {sql_hash_u("'0'", 'r.sample_key', "'ix'", 'c.i')} % r.n_pool AS pool_pos
+          CASE c.i WHEN 0 THEN {sql_hash_slice(0, "'0'", 'r.sample_key', "'ix'")}
+                   WHEN 1 THEN {sql_hash_slice(1, "'0'", 'r.sample_key', "'ix'")}
+                   ELSE {sql_hash_slice(2, "'0'", 'r.sample_key', "'ix'")} END % r.n_pool AS pool_pos
           FROM reqs r JOIN chosen c ON c.sample_key = r.sample_key),
 combo AS (SELECT d.category, d.sample_id, e.j, sum(d.w * e.x) / sum(d.w) AS value FROM draws d
           JOIN (SELECT category, pool_pos, unnest(vec) AS x, unnest(generate_series(0, len(vec) - 1)) AS j
