@@ -86,21 +86,31 @@ def similar_word_pairs(words: DataFrame, word_vectors: DataFrame,
 
 
 def cluster_words(words: DataFrame, pairs: DataFrame, max_iter: int = 100) -> DataFrame:
-    """Connected components of the similarity graph (C2) by iterative
-    min-label propagation.  ``cluster_id`` = smallest ``idx`` in the
-    component.  Each round's labels are checkpointed to the shared folder
+    """Connected components of the similarity graph (C2).  ``cluster_id`` =
+    smallest ``idx`` in the component.
+
+    Each round takes the minimum label over the neighbours, then jumps
+    pointers (a word takes the label of its label's word), so the number of
+    rounds grows with the log of the component diameter.  Labels only
+    decrease and stay inside the component, so the fixed point is the
+    component minimum.  Every round is written to the shared folder
     (lineage cut, restartable); the loop stops when no label changes."""
     edges = pairs.select(F.col("word_a").alias("src"), F.col("word_b").alias("dst")).unionByName(
         pairs.select(F.col("word_b").alias("src"), F.col("word_a").alias("dst")))
-    edges = materialize(edges)
-    labels = materialize(words.select("word", F.col("idx").alias("label")))
+    edges = materialize(edges, "cluster-edges")
+    idx_of = words.select(F.col("idx").alias("label"), F.col("word").alias("root"))
+    labels = materialize(words.select("word", F.col("idx").alias("label")), "cluster-labels")
     for _ in range(max_iter):
         cand = (edges.join(labels.withColumnRenamed("word", "src"), "src")
                      .groupBy("dst").agg(F.min("label").alias("cand"))
                      .withColumnRenamed("dst", "word"))
-        new = (labels.join(cand, "word", "left")
+        hop = (labels.join(cand, "word", "left")
                      .select("word", F.least("label", F.coalesce("cand", "label")).alias("label")))
-        new = materialize(new)
+        # pointer jumping: label <- label of the word that carries the label
+        jump = (hop.join(idx_of, "label")
+                   .join(hop.select(F.col("word").alias("root"), F.col("label").alias("l2")), "root")
+                   .select("word", F.least("label", "l2").alias("label")))
+        new = materialize(jump, "cluster-labels")
         changed = new.join(labels.withColumnRenamed("label", "old"), "word") \
                      .where(F.col("label") < F.col("old")).limit(1).count()
         labels = new

@@ -25,7 +25,7 @@ from lexmesh.session import materialize
 
 # Vocabulary-sized (word, polarity) tables up to this many rows are
 # broadcast to the token join; above it the join shuffles on the word.
-WORD_SCORE_BROADCAST_ROWS = 5_000_000
+WORD_SCORE_BROADCAST_ROWS = 2_000_000
 
 
 @dataclass

@@ -121,3 +121,17 @@ def test_scaling_signs_and_unfitted(spark):
     assert got["schlecht"] < 0 and got["mies"] < 0
     d = {r["doc_id"]: r["polarity"] for r in model.predict_docs(docs).collect()}
     assert d[1] > d[2] and d[3] is None                # no in-vocabulary token -> null (Q23)
+
+
+def test_connected_components_on_chains(spark):
+    """Label propagation with pointer jumping finds chain components."""
+    from lexmesh.operators.clusters import cluster_words
+    n = 40
+    words = spark.createDataFrame([(f"w{i:03d}", i) for i in range(n)], "word string, idx long")
+    edges = [(f"w{i:03d}", f"w{i + 1:03d}") for i in range(19)] + \
+            [(f"w{i + 1:03d}", f"w{i:03d}") for i in range(25, 39)]
+    pairs = spark.createDataFrame([(a, b, 0.9) for a, b in edges],
+                                  "word_a string, word_b string, cosine double")
+    got = {r["word"]: r["cluster_id"] for r in cluster_words(words, pairs).collect()}
+    want = {f"w{i:03d}": (0 if i < 20 else (i if i < 25 else 25)) for i in range(n)}
+    assert got == want
