@@ -81,3 +81,22 @@ def linear_combination(vectors, weights) -> Column:
     pairs = F.arrays_zip(vectors.alias("v"), weights.alias("w"))
     return F.aggregate(pairs, zero,
                        lambda acc, p: F.zip_with(acc, p["v"], lambda x, y: x + p["w"] * y))
+
+
+def _convex_batch(w, vv):
+    """Arrow batch body of :func:`convex_combination` (numpy, vectorised)."""
+    import numpy as np
+    import pandas as pd
+    weights = np.vstack(w.to_numpy()).astype("float64")               # (n, k)
+    weights /= weights.sum(axis=1, keepdims=True)
+    vecs = np.stack([np.vstack(x) for x in vv.to_numpy()])             # (n, k, d)
+    return pd.Series(list(np.einsum("nk,nkd->nd", weights, vecs)))
+
+
+def convex_combination(weights, vectors) -> Column:
+    """Σ (wᵢ / Σw)·vᵢ per row for an array of weights and an array of
+    vectors, as an Arrow-batched pandas UDF: Spark's lambda functions are
+    interpreted per element, which dominates when every row carries a few
+    high-dimensional vectors (augmentation)."""
+    udf = F.pandas_udf(_convex_batch, "array<double>")
+    return udf(_c(weights), _c(vectors))

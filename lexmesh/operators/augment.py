@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 
 from lexmesh.functions.hashing import hash_slices, hash_u
 from lexmesh.functions.text import strip_wildcards
-from lexmesh.functions.vectors import linear_combination
+from lexmesh.functions.vectors import convex_combination
 from lexmesh.operators.lexicon import merge_lexica
-from lexmesh.operators.util import global_row_number
+from lexmesh.operators.util import global_row_number, sized_broadcast
 from lexmesh.operators.vectors import embed_lexicon
 
 N_WEIGHT_ATTEMPTS = 5   # redraws when all integer weights are 0 ((1/11)^3 each)
@@ -125,21 +125,22 @@ def augment_samples(requests: DataFrame, pools: DataFrame, n_draw: int = 3,
         chosen = F.when(total > 0, attempts[k]).otherwise(chosen)
     chosen = F.coalesce(chosen, F.array_repeat(F.lit(1).cast("bigint"), n_draw))
     # one md5 gives the pool indices of all draws of the sample
-    ix = F.array(*[u % F.col("n_pool") for u in
-                   hash_slices(n_draw, F.lit(seed), "sample_key", F.lit("ix"))])
-    req = req.withColumn("_w", chosen).withColumn("_ix", ix)
-    draws = req.select("*", F.posexplode(F.arrays_zip(F.col("_w").alias("w"),
-                                                      F.col("_ix").alias("p"))).alias("_i", "_d"))
-    draws = draws.select(*[c for c in req.columns if c not in ("_w", "_ix")],
-                         F.col("_d.w").alias("_wi"), F.col("_d.p").alias("pool_pos"))
-    joined = draws.join(pools.select("pool_id", "pool_pos", "vec"), ["pool_id", "pool_pos"])
+    ix = hash_slices(n_draw, F.lit(seed), "sample_key", F.lit("ix"))
+    req = req.withColumn("_w", chosen)
+    # each draw is one equi-join of the sample row with the (lexicon-sized,
+    # size-checked broadcast) pool table, so the draws of a sample stay in
+    # its row: no explode, no shuffle, no regrouping of vectors
+    pool_vecs = sized_broadcast(pools.select("pool_id", "pool_pos", "vec"))
+    for i in range(n_draw):
+        p = pool_vecs.select(F.col("pool_id").alias(f"_pid{i}"),
+                             F.col("pool_pos").alias(f"_pp{i}"), F.col("vec").alias(f"_v{i}"))
+        req = req.withColumn(f"_pp{i}", ix[i] % F.col("n_pool"))
+        p = p.withColumnRenamed(f"_pp{i}", f"_q{i}")
+        req = req.join(p, (F.col("pool_id") == F.col(f"_pid{i}"))
+                       & (F.col(f"_pp{i}") == F.col(f"_q{i}")))
+    vec = convex_combination("_w", F.array(*[F.col(f"_v{i}") for i in range(n_draw)]))
     keep = [c for c in requests.columns]
-    grouped = joined.groupBy(*keep).agg(
-        F.collect_list(F.struct("_wi", "vec")).alias("_items"),
-        F.sum("_wi").alias("_wsum"))
-    vec = linear_combination(F.transform("_items", lambda e: e["vec"]),
-                             F.transform("_items", lambda e: e["_wi"] / F.col("_wsum")))
-    return grouped.select(*keep, vec.alias("vec"))
+    return req.select(*keep, vec.alias("vec"))
 
 
 def _seq(n_col) -> F.Column:
