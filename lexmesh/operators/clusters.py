@@ -127,14 +127,13 @@ def doc_clusters(tfidf: DataFrame, clusters: DataFrame, word_vectors: DataFrame,
     (C3); top ``n_top_clusters`` by weight (N6, ties -> smaller cluster id);
     optional share filter (C5); weights renormalised to sum 1.
 
-    The weighted mean is Spark ML's ``Summarizer`` (fixed-size partial
-    aggregates), so a large cluster in a long document is never gathered."""
-    rows = (tfidf.join(clusters.select(col, "cluster_id"), col)
-                 .join(word_vectors.withColumnRenamed("word", col), col))
-    agg = rows.groupBy(id_col, "cluster_id").agg(
-        F.sum("weight").alias("weight"),
-        Summarizer.mean(array_to_vector("vec"), F.col("weight")).alias("_m"))
-    agg = agg.select(id_col, "cluster_id", "weight", vector_to_array("_m").alias("vec"))
+    Ranking needs only the scalar weight sums, so clusters are ranked and
+    cut first and vectors are fetched for the survivors only (at most
+    ``n_top_clusters`` per document).  The weighted mean is Spark ML's
+    ``Summarizer`` (fixed-size partial aggregates), so a large cluster in a
+    long document is never gathered into one row."""
+    rows = tfidf.select(id_col, col, "weight").join(clusters.select(col, "cluster_id"), col)
+    agg = rows.groupBy(id_col, "cluster_id").agg(F.sum("weight").alias("weight"))
     w = Window.partitionBy(id_col).orderBy(F.desc("weight"), F.asc("cluster_id"))
     ranked = agg.withColumn("rank", F.row_number().over(w))
     if n_top_clusters is not None:
@@ -145,7 +144,14 @@ def doc_clusters(tfidf: DataFrame, clusters: DataFrame, word_vectors: DataFrame,
         ranked = ranked.where((F.col("_share") >= cluster_share) | (F.col("rank") == 1)) \
                        .drop("_share")
     total = F.sum("weight").over(Window.partitionBy(id_col))
-    return ranked.withColumn("weight", F.col("weight") / total)
+    kept = ranked.withColumn("weight", F.col("weight") / total)
+    # vectors for the kept (document, cluster) pairs only
+    members = (rows.join(kept.select(id_col, "cluster_id"), [id_col, "cluster_id"], "left_semi")
+                   .join(word_vectors.withColumnRenamed("word", col), col))
+    vecs = members.groupBy(id_col, "cluster_id").agg(
+        Summarizer.mean(array_to_vector("vec"), F.col("weight")).alias("_m"))
+    vecs = vecs.select(id_col, "cluster_id", vector_to_array("_m").alias("vec"))
+    return kept.join(vecs, [id_col, "cluster_id"])
 
 
 def doc_vectors_clusters(doc_clusters_df: DataFrame, id_col: str = "doc_id") -> DataFrame:
