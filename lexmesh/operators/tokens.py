@@ -132,18 +132,31 @@ def analyze(docs: DataFrame, annotations: DataFrame, stopwords: DataFrame,
     return anti_stopwords(normalize_tokens(filter_tokens(ann, relevant_pos)), stopwords)
 
 
+def prepare_annotations(annotations: DataFrame, stopwords: DataFrame,
+                        relevant_pos: Iterable[str] = RELEVANT_POS) -> DataFrame:
+    """``surface -> word`` for every annotated surface form that survives
+    P8 (POS / entity filter), P9 (normalisation, bad parts) and J6
+    (stopwords).  All of these depend on the surface form only, so they run
+    once per vocabulary entry instead of once per token."""
+    kept = normalize_tokens(filter_tokens(annotations, relevant_pos))
+    kept = anti_stopwords(kept, stopwords)
+    return kept.select("surface", "word")
+
+
 def analyzed_term_frequency(docs: DataFrame, annotations: DataFrame, stopwords: DataFrame,
                             id_cols=("doc_id",), text_col: str = "text",
                             relevant_pos: Iterable[str] = RELEVANT_POS) -> DataFrame:
     """Term counts of the analyzer's output, ``(*id_cols, word, tf)``.
 
-    Same result as counting :func:`analyze`'s tokens, but surfaces are
-    counted per document first (map-side partial aggregation), so the
-    annotation join, the filters and the stopword join see one row per
-    distinct (document, surface) instead of one per token; the counts are
-    summed again after normalisation merges surfaces into one word."""
+    Same result as counting :func:`analyze`'s tokens, with two rewrites:
+    surfaces are counted per document first (map-side partial
+    aggregation), and the per-surface analysis (P8, P9, J6) is applied to
+    the vocabulary-sized annotation table (:func:`prepare_annotations`), so
+    the corpus side only does one equi-join and a sum.  A surface without
+    an annotation has no POS tag and is dropped by P8 either way."""
     toks = tokenize(docs, id_cols=id_cols, text_col=text_col, mode="letters", lower=False)
     surf = toks.groupBy(*id_cols, "word").agg(F.count(F.lit(1)).alias("n"))
-    ann = annotate_tokens(surf, annotations)
-    kept = anti_stopwords(normalize_tokens(filter_tokens(ann, relevant_pos)), stopwords)
-    return kept.groupBy(*id_cols, "word").agg(F.sum("n").alias("tf"))
+    mapping = sized_broadcast(prepare_annotations(annotations, stopwords, relevant_pos)
+                              .withColumnRenamed("word", "norm"), ANNOTATION_BROADCAST_ROWS)
+    joined = surf.join(mapping, surf["word"] == mapping["surface"])
+    return joined.groupBy(*id_cols, F.col("norm").alias("word")).agg(F.sum("n").alias("tf"))
