@@ -11,6 +11,7 @@ from lexmesh.operators import tfidf as TF
 from lexmesh.operators import tokens as TK
 from lexmesh.plans import fixtures as fx
 from lexmesh.plans.fixtures import with_fixtures as W
+from lexmesh.operators.util import sized_broadcast
 from lexmesh.plans.registry import register
 from lexmesh.session import materialize
 
@@ -71,7 +72,7 @@ def q_stopword_list(spark, d):
     """Stopwords of the list that occur in the corpus, with their counts."""
     norm_toks = TK.normalize_tokens(TK.filter_tokens(_annotated(spark, d)))
     sw = TK.stopword_list(spark)
-    return norm_toks.join(F.broadcast(sw), "word", "left_semi") \
+    return norm_toks.join(sized_broadcast(sw), "word", "left_semi") \
                     .groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
