@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmesh.functions.text import WHITESPACE_SPLIT
-from lexmesh.functions.vectors import dot_literal, unit
+from lexmesh.functions.vectors import dot_literal, norm, unit
 from lexmesh.operators.util import sized_broadcast
 from lexmesh.session import materialize
 
@@ -38,8 +38,12 @@ class PolarityAxis:
         return len(self.axis)
 
     def score(self, vec) -> Column:
-        """Polarity of a vector column (A10)."""
-        return dot_literal(unit(vec), self.axis)
+        """Polarity of a vector column (A10): ``(v · a) / ||v||``, 0 for a
+        zero vector (same value as ``unit(v) · a`` without building the
+        normalised copy of every vector)."""
+        c = F.col(vec) if isinstance(vec, str) else vec
+        n = norm(c)
+        return F.when(n == 0, F.lit(0.0)).otherwise(dot_literal(c, self.axis) / n)
 
 
 def fit_polarity_axis(seeds: DataFrame, weight_col: str = "weight", vec_col: str = "vec",
