@@ -56,8 +56,46 @@ combo AS (SELECT d.category, d.sample_id, e.j, sum(d.w * e.x) / sum(d.w) AS valu
 """
 
 
-def _sql(body):
-    return with_fixtures(body, _TRAIN_CTES)
+_OUT_CTES = f"""
+tout_pool AS (SELECT category, src_category, vec, row_number() OVER (PARTITION BY category, src_category
+              ORDER BY row_id) - 1 AS pool_pos, count(*) OVER (PARTITION BY category, src_category)
+              AS n_pool FROM training WHERE NOT inside),
+srcs AS (SELECT category, src_category, row_number() OVER (PARTITION BY category ORDER BY src_category) - 1
+         AS src_rank, count(*) OVER (PARTITION BY category) AS n_src
+         FROM (SELECT DISTINCT category, src_category FROM training WHERE NOT inside)),
+oreq0 AS (SELECT category, model_ix, unnest(generate_series(0, n * {MULT * MULT_OUT} - 1)) AS sample_id
+          FROM (SELECT t.category, count(*) AS n FROM tin t GROUP BY t.category), range({N_MODELS}) m(model_ix)),
+oreq AS (SELECT o.category, o.model_ix, o.sample_id, s.src_category, p.n_pool, o.sample_key FROM
+         (SELECT *, category || '|' || CAST(model_ix AS VARCHAR) || '|out|' || CAST(sample_id AS VARCHAR)
+          AS sample_key FROM oreq0) o
+         JOIN (SELECT DISTINCT category, n_src FROM srcs) ns ON ns.category = o.category
+         JOIN srcs s ON s.category = o.category
+              AND s.src_rank = {sql_hash_u("'0'", 'o.sample_key', "'cat'")} % ns.n_src
+         JOIN (SELECT DISTINCT category, src_category, n_pool FROM tout_pool) p
+              ON p.category = o.category AND p.src_category = s.src_category),
+owts AS (SELECT sample_key, k, i, CASE i WHEN 0 THEN {sql_hash_slice(0, "'0'", 'sample_key', "'w'", 'k')}
+               WHEN 1 THEN {sql_hash_slice(1, "'0'", 'sample_key', "'w'", 'k')}
+               ELSE {sql_hash_slice(2, "'0'", 'sample_key', "'w'", 'k')} END % 11 AS w
+         FROM oreq, range(5) kk(k), range(3) ii(i)),
+oatt AS (SELECT sample_key, min(k) AS k FROM (SELECT sample_key, k, sum(w) AS sw FROM owts
+         GROUP BY sample_key, k) WHERE sw > 0 GROUP BY sample_key),
+odraws AS (SELECT r.category, r.model_ix, r.sample_id, r.src_category, c.w,
+           CASE c.i WHEN 0 THEN {sql_hash_slice(0, "'0'", 'r.sample_key', "'ix'")}
+                    WHEN 1 THEN {sql_hash_slice(1, "'0'", 'r.sample_key', "'ix'")}
+                    ELSE {sql_hash_slice(2, "'0'", 'r.sample_key', "'ix'")} END % r.n_pool AS pool_pos
+           FROM oreq r JOIN (SELECT w.sample_key, w.i, w.w FROM owts w JOIN oatt a
+                             ON a.sample_key = w.sample_key AND a.k = w.k) c ON c.sample_key = r.sample_key),
+ocombo AS (SELECT d.category, d.model_ix, d.sample_id, d.src_category, e.j,
+           sum(d.w * e.x) / sum(d.w) AS value FROM odraws d
+           JOIN (SELECT category, src_category, pool_pos, unnest(vec) AS x,
+                 unnest(generate_series(0, len(vec) - 1)) AS j FROM tout_pool) e
+           ON e.category = d.category AND e.src_category = d.src_category AND e.pool_pos = d.pool_pos
+           GROUP BY d.category, d.model_ix, d.sample_id, d.src_category, e.j)
+"""
+
+
+def _sql(body, extra=""):
+    return with_fixtures(body, _TRAIN_CTES + ("," + extra if extra else ""))
 
 
 def training_table(spark, d):
@@ -146,6 +184,45 @@ def q_ensemble_training_set(spark, d):
     return rows.groupBy("category", "model_ix", "inside").agg(F.count(F.lit(1)).alias("n"))
 
 
+@register("augment_outside", sql=_sql(
+    "SELECT category, model_ix, sample_id, round(sum(value), 6) AS vsum, "
+    "round(sqrt(sum(value * value)), 6) AS vnorm FROM ocombo "
+    "GROUP BY category, model_ix, sample_id", _OUT_CTES))
+def q_augment_outside(spark, d):
+    """Outside convex samples of every member (M2): each from one
+    hash-chosen other category, drawn from that category's rows."""
+    s = ensemble_set(spark, d).where(~F.col("inside") & (F.col("kind") == "sample"))
+    return s.select("category", "model_ix", "sample_id",
+                    F.round(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x), 6).alias("vsum"),
+                    F.round(norm("vec"), 6).alias("vnorm"))
+
+
+_ORIG_CTES = f"""
+tout_all AS (SELECT category, vec, row_number() OVER (PARTITION BY category ORDER BY row_id) - 1
+             AS pool_pos, count(*) OVER (PARTITION BY category) AS n_out FROM training WHERE NOT inside),
+oorig AS (SELECT category, model_ix, sample_id, n_out, category || '|' || CAST(model_ix AS VARCHAR)
+          || '|orig|' || CAST(sample_id AS VARCHAR) AS k FROM (SELECT q.category, q.model_ix, q.n_out,
+          unnest(generate_series(0, q.n_in - 1)) AS sample_id FROM (SELECT t.category, m.model_ix,
+          (SELECT count(*) FROM tin i WHERE i.category = t.category) AS n_in, count(*) AS n_out
+          FROM training t, range({N_MODELS}) m(model_ix) WHERE NOT t.inside
+          GROUP BY t.category, m.model_ix) q))
+"""
+
+
+_ORIG_U = sql_hash_u("'0'", "o.k")
+
+
+@register("augment_originals", sql=_sql(
+    "SELECT o.category, o.model_ix, o.sample_id, round(list_sum(p.vec), 6) AS vsum FROM oorig o "
+    f"JOIN tout_all p ON p.category = o.category AND p.pool_pos = {_ORIG_U} % o.n_out",
+    _ORIG_CTES))
+def q_augment_originals(spark, d):
+    """Outside originals drawn with replacement per member (M2)."""
+    s = ensemble_set(spark, d).where(~F.col("inside") & (F.col("kind") == "original"))
+    return s.select("category", "model_ix", "sample_id",
+                    F.round(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x), 6).alias("vsum"))
+
+
 # --- model fit / predict (rows-only checks; see tests for invariants) -------------------
 
 def fitted_models(spark, d, params=None, n_models=N_MODELS):
