@@ -1,8 +1,9 @@
 """Resumable batch scoring (B1) and scoring over an arriving file stream (B2).
 
-B1: rows are assigned to ``n_batches`` by a hash of their key; each batch
-is written to its own folder under the output path and is complete once
-its ``_SUCCESS`` marker exists.  A rerun skips finished batches
+B1: rows are assigned to ``n_batches`` by a hash of their key and the input
+is staged once, partitioned by batch (so a batch reads only its own
+partition); each batch's result is written to its own folder under the
+output path and is complete once its ``_SUCCESS`` marker exists.  A rerun skips finished batches
 (``do_load_cp``), so a job that lost executors or was killed resumes where
 it stopped.  The result is one ``spark.read.parquet`` over all batch
 folders (partition column ``batch``).  Batches are independent and each is
@@ -51,7 +52,15 @@ def score_in_batches(spark: SparkSession, data: DataFrame, score: Callable[[Data
     ``key_col``.  ``stop_after`` (tests) stops after that many new batches
     to simulate an interrupted run.  Returns the concatenated results."""
     batch_of = F.pmod(F.xxhash64(F.col(key_col)), F.lit(n_batches)).cast("int")
-    keyed = data.withColumn("_batch", batch_of)
+    # step 0 (itself resumable): stage the input once, partitioned by batch,
+    # so each batch reads only its own partition instead of filtering the
+    # whole input again; "_input" is hidden from the final read
+    staged = os.path.join(out_path, "_input")
+    marker, fs = _hadoop_path(spark, os.path.join(staged, "_SUCCESS"))
+    if not (do_load_cp and fs.exists(marker)):
+        data.withColumn("_batch", batch_of).write.mode("overwrite") \
+            .partitionBy("_batch").parquet(staged)
+    keyed = spark.read.parquet(staged)
     done = set(finished_batches(spark, out_path, n_batches)) if do_load_cp else set()
     written = 0
     for b in range(n_batches):
@@ -59,7 +68,7 @@ def score_in_batches(spark: SparkSession, data: DataFrame, score: Callable[[Data
             continue
         if stop_after is not None and written >= stop_after:
             break
-        part = score(keyed.where(F.col("_batch") == b).drop("_batch"))
+        part = score(keyed.where(F.col("_batch") == b).drop("_batch"))   # partition pruning
         part.write.mode("overwrite").parquet(os.path.join(out_path, f"batch={b}"))
         written += 1
     return spark.read.parquet(out_path)
