@@ -230,26 +230,43 @@ def fitted_models(spark, d, params=None, n_models=N_MODELS):
     return materialize(EN.fit_ensemble(members, params or {0: {}}, seed=0))
 
 
-@register("fit_ensemble")
+# member training-set sizes follow from the augmentation rule: n_in·m + n_in inside,
+# n_in·m·m_out + n_in outside (SURVEY Appendix B)
+_NIN = "(SELECT category, count(*) AS n_in FROM tin GROUP BY category)"
+_DIM = "(SELECT max(len(vec)) FROM word_vectors)"
+
+
+@register("fit_ensemble", sql=_sql(
+    f"SELECT category, 0 AS param_id, model_ix, "
+    f"CAST(n_in * {MULT + 1} + n_in * {MULT * MULT_OUT} + n_in AS INTEGER) AS n_rows, "
+    f"CAST(n_in * {MULT + 1} AS INTEGER) AS n_inside, 256 AS n_coef, 0 AS n_comp "
+    f"FROM {_NIN} c, range({N_MODELS}) m(model_ix)"))
 def q_fit_ensemble(spark, d):
     m = fitted_models(spark, d)
     return m.select("category", "param_id", "model_ix", "n_rows", "n_inside",
                     F.size("coef").alias("n_coef"), "n_comp")
 
 
-@register("pca_components")
+@register("pca_components", sql=_sql(
+    f"SELECT category, model_ix, CAST({_DIM} * 0.5 AS INTEGER) AS n_comp, "
+    f"CAST({_DIM} * 0.5 AS INTEGER) * {_DIM} AS n_values FROM {_NIN} c, range(2) m(model_ix)"))
 def q_pca_components(spark, d):
     m = fitted_models(spark, d, {0: {"pca": 0.5}}, n_models=2)
     return m.select("category", "model_ix", "n_comp", F.size("components").alias("n_values"))
 
 
-@register("random_fourier_features")
+@register("random_fourier_features", sql=_sql(
+    f"SELECT category, model_ix, 'rbf' AS kernel, 256 AS n_rff, round(1.0 / {_DIM}, 6) AS gamma "
+    f"FROM {_NIN} c, range(2) m(model_ix)"))
 def q_random_fourier_features(spark, d):
     m = fitted_models(spark, d, n_models=2)
     return m.select("category", "model_ix", "kernel", "n_rff", F.round("gamma", 6).alias("gamma"))
 
 
-@register("fit_categories")
+@register("fit_categories", sql=_sql(
+    f"SELECT category, CAST({N_MODELS} AS BIGINT) AS n_members, "
+    f"CAST({N_MODELS} * (n_in * {MULT + 1} + n_in * {MULT * MULT_OUT} + n_in) AS BIGINT) AS n_rows "
+    f"FROM {_NIN} c"))
 def q_fit_categories(spark, d):
     m = fitted_models(spark, d)
     return m.groupBy("category").agg(F.count(F.lit(1)).alias("n_members"),
