@@ -57,7 +57,12 @@ def q_save_tfidf(spark, d):
     return loaded.vocab.select("word", "df", F.round("idf", 6).alias("idf"))
 
 
-@register("save_clusters")
+def _cluster_sql():
+    from lexmesh.plans.q_clusters import _sql as cluster_sql
+    return cluster_sql("SELECT word, cluster_id FROM clusters")
+
+
+@register("save_clusters", sql=_cluster_sql())
 def q_save_clusters(spark, d):
     from lexmesh.plans.q_clusters import _Fitted
     path = scratch_path(spark, "clusters")
