@@ -81,3 +81,18 @@ def test_clusters_pairs_exact(spark, sf):
     want = {(rows[i]["word"], rows[j]["word"]) for i in range(len(rows))
             for j in range(i + 1, len(rows)) if s[i, j] >= 0.15}
     assert got == want
+
+
+def test_classifier_outputs_are_consistent(spark, sf):
+    """Wide flags (M8/M9) agree with the probabilities (M7, P12) and every
+    main category gets one 0/1 column."""
+    qs = E.queries()
+    flags = qs["predict_words"](spark, sf)
+    assert flags.columns == ["word", "c0", "c1"]
+    vals = {v for r in flags.collect() for v in (r["c0"], r["c1"])}
+    assert vals <= {0, 1}
+    proba = qs["predict_vectors_proba"](spark, sf).collect()
+    assert all(0.0 <= r["proba"] <= 1.0 for r in proba)
+    mean = {(r["word"], r["category"]): r["proba"]
+            for r in qs["ensemble_mean_proba"](spark, sf).collect()}
+    assert all(abs(mean[(r["word"], r["category"])] - r["proba"]) < 1e-9 for r in proba)
