@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import glob
 import os
-import zipfile
 from functools import lru_cache
 
 from pyspark.sql import Column
@@ -92,13 +90,10 @@ def capitalize(word) -> Column:
 
 @lru_cache(maxsize=None)
 def german_stopwords() -> tuple[str, ...]:
-    """The German stopword list shipped in Spark ML (same list as
-    ``StopWordsRemover.loadDefaultStopWords("german")``), read from the jar
-    without a JVM so the oracle SQL can use it too."""
-    import pyspark
-    jars = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))
-    for jar in jars:
-        with zipfile.ZipFile(jar) as z:
-            data = z.read("org/apache/spark/ml/feature/stopwords/german.txt").decode("utf-8")
-            return tuple(w.strip() for w in data.splitlines() if w.strip())
-    raise FileNotFoundError("spark-mllib jar with stopword lists not found")
+    """The German stopword list of Apache Spark ML (the words of
+    ``StopWordsRemover.loadDefaultStopWords("german")``), shipped as a data
+    file of this package so that Spark and the oracle SQL read the same list
+    without a JVM.  Read on first use, on the driver only."""
+    path = os.path.join(os.path.dirname(os.path.abspath(__file__)), "data", "german_stopwords.txt")
+    with open(path, encoding="utf-8") as f:
+        return tuple(w.strip() for w in f if w.strip())

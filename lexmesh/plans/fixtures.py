@@ -235,11 +235,18 @@ SQL_FIXTURES = {
                  "GROUP BY word"),
 }
 
-def with_fixtures(body: str, extra_ctes: str = "", recursive: bool = False) -> str:
-    """Prefix a query with every fixture CTE (DuckDB ignores unused ones)
-    and with ``extra_ctes`` (``name AS (...)`` items, comma separated)."""
-    ctes = {**SQL_FIXTURES, **sql_analyzer_ctes()}
-    parts = ",\n".join(f"{k} AS ({v})" for k, v in ctes.items())
-    if extra_ctes.strip():
-        parts += ",\n" + extra_ctes.strip().rstrip(",")
-    return f"WITH {'RECURSIVE ' if recursive else ''}{parts}\n{body}"
+
+def with_fixtures(body: str, extra_ctes: str = "", recursive: bool = False):
+    """A query prefixed with every fixture CTE (DuckDB ignores unused ones)
+    and with ``extra_ctes`` (``name AS (...)`` items, comma separated).
+
+    Returns a function without arguments: the text is put together when
+    ``oracle_sql()`` asks for it, so importing the query modules reads no
+    file and builds no SQL."""
+    def sql() -> str:
+        ctes = {**SQL_FIXTURES, **sql_analyzer_ctes()}
+        parts = ",\n".join(f"{k} AS ({v})" for k, v in ctes.items())
+        if extra_ctes.strip():
+            parts += ",\n" + extra_ctes.strip().rstrip(",")
+        return f"WITH {'RECURSIVE ' if recursive else ''}{parts}\n{body}"
+    return sql

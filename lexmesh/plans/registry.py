@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 QUERIES: dict[str, Callable] = {}
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str | Callable[[], str]] = {}
 
 
-def register(name: str, sql: str | None = None):
+def register(name: str, sql: str | Callable[[], str] | None = None):
     """Register ``fn(spark, sf_dir) -> DataFrame`` under ``name``; ``sql``
     is the equivalent DuckDB query (omitted for non-SQL operators)."""
     def deco(fn):
@@ -19,3 +19,8 @@ def register(name: str, sql: str | None = None):
             ORACLE[name] = sql
         return fn
     return deco
+
+
+def oracle_texts() -> dict[str, str]:
+    """The oracle SQL of every query that has one, built on request."""
+    return {k: v() if callable(v) else v for k, v in ORACLE.items()}
