@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lexmesh.llm.common import table
 
@@ -31,3 +32,67 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
 FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)
 WINDOW same AS (PARTITION BY t)
 """)
+
+
+def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexmesh.llm.simhash import near_duplicates
+    found = near_duplicates(table(spark, sf_dir, "documents"), words=3, max_bits=3)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+query(op3_simhash_near_dedup)
+
+
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexmesh.llm.mixing import copies
+    found = copies(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "source_size", "target",
+                        (F.col("size") * F.col("copies")).alias("taken"))
+
+
+query(op6_source_mixing, r"""
+WITH sized AS (
+  SELECT doc_id, source, coalesce('s' || source, 'n') AS key,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+         substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 3) AS slice
+  FROM documents),
+sources AS (SELECT key, source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY key, source),
+weighed AS (
+  SELECT *, [5, 2, 1][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS INTEGER) + 1] AS w,
+         source_size * 3 AS most FROM sources),
+levels AS (
+  SELECT *, CAST(sum(source_size) OVER () - coalesce(sum(most) OVER (ORDER BY most / w, key
+           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE)
+         / CAST(sum(w) OVER (ORDER BY most / w, key ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE)
+         AS level FROM weighed),
+targets AS (
+  SELECT key, source_size, least(CAST(most AS DOUBLE), coalesce(max(CASE WHEN most > level * w THEN level END)
+         OVER () * w, CAST(most AS DOUBLE))) AS target FROM levels),
+ranked AS (
+  SELECT doc_id, key, size, CAST(row_number() OVER (PARTITION BY key ORDER BY size, slice, doc_id NULLS FIRST)
+         AS DOUBLE) AS rnk, CAST(('0x' || substr(md5('mix|' || key), 1, 4))::INTEGER AS DOUBLE) / 65536 AS u
+  FROM sized),
+rated AS (
+  SELECT r.*, t.source_size, t.target,
+         CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS rate
+  FROM ranked r JOIN targets t ON t.key = r.key)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
+       CAST(size * (floor(u + rate * rnk) - floor(u + rate * (rnk - 1))) AS BIGINT) AS taken
+FROM rated
+""")
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexmesh.llm.langid import identify
+    return identify(table(spark, sf_dir, "documents"))
+
+
+query(op7_language_id)
+
+
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexmesh.llm.packing import pack, pieces
+    return pack(pieces(table(spark, sf_dir, "documents")))
+
+
+query(op2_best_fit_packing)
