@@ -96,3 +96,64 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 query(op2_best_fit_packing)
+
+
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexmesh.llm.secrets import KINDS, scan
+    found = scan(table(spark, sf_dir, "documents"))
+
+    def of(kinds):
+        return F.filter("spans", lambda s: s["kind"].isin(*kinds))
+
+    def text(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    return found.select("doc_id", *(F.size(of([k])).cast("long").alias(f"n_{k}") for k in KINDS[:3]),
+                        F.sha2(text(of(KINDS[:3])), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
+
+
+query(op4_secret_scan)
+
+
+def op9_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexmesh.llm.warc import archive_and_read
+    return archive_and_read(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
+query(op9_warc_index, """
+SELECT page_id, n AS payload_bytes, digest AS payload_digest,
+       CASE WHEN revisit THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN revisit THEN first_id END AS refers_to
+FROM (SELECT *, n >= 100 AND first_id IS NOT NULL AND (page_id IS NULL OR page_id > first_id) AS revisit
+      FROM (SELECT page_id, octet_length(encode(h)) AS n, sha256(h) AS digest,
+                   min(page_id) OVER (PARTITION BY h) AS first_id
+            FROM (SELECT page_id, coalesce(html, '') AS h FROM pages)))
+""")
+
+
+def op10_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexmesh.llm.html_text import extract
+    return extract(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
+query(op10_html_main_text)
+
+
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexmesh.llm.ann import neighbours
+    return neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+query(op8_nearest_neighbours)
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexmesh.llm.line_dedup import drop_repeated_lines
+    found = drop_repeated_lines(table(spark, sf_dir, "documents"))
+    n_removed = F.aggregate("removed", F.lit(0), lambda n, r: n + r["b"] - r["a"]).cast("long")
+    spans = F.array_join(F.transform("removed", lambda r: F.concat_ws("-", r["a"], r["b"])), ",")
+    return found.select("doc_id", "n_lines", n_removed.alias("n_removed"), spans.alias("removed"),
+                        F.sha2("text", 256).alias("text_sha256"))
+
+
+query(op5_line_dedup)
