@@ -25,8 +25,8 @@ import struct
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,12 +38,13 @@ LENGTH = 1024
 END_ID = 2
 #: Pieces packed together.
 GROUP = 1 << 15
-#: Parts kept in a worker's cache, the longest kept, and the longest given to the tokenizer whole.
-CACHE, CACHED_CHARS, WHOLE_CHARS = 400_000, 40, 1 << 16
+#: Entries of a worker's cache and the longest part kept in it.
+CACHE, CACHED_CHARS = 900_000, 40
 #: Characters of text in hand at once.
 PORTION = 1 << 20
 LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
-TWO_SPACES = re.compile(r"\s\s")
+#: White space but the space itself.
+WHITE = [c for c in map(chr, range(0x3001)) if c.isspace() and c != " "]
 
 
 def tokenizer_path() -> str:
@@ -55,52 +56,57 @@ class Encoder:
     """Token ids of texts as packed little-endian 32-bit numbers."""
 
     def __init__(self, path: str):
-        import public_tokenizers
-        import regex
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.pre_token = regex.compile(public_tokenizers.PATTERN)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
-
-    def _encode(self, parts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
-        return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in found]
-
-    def _long(self, part: str) -> bytes:
-        """A part that is too long to hold with all its offsets: by its pre-tokens."""
-        out = []
-        for piece in re.split("(" + "|".join(map(re.escape, self.special)) + ")", part) if self.special else [part]:
-            if piece in self.special:
-                out += self._encode([piece])
-                continue
-            held: list[str] = []
-            for m in self.pre_token.finditer(piece):
-                held.append(m[0])
-                if len(held) == 10_000:
-                    out += self._encode(held)
-                    held = []
-            out += self._encode(held)
-        return b"".join(out)
+        self.line_feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.known: dict[str, bytes] = {}  # by what follows a lone space
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in found]
+
+    def _learn(self, parts: list[str]) -> dict[str, bytes]:
+        """Ids of parts with their spaces.  Parts without white space are encoded
+        as the lines of one text: a line feed before a space is a token of its
+        own, and no other token has its id."""
+        lines = [p for p in parts if p.split() == [p] and not any(x in p for x in self.special)]
+        if len(self.line_feed) != 1:
+            lines = []
+        rest = list(set(parts).difference(lines))
+        out = dict(zip(rest, self._ids([" " + p for p in rest])))
+        if lines:
+            ids = np.frombuffer(self._ids(["\n".join([" " + p for p in lines])])[0], "<u4")
+            ends = [*np.flatnonzero(ids == self.line_feed[0]).tolist(), len(ids)]
+            data, at = ids.tobytes(), 0
+            for p, end in zip(lines, ends, strict=True):
+                out[p] = data[4 * at:4 * end]
+                at = end + 1
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = []
-        for t in texts:
-            parts = LONE_SPACE.split(t) if TWO_SPACES.search(t) else t.split(" ")
-            # a key is the part with its space; the first part of a text has none
-            split.append([parts[0], *[" " + p for p in parts[1:]]])
         if len(self.known) > CACHE:
             self.known.clear()
-        wanted = list(set().union(*split).difference(self.known))
-        long = [p for p in wanted if len(p) > WHOLE_CHARS]
-        short = [p for p in wanted if len(p) <= WHOLE_CHARS]
-        now = dict(zip(short, self._encode(short))) | {p: self._long(p) for p in long}
-        self.known.update(now)
-        out = [b"".join(map(self.known.__getitem__, parts)) for parts in split]
-        for p in now:
-            if len(p) > CACHED_CHARS:
-                del self.known[p]
-        return out
+        known = self.known
+        split = [t.split(" ") if only_lone_spaces(t) else LONE_SPACE.split(t) for t in texts]
+        heads = self._ids([parts[0] for parts in split])
+        found = [list(map(known.get, parts)) for parts in split]
+        for ids, head in zip(found, heads):
+            ids[0] = head
+        gaps = [[k for k, v in enumerate(ids) if v is None] for ids in found]
+        new = self._learn(list({parts[k] for parts, gap in zip(split, gaps) for k in gap}))
+        for parts, ids, gap in zip(split, found, gaps):
+            for k in gap:
+                ids[k] = new[parts[k]]
+        known.update((p, v) for p, v in new.items() if len(p) <= CACHED_CHARS)
+        return [b"".join(ids) for ids in found]
+
+
+def only_lone_spaces(text: str) -> bool:
+    """No space of the text stands beside other white space."""
+    if "  " in text:
+        return False
+    return not any(c in text and (" " + c in text or c + " " in text) for c in WHITE)
 
 
 def pieces(docs: DataFrame, path: str | None = None, length: int = LENGTH, end_id: int = END_ID,
@@ -112,19 +118,15 @@ def pieces(docs: DataFrame, path: str | None = None, length: int = LENGTH, end_i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_cache(f"encoder {path}", lambda: Encoder(path))
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for a, b in portions(texts):
-                yield _cut(ids[a:b], encoder.encode(texts.slice(a, b - a).to_pylist()))
-
-    def portions(texts: pa.Array) -> Iterator[tuple[int, int]]:
-        sizes, start, held = pc.binary_length(texts).to_pylist(), 0, 0
-        for k, n in enumerate(sizes):
-            if held and held + n > PORTION:
-                yield start, k
-                start, held = k, 0
-            held += n
-        if start < len(sizes):
-            yield start, len(sizes)
+            ids, texts, held = [], [], 0
+            for doc_id, text in zip(batch.column(0), batch.column(1)):
+                ids.append(doc_id.as_py())
+                texts.append(text.as_py())
+                held += len(texts[-1])
+                if held > PORTION:
+                    yield _cut(ids, encoder.encode(texts))
+                    ids, texts, held = [], [], 0
+            yield _cut(ids, encoder.encode(texts))
 
     def _cut(ids: list, encoded: list[bytes]) -> pa.RecordBatch:
         rows: list[tuple] = []
