@@ -230,42 +230,63 @@ class Chain:
             out.append(state)
         return out[::-1]
 
-    def gradient(self, known: list[list[int]], labels: list[int]) -> tuple[float, np.ndarray, np.ndarray]:
-        """Log-likelihood of a labelled page; expected minus seen states and moves by
-        the forward-backward recursion."""
-        s = np.array([self.weights[k].sum(axis=0) for k in known])
-        n, moves = len(s), self.moves
-        fore, aft = np.empty((n, 2)), np.zeros((n, 2))
-        fore[0] = s[0]
-        for k in range(1, n):
-            fore[k] = np.logaddexp(fore[k - 1][0] + moves[0], fore[k - 1][1] + moves[1]) + s[k]
-        for k in range(n - 2, -1, -1):
-            into = moves + (s[k + 1] + aft[k + 1])[None, :]
-            aft[k] = np.logaddexp(into[:, 0], into[:, 1])
-        total = np.logaddexp(*fore[-1])
-        y = np.array(labels)
-        state = np.exp(fore + aft - total)
-        state[np.arange(n), y] -= 1
-        pair = np.exp(fore[:-1, :, None] + moves[None] + (s[1:] + aft[1:])[:, None, :] - total).sum(axis=0)
-        np.subtract.at(pair, (y[:-1], y[1:]), 1)
-        seen = s[np.arange(n), y].sum() + moves[y[:-1], y[1:]].sum()
-        return float(seen - total), state, pair
-
-
-def train(pages: list[tuple[list[list[str]], list[int]]], steps: int = STEPS) -> Chain:
-    """Maximum likelihood with decay by AdaGrad over whole passes."""
+    def gradient(self, s: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Log-likelihood of labelled pages, padded to one length (scores
+        ``s[page, block, state]``, labels ``y[page, block]``, lengths ``n``), and
+        expected minus seen states and moves, by the forward-backward recursion
+        over all of the pages at once."""
+        length, moves = s.shape[1], self.moves
+        inside = np.arange(length)[None, :] < n[:, None]
+        fore, aft = np.empty_like(s), np.zeros_like(s)
+        fore[:, 0] = s[:, 0]
+        for k in range(1, length):
+            into = np.logaddexp(fore[:, k - 1, 0, None] + moves[0], fore[:, k - 1, 1, None] + moves[1])
+            fore[:, k] = np.where(inside[:, k, None], into + s[:, k], fore[:, k - 1])
+        for k in range(length - 2, -1, -1):
+            into = moves[None] + (s[:, k + 1] + aft[:, k + 1])[:, None, :]
+            aft[:, k] = np.where(inside[:, k + 1, None], np.logaddexp(into[:, :, 0], into[:, :, 1]), 0)
+        total = np.logaddexp(fore[:, -1, 0], fore[:, -1, 1])
+        one = np.eye(2)[y]
+        state = (np.exp(fore + aft - total[:, None, None]) - one) * inside[:, :, None]
+        pair = np.exp(fore[:, :-1, :, None] + moves + (s[:, 1:] + aft[:, 1:])[:, :, None, :]
+                      - total[:, None, None, None])
+        seen = one[:, :-1, :, None] * one[:, 1:, None, :]
+        pair = ((pair - seen) * inside[:, 1:, None, None]).sum(axis=(0, 1))
+        like = (s * one * inside[:, :, None]).sum() + (seen * moves * inside[:, 1:, None, None]).sum() - total.sum()
+        return float(like), state, pair
+
+
+def train(pages: list[tuple[list[list[str]], list[int]]], steps: int = STEPS, together: int = 64) -> Chain:
+    """Maximum likelihood with decay by AdaGrad over whole passes; pages of like
+    length are worked on together."""
     names = {x: k for k, x in enumerate(sorted({x for page, _ in pages for f in page for x in f}))}
     chain = Chain(names, np.zeros((len(names), 2)), np.zeros((2, 2)))
-    known = [([[names[x] for x in f] for f in page], labels) for page, labels in pages if page]
-    blocks_in_all = sum(len(page) for page, _ in known)
-    if not known:
+    pages = sorted((p for p in pages if p[0]), key=lambda p: len(p[0]))
+    if not pages:
         return chain
+    groups = []
+    for a in range(0, len(pages), together):
+        part = pages[a:a + together]
+        n = np.array([len(page) for page, _ in part])
+        y = np.zeros((len(part), n.max()), int)
+        for k, (_, labels) in enumerate(part):
+            y[k, :len(labels)] = labels
+        flat = [f for page, _ in part for f in page]
+        ids = np.array([names[x] for f in flat for x in f])
+        of = np.repeat(np.arange(len(flat)), [len(f) for f in flat])
+        groups.append((n, y, ids, of, np.arange(n.max())[None, :] < n[:, None]))
+    blocks_in_all = sum(int(g[0].sum()) for g in groups)
     gw, gm = np.full_like(chain.weights, 1e-8), np.full_like(chain.moves, 1e-8)
     for _ in range(steps):
         dw, dm = np.zeros_like(chain.weights), np.zeros_like(chain.moves)
-        for page, labels in known:
-            _, state, pair = chain.gradient(page, labels)
-            np.add.at(dw, np.concatenate(page), np.repeat(state, [len(f) for f in page], axis=0))
+        for n, y, ids, of, inside in groups:
+            s = np.zeros((*y.shape, 2))
+            sums = np.stack([np.bincount(of, chain.weights[ids, c]) for c in (0, 1)], axis=1)
+            s[inside] = sums
+            _, state, pair = chain.gradient(s, y, n)
+            mine = state[inside][of]
+            for c in (0, 1):
+                dw[:, c] += np.bincount(ids, mine[:, c], minlength=len(names))
             dm += pair
         dw, dm = dw / blocks_in_all + DECAY * chain.weights, dm / blocks_in_all + DECAY * chain.moves
         gw, gm = gw + dw * dw, gm + dm * dm

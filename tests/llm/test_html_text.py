@@ -67,8 +67,12 @@ def test_viterbi_and_likelihood_match_all_labellings(chain):
         values = [score(chain, page, y) for y in every]
         assert np.isclose(score(chain, page, chain.viterbi(page)), max(values))
         y = list(rng.choice(every))
-        known = [[chain.names[x] for x in f if x in chain.names] for f in page]
-        like, state, pair = chain.gradient(known, y)
+        # beside a longer page, so that this one is padded
+        s = np.zeros((2, n + 3, 2))
+        s[0, :n], s[1] = chain.scores(page), rng.random()
+        both, state, pair = chain.gradient(s, np.array([y + [0] * 3, [1] * (n + 3)]), np.array([n, n + 3]))
+        other, _, other_pair = chain.gradient(s[1:], np.ones((1, n + 3), int), np.array([n + 3]))
+        like, state, pair = both - other, state[0], pair - other_pair
         weight = np.exp(np.array(values) - np.logaddexp.reduce(values))
         assert np.isclose(like, score(chain, page, y) - np.logaddexp.reduce(values))
         for k in range(n):
