@@ -18,11 +18,12 @@ from lexmesh.functions.hashing import hash_slices, hash_u
 from lexmesh.functions.text import strip_wildcards
 from lexmesh.functions.vectors import convex_combination
 from lexmesh.operators.lexicon import merge_lexica
-from lexmesh.operators.util import global_row_number, sized_broadcast
+from lexmesh.operators.util import global_row_number
 from lexmesh.operators.vectors import embed_lexicon
 
-N_WEIGHT_ATTEMPTS = 5   # redraws when all integer weights are 0 ((1/11)^3 each)
+MAX_ROWS = 20_000       # labelled rows of a category's class
 WEIGHT_LEVELS = 11      # integer weights 0..10
+DRAWS_PER_NUMBER = 7    # 11 ** 7 weight vectors fit into one 32-bit draw
 
 
 def embedded_lexicon(main: DataFrame, word_vectors: DataFrame,
@@ -37,14 +38,18 @@ def embedded_lexicon(main: DataFrame, word_vectors: DataFrame,
 
 
 def training_rows(embedded: DataFrame, main_keys: Sequence[str],
-                  support_keys: Sequence[str] = ()) -> DataFrame:
+                  support_keys: Sequence[str] = (), max_rows: int = MAX_ROWS) -> DataFrame:
     """X/y for every main category in one table (J5):
     ``(category, row_id, term, inside, src_category, vec)``.
 
     Inside rows: the category's own terms.  Outside rows: rows of the other
     main/support categories (J4), minus terms that are also inside (anti
     join).  Each row fans out to the main categories it is an outside row
-    for with ``explode`` over the (small) key list, not with a join."""
+    for with ``explode`` over the (small) key list, not with a join.
+
+    ``max_rows`` bounds the labelled rows of a class (inside or outside) that
+    a category learns from, and with it every fitted group: of a larger class
+    the rows with the smallest hashes are taken."""
     mains = [str(k) for k in main_keys]
     roles = mains + [str(k) for k in support_keys if k not in mains]
     rel = embedded.where(F.col("category").isin(roles))
@@ -58,7 +63,9 @@ def training_rows(embedded: DataFrame, main_keys: Sequence[str],
                            ["target", "term"], "left_anti")
     outside = outside.select(F.col("target").alias("category"), "row_id", "term",
                              F.lit(False).alias("inside"), "src_category", "vec")
-    return inside.unionByName(outside)
+    rows = inside.unionByName(outside)
+    first = Window.partitionBy("category", "inside").orderBy(F.xxhash64("row_id", "src_category"), "row_id")
+    return rows.withColumn("_nth", F.row_number().over(first)).where(F.col("_nth") <= max_rows).drop("_nth")
 
 
 def outside_terms(training: DataFrame) -> DataFrame:
@@ -103,34 +110,42 @@ def _pools(training: DataFrame, group_cols: Sequence[str] = ()) -> DataFrame:
                         "row_id", "vec")
 
 
+def draw_weights(n_draw: int, seed: int) -> F.Column:
+    """``n_draw`` integer weights 0..10 that are not all 0, from hash draws.
+
+    A weight vector is the digits of a number to the base 11.  The last
+    number is drawn from 1 on unless an earlier one is above 0 already, so
+    the vector is never all zero, without redrawing."""
+    digits, before = [], F.lit(False)
+    for k in range(0, n_draw, DRAWS_PER_NUMBER):
+        here = min(DRAWS_PER_NUMBER, n_draw - k)
+        span = WEIGHT_LEVELS ** here
+        u = hash_u(F.lit(seed), "sample_key", F.lit("w"), F.lit(k))
+        code = u % span
+        if k + here == n_draw:
+            code = F.when(before, code).otherwise(u % (span - 1) + 1)
+        before = before | (code > 0)
+        digits += [F.floor(code / WEIGHT_LEVELS ** i).cast("bigint") % WEIGHT_LEVELS for i in range(here)]
+    return F.array(*digits)
+
+
 def augment_samples(requests: DataFrame, pools: DataFrame, n_draw: int = 3,
                     seed: int = 0) -> DataFrame:
     """Convex combinations (M1).  ``requests`` has one row per synthetic
     sample with ``sample_key`` (unique string) and ``pool_id``; each sample
     draws ``n_draw`` pool rows with replacement (index = u % n_pool) and
-    integer weights 0..10, redrawn when all are 0 (first attempt with a
-    non-zero sum).  Output: the request columns plus ``vec``."""
-    if n_draw > 4:
-        raise ValueError("n_draw <= 4: one md5 gives the draws of one attempt")
+    integer weights 0..10 (:func:`draw_weights`).  Output: the request
+    columns plus ``vec``."""
     sizes = pools.select("pool_id", "n_pool").distinct()
     req = requests.join(sizes, "pool_id")
-    # one md5 per attempt gives all weights of that attempt; later attempts
-    # are only evaluated when the earlier ones are all zero (CASE WHEN)
-    attempts = [F.array(*[w % WEIGHT_LEVELS for w in
-                          hash_slices(n_draw, F.lit(seed), "sample_key", F.lit("w"), F.lit(k))])
-                for k in range(N_WEIGHT_ATTEMPTS)]
-    chosen = F.lit(None)
-    for k in reversed(range(N_WEIGHT_ATTEMPTS)):
-        total = F.aggregate(attempts[k], F.lit(0).cast("bigint"), lambda a, x: a + x)
-        chosen = F.when(total > 0, attempts[k]).otherwise(chosen)
-    chosen = F.coalesce(chosen, F.array_repeat(F.lit(1).cast("bigint"), n_draw))
-    # one md5 gives the pool indices of all draws of the sample
-    ix = hash_slices(n_draw, F.lit(seed), "sample_key", F.lit("ix"))
-    req = req.withColumn("_w", chosen)
-    # each draw is one equi-join of the sample row with the (lexicon-sized,
-    # size-checked broadcast) pool table, so the draws of a sample stay in
-    # its row: no explode, no shuffle, no regrouping of vectors
-    pool_vecs = sized_broadcast(pools.select("pool_id", "pool_pos", "vec"))
+    # one md5 gives the pool indices of four draws of the sample
+    ix = hash_slices(min(n_draw, 4), F.lit(seed), "sample_key", F.lit("ix"))
+    for k in range(4, n_draw, 4):
+        ix += hash_slices(min(n_draw - k, 4), F.lit(seed), "sample_key", F.lit("ix"), F.lit(k))
+    req = req.withColumn("_w", draw_weights(n_draw, seed))
+    # each draw is one equi-join of the sample row with the pool table, so
+    # the draws of a sample stay in its row; the planner picks the join by bytes
+    pool_vecs = pools.select("pool_id", "pool_pos", "vec")
     for i in range(n_draw):
         p = pool_vecs.select(F.col("pool_id").alias(f"_pid{i}"),
                              F.col("pool_pos").alias(f"_pp{i}"), F.col("vec").alias(f"_v{i}"))

@@ -15,8 +15,6 @@ Group size is bounded by ``2 * block_size`` rows whatever the vocabulary.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -24,6 +22,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexmesh.functions.vectors import zeros
 from lexmesh.operators.util import global_row_number
 from lexmesh.session import materialize
 
@@ -60,15 +59,18 @@ def _block_pairs_fn(min_cos: float):
 
 
 def similar_word_pairs(words: DataFrame, word_vectors: DataFrame,
-                       distance_threshold: float = 0.5, block_size: int = 2048) -> DataFrame:
+                       distance_threshold: float = 0.5, block_size: int | None = None) -> DataFrame:
     """Pairs ``(word_a < word_b)`` with cosine distance <= threshold.
 
-    ``words`` has ``(word, idx)`` (from :func:`vocab_top_n_words`)."""
+    ``words`` has ``(word, idx)`` (from :func:`vocab_top_n_words`).
+    ``block_size`` is an eighth of the words by default, 128 to 2,048, so
+    that small vocabularies are spread over tasks too."""
     from lexmesh.functions.vectors import unit
     wv = words.join(word_vectors, "word").select("word", "idx", unit("vec").alias("unit"))
     n_blocks_row = words.agg(F.max("idx").alias("m")).first()
     if n_blocks_row["m"] is None:
         return words.sparkSession.createDataFrame([], PAIR_SCHEMA)
+    block_size = block_size or min(2048, max(128, -(-(int(n_blocks_row["m"]) + 1) // 8)))
     n_blocks = int(n_blocks_row["m"]) // block_size + 1
     blk = wv.withColumn("block", F.floor(F.col("idx") / block_size).cast("int"))
     # role L: the word's block is the first of the pair (diagonal included)
@@ -85,7 +87,7 @@ def similar_word_pairs(words: DataFrame, word_vectors: DataFrame,
                                                   schema=PAIR_SCHEMA)
 
 
-def cluster_words(words: DataFrame, pairs: DataFrame, max_iter: int = 100) -> DataFrame:
+def cluster_words(words: DataFrame, pairs: DataFrame) -> DataFrame:
     """Connected components of the similarity graph (C2).  ``cluster_id`` =
     smallest ``idx`` in the component.
 
@@ -94,13 +96,13 @@ def cluster_words(words: DataFrame, pairs: DataFrame, max_iter: int = 100) -> Da
     rounds grows with the log of the component diameter.  Labels only
     decrease and stay inside the component, so the fixed point is the
     component minimum.  Every round is written to the shared folder
-    (lineage cut, restartable); the loop stops when no label changes."""
+    (lineage cut, restartable); the loop ends only when no label changes."""
     edges = pairs.select(F.col("word_a").alias("src"), F.col("word_b").alias("dst")).unionByName(
         pairs.select(F.col("word_b").alias("src"), F.col("word_a").alias("dst")))
     edges = materialize(edges, "cluster-edges")
     idx_of = words.select(F.col("idx").alias("label"), F.col("word").alias("root"))
     labels = materialize(words.select("word", F.col("idx").alias("label")), "cluster-labels")
-    for _ in range(max_iter):
+    while True:
         cand = (edges.join(labels.withColumnRenamed("word", "src"), "src")
                      .groupBy("dst").agg(F.min("label").alias("cand"))
                      .withColumnRenamed("dst", "word"))
@@ -154,13 +156,16 @@ def doc_clusters(tfidf: DataFrame, clusters: DataFrame, word_vectors: DataFrame,
     return kept.join(vecs, [id_col, "cluster_id"])
 
 
-def doc_vectors_clusters(doc_clusters_df: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def doc_vectors_clusters(doc_clusters_df: DataFrame, id_col: str = "doc_id",
+                         docs: DataFrame | None = None, dim: int | None = None) -> DataFrame:
     """Aggregated form (C4): Σ weight × cluster vector per document (the
-    weights sum to 1, so this is the weighted mean)."""
+    weights sum to 1, so this is the weighted mean).  With ``docs`` and
+    ``dim`` given, documents without a cluster get a zero vector."""
     agg = doc_clusters_df.groupBy(id_col).agg(
         Summarizer.mean(array_to_vector("vec"), F.col("weight")).alias("_m"))
-    return agg.select(id_col, vector_to_array("_m").alias("vec"))
-
-
-def n_blocks_for(n_words: int, block_size: int) -> int:
-    return max(1, math.ceil(n_words / block_size))
+    vecs = agg.select(id_col, vector_to_array("_m").alias("vec"))
+    if docs is not None:
+        if dim is None:
+            raise ValueError("dim is required to give documents without a cluster a zero vector")
+        vecs = docs.select(id_col).join(vecs, id_col, "left").withColumn("vec", F.coalesce("vec", zeros(dim)))
+    return vecs

@@ -5,14 +5,14 @@ is one group of ``groupBy(category, param_id, fold, model_ix)
 .applyInPandas``.  A member is: standardise -> optional PCA -> random
 Fourier features for the RBF kernel (Rahimi & Recht 2007; identity map
 for the linear kernel) -> class-balanced least-squares SVM in closed form
-(Suykens & Vandewalle 1999) -> Platt sigmoid for probabilities.  Groups
-are lexicon-sized (the augmented training set of one member), so a group
-always fits a worker; what scales is the number of groups.
+(Suykens & Vandewalle 1999) -> Platt sigmoid for probabilities.  A
+group is the augmented training set of one member, bounded by
+``augment.MAX_ROWS``; what scales is the number of groups.
 
 Scoring (J9): ``mapInPandas`` over Arrow batches of vectors; the fitted
-coefficient rows (members x small arrays) are broadcast, and the member
-probabilities are averaged inside the batch (A13), so scoring adds no
-shuffle.
+coefficient rows are broadcast in blocks of bounded bytes, and the member
+probabilities are averaged inside the batch (A13), so scoring with one
+block adds no shuffle.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ MODEL_SCHEMA = (
     "rff_seed bigint, gamma double, n_rff int, coef array<double>, intercept double, "
     "platt_a double, platt_b double, n_rows int, n_inside int")
 
+BLOCK_BYTES = 32 << 20   # coefficients that are broadcast at once
+
 DEFAULT_PARAMS = {"kernel": "rbf", "svc_c": 1.0, "pca": None, "n_rff": 256}
 
 
@@ -161,64 +163,102 @@ def fit_ensemble(member_rows: DataFrame, params: dict[int, dict] | None = None,
         _fit_groups_fn(params or {0: {}}, seed), schema=MODEL_SCHEMA)
 
 
-def _score_fn(models_bc, id_cols: Sequence[str], level: str, run_fast: bool):
+def _member_scores(x: np.ndarray, m: dict, run_fast: bool) -> np.ndarray:
+    return (decision(x, m) > 0).astype("float64") if run_fast else member_proba(x, m)   # hard vote (M13)
+
+
+def _score_fn(block, id_cols: Sequence[str], level: str, run_fast: bool):
     def fn(batches):
-        models = models_bc.value          # shipped once per executor (broadcast)
-        cats = sorted({m["category"] for m in models})
+        models = block.value              # shipped once per executor (broadcast)
+        sets = sorted({(m["category"], m["param_id"], m["fold"]) for m in models})
         for pdf in batches:
             if pdf.empty:
                 continue
             x = np.vstack(pdf["vec"].to_numpy())
-            out = []
-            for m in models:
-                if run_fast:
-                    p = (decision(x, m) > 0).astype("float64")         # hard vote (M13)
-                else:
-                    p = member_proba(x, m)
-                out.append((m["category"], m["param_id"], m["fold"], m["model_ix"], p))
+            out = [(m, _member_scores(x, m, run_fast)) for m in models]
             if level == "member":
-                for cat, pid, fold, mix, p in out:
-                    frame = pdf[list(id_cols)].copy()
-                    frame["category"], frame["param_id"], frame["fold"] = cat, pid, fold
-                    frame["model_ix"], frame["proba"] = mix, p
-                    yield frame
+                for m, p in out:
+                    yield pdf[list(id_cols)].assign(category=m["category"], param_id=m["param_id"],
+                                                    fold=m["fold"], model_ix=m["model_ix"], proba=p)
             else:
-                # A13 in the batch: mean over members, then over parameter sets
-                for cat in cats:
-                    per_param = {}
-                    for c, pid, fold, mix, p in out:
-                        if c == cat:
-                            per_param.setdefault((pid, fold), []).append(p)
-                    means = [np.mean(v, axis=0) for v in per_param.values()]
-                    frame = pdf[list(id_cols)].copy()
-                    frame["category"] = cat
-                    frame["proba"] = np.mean(means, axis=0)
-                    yield frame
+                for key in sets:
+                    ps = [p for m, p in out if (m["category"], m["param_id"], m["fold"]) == key]
+                    yield pdf[list(id_cols)].assign(category=key[0], param_id=key[1], fold=key[2],
+                                                    total=np.sum(ps, axis=0), members=len(ps))
     return fn
 
 
-def collect_models(models: DataFrame) -> list[dict]:
-    """Fitted coefficient rows to the driver: members x small arrays, the
-    size is set by the lexicon and the parameter grid, not by the data."""
-    return [r.asDict() for r in models.collect()]
-
-
-def predict_proba(vectors: DataFrame, models, id_cols: Sequence[str] = ("id",),
-                  vec_col: str = "vec", level: str = "category",
-                  run_fast: bool = False) -> DataFrame:
+def model_blocks(models: DataFrame, max_bytes: int = BLOCK_BYTES):
+    """The fitted coefficient rows in blocks of about ``max_bytes``, so that
+    what is broadcast at once has a bound however many members there are."""
+    block, held = [], 0
+    for r in models.orderBy("category", "param_id", "fold", "model_ix").toLocalIterator():
+        m = r.asDict()
+        size = 8 * sum(len(m[k]) for k in ("mean", "scale", "components", "coef"))
+        if block and held + size > max_bytes:
+            yield block
+            block, held = [], 0
+        block.append(m)
+        held += size
+    if block:
+        yield block
+
+
+def predict_proba(vectors: DataFrame, models: DataFrame, id_cols: Sequence[str] = ("id",),
+                  vec_col: str = "vec", level: str = "category", run_fast: bool = False,
+                  max_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Probability per category for given vectors (M7, J9): long
     ``(*ids, category, proba)``; ``level="member"`` keeps every member
-    (``param_id, fold, model_ix``) for A13 / M13."""
-    ms = collect_models(models) if isinstance(models, DataFrame) else list(models)
-    bc = vectors.sparkSession.sparkContext.broadcast(ms)
+    (``param_id, fold, model_ix``) for A13 / M13.
+
+    Models are broadcast in blocks of at most ``max_bytes``.  One block, the
+    usual case, needs no shuffle; several give sums per block that are added
+    up per id."""
     idf = vectors.select(*id_cols, F.col(vec_col).alias("vec")).where(F.col("vec").isNotNull())
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in idf.schema.fields
                        if f.name in id_cols)
+    schema = f"{fields}, category string, param_id int, fold int, " + (
+        "model_ix int, proba double" if level == "member" else "total double, members int")
+    sc = vectors.sparkSession.sparkContext
+    parts = [idf.mapInPandas(_score_fn(sc.broadcast(b), id_cols, level, run_fast), schema=schema)
+             for b in model_blocks(models, max_bytes)]
+    if not parts:
+        parts = [vectors.sparkSession.createDataFrame([], schema)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
     if level == "member":
-        schema = f"{fields}, category string, param_id int, fold int, model_ix int, proba double"
-    else:
-        schema = f"{fields}, category string, proba double"
-    return idf.mapInPandas(_score_fn(bc, id_cols, level, run_fast), schema=schema)
+        return out
+    if len(parts) > 1:
+        out = out.groupBy(*id_cols, "category", "param_id", "fold").agg(
+            F.sum("total").alias("total"), F.sum("members").alias("members"))
+    one_set = models.select("param_id", "fold").distinct().limit(2).count() <= 1
+    out = out.withColumn("proba", F.col("total") / F.col("members"))
+    if one_set:
+        return out.select(*id_cols, "category", "proba")
+    return out.groupBy(*id_cols, "category").agg(F.avg("proba").alias("proba"))
+
+
+def score_held_out(held: DataFrame, models: DataFrame) -> DataFrame:
+    """Members' scores of held-out rows: ``(category, param_id, fold, model_ix,
+    id, inside, proba)``.  Rows ``held(category, fold, param_id, id, inside,
+    vec)`` meet the members of their own category, fold and parameter set
+    only, by a cogroup; neither side passes the driver, and a group is bounded
+    by the labelled rows of a category (``augment.MAX_ROWS``)."""
+    keys = ["category", "fold", "param_id"]
+
+    def fn(rows: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
+        frames = []
+        if len(rows) and len(members):
+            x = np.vstack(rows["vec"].to_numpy())
+            for m in members.to_dict("records"):
+                frames.append(rows[["category", "param_id", "fold", "id", "inside"]].assign(
+                    model_ix=m["model_ix"], proba=member_proba(x, m)))
+        cols = ["category", "param_id", "fold", "model_ix", "id", "inside", "proba"]
+        return pd.concat(frames)[cols] if frames else pd.DataFrame(columns=cols)
+
+    return held.groupBy(*keys).cogroup(models.groupBy(*keys)).applyInPandas(
+        fn, "category string, param_id int, fold int, model_ix int, id bigint, inside boolean, proba double")
 
 
 def ensemble_mean_proba(member_proba_df: DataFrame, id_cols: Sequence[str] = ("id",)) -> DataFrame:
@@ -235,8 +275,10 @@ def hard_vote(member_votes: DataFrame, id_cols: Sequence[str] = ("id",)) -> Data
 
 def class_balance_weights(training: DataFrame) -> DataFrame:
     """``class_weight="balanced"``: n / (2 · n_class) per category and class
-    (A16), as a weight column for every training row."""
-    from pyspark.sql import Window
-    n = F.count(F.lit(1)).over(Window.partitionBy("category"))
-    n_cls = F.count(F.lit(1)).over(Window.partitionBy("category", "inside"))
-    return training.withColumn("class_weight", n / (F.lit(2.0) * n_cls))
+    (A16), as a weight column for every training row.  Classes are counted
+    with partial aggregates; the rows join those counts, two per category."""
+    counts = training.groupBy("category", "inside").agg(F.count(F.lit(1)).alias("_n_class"))
+    totals = counts.groupBy("category").agg(F.sum("_n_class").alias("_n"))
+    weights = counts.join(totals, "category").select(
+        "category", "inside", (F.col("_n") / (F.lit(2.0) * F.col("_n_class"))).alias("class_weight"))
+    return training.join(weights, ["category", "inside"])

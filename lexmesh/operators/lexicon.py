@@ -20,7 +20,7 @@ POLARITY_SCHEMA = "pos int, term string, weight double"
 
 def drop_missing_terms(lexicon: DataFrame) -> DataFrame:
     """Keep non-missing cells."""
-    return lexicon.where(F.col("term").isNotNull() & (F.col("term") != ""))
+    return lexicon.where(F.col("term").isNotNull())
 
 
 def clean_terms(lexicon: DataFrame) -> DataFrame:

@@ -20,13 +20,8 @@ from pyspark.sql import functions as F
 
 from lexmesh.functions.text import WHITESPACE_SPLIT
 from lexmesh.functions.vectors import dot_literal, norm, unit
-from lexmesh.operators.util import sized_broadcast
 from lexmesh.session import materialize
 
-# Vocabulary-sized (word, polarity) tables up to this many rows are
-# broadcast to the token join; above it the join shuffles on the word.
-WORD_SCORE_BROADCAST_ROWS = 2_000_000
-
 
 @dataclass
 class PolarityAxis:
@@ -93,13 +88,15 @@ def doc_polarity_allwords(docs: DataFrame, word_vectors: DataFrame, axis: Polari
     duplicates counted; no such token -> null (A11).
 
     One pass: tokens are exploded in place (``explode_outer`` keeps empty
-    documents), joined to the broadcast per-word scalar, and averaged per
-    document (partial aggregation before the one shuffle on ``doc_id``)."""
+    documents) and counted per (document, word), so a word costs the join
+    to its scalar one row per document; a weighted mean per document ends
+    it."""
     tokens = F.filter(F.split(F.col(text_col), WHITESPACE_SPLIT), lambda t: t != "")
     toks = docs.select(F.col(id_col), F.explode_outer(tokens).alias("word"))
-    scores = sized_broadcast(word_scores(word_vectors, axis), WORD_SCORE_BROADCAST_ROWS)
-    return (toks.join(scores, "word", "left")
-                .groupBy(id_col).agg(F.avg("polarity").alias("polarity")))
+    counted = toks.groupBy(id_col, "word").agg(F.count(F.lit(1)).alias("n"))
+    n = F.sum(F.when(F.col("polarity").isNotNull(), F.col("n")))
+    return (counted.join(word_scores(word_vectors, axis), "word", "left")
+                   .groupBy(id_col).agg((F.sum(F.col("polarity") * F.col("n")) / n).alias("polarity")))
 
 
 def doc_polarity_vectors(doc_vectors: DataFrame, axis: PolarityAxis,

@@ -11,10 +11,15 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexmesh.functions.rules import DEFAULT_RULES
 from lexmesh.functions.text import (BAD_TOKEN_PARTS, DROPPED_ENTITIES, LEMMA_PUNCT,
                                     LETTER_SPLIT, RELEVANT_POS, WHITESPACE_SPLIT,
-                                    capitalize, german_stopwords)
-from lexmesh.operators.util import sized_broadcast
+                                    apply_rules, capitalize, german_stopwords)
+
+
+def clean_docs(docs: DataFrame, rules=DEFAULT_RULES, text_col: str = "text") -> DataFrame:
+    """The cleaner (F2) as the first stage of the tf-idf pipeline."""
+    return docs.withColumn(text_col, apply_rules(F.col(text_col).cast("string"), rules))
 
 
 def tokenize(docs: DataFrame, id_cols=("doc_id",), text_col: str = "text",
@@ -54,22 +59,16 @@ def derive_annotations(surfaces: DataFrame, surface_col: str = "surface") -> Dat
                            ent.alias("ent_type"))
 
 
-# Annotation tables (one row per surface form) up to this many rows are
-# broadcast to the token join; larger ones are joined by a shuffle on the
-# surface form, and the token side is never the broadcast side.
-ANNOTATION_BROADCAST_ROWS = 2_000_000
-
-
 def annotate_tokens(tokens: DataFrame, annotations: DataFrame,
                     token_col: str = "word") -> DataFrame:
     """Attach ``lemma, upos, ent_type`` per token by a left join on the
     surface form (P7).  Unannotated surface: lemma = surface, upos null.
 
-    The annotation table is vocabulary-sized: it is broadcast when it has a
-    proven small size, otherwise the join shuffles on the token string and
-    AQE splits hot tokens (skew join)."""
-    ann = sized_broadcast(annotations.select("surface", "lemma", "upos", "ent_type"),
-                          ANNOTATION_BROADCAST_ROWS)
+    ``tokens`` may also be counted tokens ``(doc_id, word, n)``, which is one
+    row per document and surface form instead of one per occurrence.  The
+    join is left to the planner, which decides by bytes at run time and
+    splits hot tokens (skew join)."""
+    ann = annotations.select("surface", "lemma", "upos", "ent_type")
     joined = tokens.join(ann, tokens[token_col] == ann["surface"], "left")
     return joined.select(*[tokens[c] for c in tokens.columns],
                          F.coalesce(F.col("lemma"), tokens[token_col]).alias("lemma"),
@@ -109,19 +108,24 @@ def stopword_list(spark: SparkSession, extra_path: str | None = None,
 
 
 def anti_stopwords(tokens: DataFrame, stopwords: DataFrame, col: str = "word") -> DataFrame:
-    """Tokens not in the stopword set (J6); the stopword side is broadcast
-    behind a row-count check."""
-    sw = sized_broadcast(stopwords.select(F.col("word").alias(col)).distinct())
+    """Tokens (or counted tokens) not in the stopword set."""
+    sw = stopwords.select(F.col("word").alias(col)).distinct()
     return tokens.join(sw, col, "left_anti")
 
 
 def tokens_in_vocabulary(tokens: DataFrame, word_vectors: DataFrame,
                          col: str = "word") -> DataFrame:
-    """Tokens that have a vector, with multiplicity."""
+    """Tokens (or counted tokens) that have a vector, with multiplicity."""
     keys = word_vectors.select(F.col("word").alias(col))
     return tokens.join(keys, col, "left_semi")
 
 
+def count_tokens(tokens: DataFrame, id_cols=("doc_id",), col: str = "word") -> DataFrame:
+    """``(*id_cols, word, n)``: occurrences per document, so that a join on
+    the word moves one row for each instead of one per occurrence."""
+    return tokens.groupBy(*id_cols, col).agg(F.count(F.lit(1)).alias("n"))
+
+
 def analyze(docs: DataFrame, annotations: DataFrame, stopwords: DataFrame,
             id_cols=("doc_id",), text_col: str = "text",
             relevant_pos: Iterable[str] = RELEVANT_POS) -> DataFrame:
@@ -156,7 +160,6 @@ def analyzed_term_frequency(docs: DataFrame, annotations: DataFrame, stopwords:
     an annotation has no POS tag and is dropped by P8 either way."""
     toks = tokenize(docs, id_cols=id_cols, text_col=text_col, mode="letters", lower=False)
     surf = toks.groupBy(*id_cols, "word").agg(F.count(F.lit(1)).alias("n"))
-    mapping = sized_broadcast(prepare_annotations(annotations, stopwords, relevant_pos)
-                              .withColumnRenamed("word", "norm"), ANNOTATION_BROADCAST_ROWS)
+    mapping = prepare_annotations(annotations, stopwords, relevant_pos).withColumnRenamed("word", "norm")
     joined = surf.join(mapping, surf["word"] == mapping["surface"])
     return joined.groupBy(*id_cols, F.col("norm").alias("word")).agg(F.sum("n").alias("tf"))

@@ -5,25 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# Default row bound under which a side is broadcast explicitly.  Lexica,
-# stopword lists, rule tables and model coefficients are far below it; a
-# larger side falls back to a shuffle join (AQE may still broadcast it at
-# run time under spark.sql.autoBroadcastJoinThreshold).
-BROADCAST_MAX_ROWS = 200_000
-
-
-def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``df`` only when it provably has at most ``max_rows`` rows.
-
-    The check is a bounded action (``limit(max_rows + 1).count()``), so it
-    never scans more than ``max_rows + 1`` rows per partition.
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
-def round6(col):
-    return F.round(col, 6)
+from lexmesh.session import materialize
 
 
 def global_row_number(df: DataFrame, order_cols: list, name: str = "idx",
@@ -32,35 +14,30 @@ def global_row_number(df: DataFrame, order_cols: list, name: str = "idx",
 
     Distributed form of ``row_number() OVER (ORDER BY ...)``: range-partition
     on the order, number rows inside each range, then add the row count of
-    all earlier ranges.  Only a table with one row per partition is ordered
-    globally, so no task ever holds the whole input.  ``order_cols`` must be
-    a total order (break ties by a key).
+    all earlier ranges.  The ranged rows are written once with the number of
+    their range, and both the numbering and the counts read that one table,
+    so they agree on the ranges whatever columns either of them needs.  Only
+    a table with one row per range is ordered globally.  ``order_cols`` must
+    be a total order (break ties by a key).
     """
-    ranged = df.repartitionByRange(*order_cols).withColumn("_part", F.spark_partition_id())
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = materialize(df.repartitionByRange(n, *order_cols)
+                           .withColumn("_part", F.spark_partition_id()), "ranges")
     local = ranged.withColumn(
         "_rn", F.row_number().over(Window.partitionBy("_part").orderBy(*order_cols)))
-    counts = local.groupBy("_part").agg(F.count(F.lit(1)).alias("_cnt"))
-    offsets = counts.withColumn(
-        "_off",
-        F.coalesce(F.sum("_cnt").over(
-            Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    # one row per partition: size bound = number of shuffle partitions
-    out = local.join(F.broadcast(offsets.select("_part", "_off")), "_part")
+    counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_cnt"))
+    offsets = counts.select("_part", F.coalesce(F.sum("_cnt").over(
+        Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
+    # one row per range: n rows at most
+    out = local.join(F.broadcast(offsets), "_part")
     return out.withColumn(name, (F.col("_off") + F.col("_rn") - 1 + start).cast("bigint")) \
               .drop("_part", "_rn", "_off")
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-repartition an under-partitioned input on ``keys``.
+    """Hash-partition the corpus once on the document key.
 
-    A large corpus is read in thousands of splits and is left alone (no
-    extra shuffle).  A small file with one row group yields one split;
-    tokenising it would run on one core, so it is spread over
-    ``spark.sql.shuffle.partitions`` partitions, hashed on the document key
-    so that later per-document aggregations need no further exchange."""
-    spark = df.sparkSession
-    target = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
-        return df
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), target)
-    return df.repartition(n, *keys)
+    Tokens exploded from it stay in the document's partition, so counts,
+    norms and ranks per document need no further exchange, and a corpus
+    stored in few row groups is read on all cores."""
+    return df.repartition(*keys)

@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmesh.functions.vectors import zeros
-from lexmesh.operators.util import sized_broadcast
 
 
 def as_word_vectors(df: DataFrame, word_col: str = "word", vec_col: str = "vec") -> DataFrame:
@@ -66,6 +65,3 @@ def flatten_terms(terms_matrix: DataFrame, col: str = "terms") -> DataFrame:
     return (terms_matrix.select(F.explode(arr).alias("term"))
                         .where(F.col("term").isNotNull()).distinct())
 
-
-def small_side(df: DataFrame) -> DataFrame:
-    return sized_broadcast(df)

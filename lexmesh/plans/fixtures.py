@@ -7,9 +7,10 @@ table grows with the data:
 * tokens: ``split(lower(text), '[^\\p{L}]+')`` without empty strings;
 * word vectors: words ranked by (document frequency desc, word); the word
   of rank ``r`` takes the embedding with ``vec_id = r`` (cast to double);
-* category lexicon: category ``c<label>`` for labels 0-3 (0, 1 main;
-  2, 3 support), ``pos`` = rank of the word in its label by ``vec_id``;
-* polarity lexicon: the same words, weight by label, ``pos`` = ``vec_id``;
+* category lexicon: category ``c<label % 4>`` (0, 1 main; 2, 3 support), so
+  every labelled word is a term, ``pos`` = rank of the word in its category
+  by ``vec_id``;
+* polarity lexicon: the same words, weight by category, ``pos`` = ``vec_id``;
 * annotations: hashed from the surface form (see ``derive_annotations``).
 """
 
@@ -18,12 +19,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexmesh.operators.tokens import tokenize
+from lexmesh.operators.tokens import clean_docs, tokenize
 from lexmesh.operators.util import global_row_number, spread
 from lexmesh.session import materialize
 
 # ---------------------------------------------------------------------------
-# Fixed values of the derived fixtures.
+# Fixed values of the derived fixtures (labels are taken modulo 4).
 MAIN_LABELS = [0, 1]
 SUPPORT_LABELS = [2, 3]
 POLARITY_BY_LABEL = {0: 0.9, 1: 0.7, 2: -0.7, 3: -0.9}
@@ -88,7 +89,7 @@ def prepare_inputs(spark: SparkSession, sf_dir: str) -> None:
 def category_lexicon(spark: SparkSession, sf_dir: str, labels=None, wv=None) -> DataFrame:
     labels = labels if labels is not None else MAIN_LABELS + SUPPORT_LABELS
     wv = wv if wv is not None else word_vectors(spark, sf_dir, with_meta=True)
-    wv = wv.where(F.col("label").isin(labels))
+    wv = wv.withColumn("label", F.col("label") % 4).where(F.col("label").isin(labels))
     pos = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
     return wv.select(F.concat(F.lit("c"), F.col("label").cast("string")).alias("category"),
                      pos.cast("int").alias("pos"), F.col("word").alias("term"))
@@ -104,16 +105,23 @@ def support_lexicon(spark, sf_dir, wv=None):
 
 def polarity_lexicon(spark: SparkSession, sf_dir: str, wv=None) -> DataFrame:
     wv = wv if wv is not None else word_vectors(spark, sf_dir, with_meta=True)
-    wv = wv.where(F.col("label").isin(list(POLARITY_BY_LABEL)))
+    wv = wv.withColumn("label", F.col("label") % 4).where(F.col("label").isNotNull())
     weight = F.create_map(*[x for k, v in POLARITY_BY_LABEL.items()
                             for x in (F.lit(k), F.lit(float(v)))])[F.col("label")]
     return wv.select(F.col("vec_id").cast("int").alias("pos"), F.col("word").alias("term"),
                      weight.alias("weight"))
 
 
+def cleaned_docs(spark: SparkSession, sf_dir: str, clean: bool = True) -> DataFrame:
+    """The corpus after the default cleaning rules (F2), which come before
+    the analyzer in the tf-idf pipeline."""
+    corpus = docs(spark, sf_dir)
+    return clean_docs(corpus) if clean else corpus
+
+
 def surface_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Letter tokens as written (no lower-casing): the analyzer's input."""
-    return tokenize(docs(spark, sf_dir), mode="letters", lower=False)
+    return tokenize(cleaned_docs(spark, sf_dir), mode="letters", lower=False)
 
 
 def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,13 +134,13 @@ def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def analyzed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P7 -> P8 -> P9 -> J6 over the corpus: ``(doc_id, tok_pos, ..., word)``."""
     from lexmesh.operators.tokens import analyze, stopword_list
-    return analyze(docs(spark, sf_dir), annotations(spark, sf_dir), stopword_list(spark))
+    return analyze(cleaned_docs(spark, sf_dir), annotations(spark, sf_dir), stopword_list(spark))
 
 
 def analyzed_tf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Term counts of the analyzer's output ``(doc_id, word, tf)``."""
     from lexmesh.operators.tokens import analyzed_term_frequency, stopword_list
-    return analyzed_term_frequency(docs(spark, sf_dir), annotations(spark, sf_dir),
+    return analyzed_term_frequency(cleaned_docs(spark, sf_dir), annotations(spark, sf_dir),
                                    stopword_list(spark))
 
 
@@ -143,12 +151,14 @@ def sql_stopwords() -> str:
 
 
 def sql_analyzer_ctes() -> dict:
+    from lexmesh.functions.rules import sql_clean_expr
     from lexmesh.functions.text import LEMMA_PUNCT
     punct = LEMMA_PUNCT.replace("'", "''")
     return {
+        "cleaned": f"SELECT doc_id, {sql_clean_expr('text')} AS text FROM documents",
         "raw_toks": (
             "SELECT doc_id, word AS surface FROM (SELECT doc_id, "
-            "unnest(regexp_split_to_array(text, '[^\\p{L}]+')) AS word FROM documents) "
+            "unnest(regexp_split_to_array(text, '[^\\p{L}]+')) AS word FROM cleaned) "
             "WHERE word <> ''"),
         "annotated": (
             "SELECT doc_id, surface, surface AS lemma, "
@@ -195,7 +205,7 @@ def sql_analyzer_ctes() -> dict:
 
 # --- DuckDB forms -----------------------------------------------------------
 
-_WEIGHT_CASE = "CASE label " + " ".join(
+_WEIGHT_CASE = "CASE label % 4 " + " ".join(
     f"WHEN {k} THEN {v}" for k, v in POLARITY_BY_LABEL.items()) + " END"
 
 SQL_FIXTURES = {
@@ -211,14 +221,14 @@ SQL_FIXTURES = {
         "SELECT r.word, CAST(e.embedding AS DOUBLE[]) AS vec, e.label, r.vec_id "
         "FROM ranked r JOIN embeddings e ON e.vec_id = r.vec_id"),
     "category_lexicon": (
-        "SELECT 'c' || CAST(label AS VARCHAR) AS category, "
-        "CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS INTEGER) AS pos, "
-        "word AS term FROM word_vectors WHERE label IN (0, 1, 2, 3)"),
+        "SELECT 'c' || CAST(label % 4 AS VARCHAR) AS category, "
+        "CAST(row_number() OVER (PARTITION BY label % 4 ORDER BY vec_id) - 1 AS INTEGER) AS pos, "
+        "word AS term FROM word_vectors WHERE label IS NOT NULL"),
     "main_lexicon": "SELECT * FROM category_lexicon WHERE category IN ('c0', 'c1')",
     "support_lexicon": "SELECT * FROM category_lexicon WHERE category IN ('c2', 'c3')",
     "polarity_lexicon": (
         f"SELECT CAST(vec_id AS INTEGER) AS pos, word AS term, CAST({_WEIGHT_CASE} AS DOUBLE) "
-        "AS weight FROM word_vectors WHERE label IN (0, 1, 2, 3)"),
+        "AS weight FROM word_vectors WHERE label IS NOT NULL"),
     # unit vectors and the polarity axis (naive form: mean of weighted cosines
     # is computed per element, then summed)
     "word_units": (

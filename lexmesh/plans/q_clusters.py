@@ -64,7 +64,7 @@ class _Fitted:
     def __init__(self, spark, d):
         self.wv = fx.word_vectors_meta(spark, d)
         self.model, toks = fitted_tfidf(spark, d)
-        self.tfidf = materialize(self.model.transform(toks))
+        self.toks = toks
         self.words = materialize(C.vocab_top_n_words(self.model.vocab, self.wv, N_WORDS))
         self.wvv = self.wv.select("word", "vec")
 
@@ -75,7 +75,8 @@ class _Fitted:
         return C.cluster_words(self.words, self.pairs())
 
     def doc_clusters(self, share=None):
-        return C.doc_clusters(self.tfidf, self.clusters(), self.wvv, N_TOP, share)
+        tfidf = materialize(self.model.transform(self.toks))
+        return C.doc_clusters(tfidf, self.clusters(), self.wvv, N_TOP, share)
 
 
 @register("vocab_top_n_words", sql=_sql("SELECT word, idx FROM cwords"))
@@ -125,10 +126,15 @@ def q_cluster_share_filter(spark, d):
 
 
 @register("doc_vectors_clusters", sql=_sql(
-    "SELECT t.doc_id, v.i AS pos, round(sum(t.weight * v.value), 6) AS value FROM ctop t "
-    "JOIN cvec v ON v.doc_id = t.doc_id AND v.cluster_id = t.cluster_id GROUP BY t.doc_id, v.i"))
+    "SELECT d.doc_id, p.i AS pos, round(coalesce(e.value, 0.0), 6) AS value FROM documents d "
+    "JOIN (SELECT unnest(generate_series(0, dim - 1)) AS i FROM dim) p ON true "
+    "LEFT JOIN (SELECT t.doc_id, v.i, sum(t.weight * v.value) AS value FROM ctop t JOIN cvec v "
+    "ON v.doc_id = t.doc_id AND v.cluster_id = t.cluster_id GROUP BY t.doc_id, v.i) e "
+    "ON e.doc_id = d.doc_id AND e.i = p.i"))
 def q_doc_vectors_clusters(spark, d):
-    return D.explode_vectors(C.doc_vectors_clusters(_Fitted(spark, d).doc_clusters()))
+    fit = _Fitted(spark, d)
+    dim = fit.wv.agg(F.max(F.size("vec"))).first()[0]
+    return D.explode_vectors(C.doc_vectors_clusters(fit.doc_clusters(), docs=fx.docs(spark, d), dim=dim))
 
 
 def _axis(spark, d, wv):

@@ -37,13 +37,8 @@ tr_in AS (SELECT category, row_id, vec, row_number() OVER (PARTITION BY category
 reqs AS (SELECT category, s AS sample_id, category || '|-1|in|' || CAST(s AS VARCHAR) AS sample_key,
          n_pool FROM (SELECT category, n_pool, unnest(generate_series(0, n_pool * {MULT} - 1)) AS s
          FROM (SELECT DISTINCT category, n_pool FROM tr_in))),
-wts AS (SELECT sample_key, k, i, CASE i WHEN 0 THEN {sql_hash_slice(0, "'0'", 'sample_key', "'w'", 'k')}
-               WHEN 1 THEN {sql_hash_slice(1, "'0'", 'sample_key', "'w'", 'k')}
-               ELSE {sql_hash_slice(2, "'0'", 'sample_key', "'w'", 'k')} END % 11 AS w
-        FROM reqs, range(5) kk(k), range(3) ii(i)),
-att AS (SELECT sample_key, min(k) AS k FROM (SELECT sample_key, k, sum(w) AS sw FROM wts
-        GROUP BY sample_key, k) WHERE sw > 0 GROUP BY sample_key),
-chosen AS (SELECT w.sample_key, w.i, w.w FROM wts w JOIN att a ON a.sample_key = w.sample_key AND a.k = w.k),
+chosen AS (SELECT sample_key, i, (c // [1, 11, 121][CAST(i AS INTEGER) + 1]) % 11 AS w FROM (SELECT sample_key,
+           {sql_hash_u("'0'", 'sample_key', "'w'", "'0'")} % 1330 + 1 AS c FROM reqs), range(3) ii(i)),
 draws AS (SELECT r.category, r.sample_id, c.i, c.w,
           CASE c.i WHEN 0 THEN {sql_hash_slice(0, "'0'", 'r.sample_key', "'ix'")}
                    WHEN 1 THEN {sql_hash_slice(1, "'0'", 'r.sample_key', "'ix'")}
@@ -73,18 +68,13 @@ oreq AS (SELECT o.category, o.model_ix, o.sample_id, s.src_category, p.n_pool, o
               AND s.src_rank = {sql_hash_u("'0'", 'o.sample_key', "'cat'")} % ns.n_src
          JOIN (SELECT DISTINCT category, src_category, n_pool FROM tout_pool) p
               ON p.category = o.category AND p.src_category = s.src_category),
-owts AS (SELECT sample_key, k, i, CASE i WHEN 0 THEN {sql_hash_slice(0, "'0'", 'sample_key', "'w'", 'k')}
-               WHEN 1 THEN {sql_hash_slice(1, "'0'", 'sample_key', "'w'", 'k')}
-               ELSE {sql_hash_slice(2, "'0'", 'sample_key', "'w'", 'k')} END % 11 AS w
-         FROM oreq, range(5) kk(k), range(3) ii(i)),
-oatt AS (SELECT sample_key, min(k) AS k FROM (SELECT sample_key, k, sum(w) AS sw FROM owts
-         GROUP BY sample_key, k) WHERE sw > 0 GROUP BY sample_key),
+ochosen AS (SELECT sample_key, i, (c // [1, 11, 121][CAST(i AS INTEGER) + 1]) % 11 AS w FROM (SELECT sample_key,
+            {sql_hash_u("'0'", 'sample_key', "'w'", "'0'")} % 1330 + 1 AS c FROM oreq), range(3) ii(i)),
 odraws AS (SELECT r.category, r.model_ix, r.sample_id, r.src_category, c.w,
            CASE c.i WHEN 0 THEN {sql_hash_slice(0, "'0'", 'r.sample_key', "'ix'")}
                     WHEN 1 THEN {sql_hash_slice(1, "'0'", 'r.sample_key', "'ix'")}
                     ELSE {sql_hash_slice(2, "'0'", 'r.sample_key', "'ix'")} END % r.n_pool AS pool_pos
-           FROM oreq r JOIN (SELECT w.sample_key, w.i, w.w FROM owts w JOIN oatt a
-                             ON a.sample_key = w.sample_key AND a.k = w.k) c ON c.sample_key = r.sample_key),
+           FROM oreq r JOIN ochosen c ON c.sample_key = r.sample_key),
 ocombo AS (SELECT d.category, d.model_ix, d.sample_id, d.src_category, e.j,
            sum(d.w * e.x) / sum(d.w) AS value FROM odraws d
            JOIN (SELECT category, src_category, pool_pos, unnest(vec) AS x,
@@ -325,7 +315,8 @@ def q_predict_docs(spark, d):
     from lexmesh.plans.q_tfidf import fitted_tfidf
     wv = _word_vectors(spark, d)
     model, toks = fitted_tfidf(spark, d)
-    vecs = doc_vectors_weighted(model.transform(toks), wv, n_top=3)
+    dim = wv.agg(F.max(F.size("vec"))).first()[0]
+    vecs = doc_vectors_weighted(model.transform(toks), wv, n_top=3, docs=fx.docs(spark, d), dim=dim)
     proba = EN.predict_proba(vecs, fitted_models(spark, d), id_cols=("doc_id",))
     return wide_predictions(threshold_predictions(proba), MAIN, id_col="doc_id")
 
@@ -357,11 +348,11 @@ cut AS (SELECT unnest(range(0, 5)) AS param_id, unnest([-1.0, -0.5, 0.0, 0.5, 1.
 folds AS (SELECT *, """ + sql_hash_u("doc_id", "'fold'") + """ % 3 AS fold FROM lab),
 fold_pred AS (SELECT c.param_id, f.fold, f.quality AS label, coalesce(f.polarity > c.cutoff, false) AS pred
               FROM folds f, cut c),
-cvres AS (SELECT param_id, fold, CASE WHEN 2 * tp + fp + fn = 0 THEN NULL ELSE 2.0 * tp / (2 * tp + fp + fn) END AS score
+cvres AS (SELECT param_id, fold, CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE 2.0 * tp / (2 * tp + fp + fn) END AS score
           FROM (SELECT param_id, fold, sum(CAST(label = 1 AND pred AS INTEGER)) AS tp,
                 sum(CAST(label = 0 AND pred AS INTEGER)) AS fp, sum(CAST(label = 1 AND NOT pred AS INTEGER)) AS fn
                 FROM fold_pred GROUP BY param_id, fold)),
-cvmean AS (SELECT param_id, avg(score) AS mean_score FROM cvres GROUP BY param_id),
+cvmean AS (SELECT param_id, round(avg(score), 12) AS mean_score FROM cvres GROUP BY param_id),
 cvrank AS (SELECT param_id, mean_score, rank() OVER (ORDER BY mean_score DESC NULLS LAST) - 1 AS rank FROM cvmean)
 """
 
@@ -392,7 +383,7 @@ def _lsql(body):
 
 
 @register("f1_score", sql=_lsql(
-    "SELECT label_name, round(CASE WHEN 2 * tp + fp + fn = 0 THEN NULL ELSE 2.0 * tp / "
+    "SELECT label_name, round(CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE 2.0 * tp / "
     "(2 * tp + fp + fn) END, 6) AS score FROM (SELECT label_name, "
     "sum(CAST(y = 1 AND p AS INTEGER)) AS tp, sum(CAST(y = 0 AND p AS INTEGER)) AS fp, "
     "sum(CAST(y = 1 AND NOT p AS INTEGER)) AS fn FROM (SELECT unnest(['quality', 'toxic']) AS label_name, "

@@ -119,15 +119,16 @@ def q_scale_scores(spark, d):
 
 
 @register("custom_scaler", sql=_sql(
-    "SELECT doc_id, round((s - med) / CASE WHEN iqr = 0 THEN 1 ELSE iqr END, 6) AS polarity FROM raw, "
-    "(SELECT quantile_cont(s, 0.5) AS med, quantile_cont(s, 0.75) - quantile_cont(s, 0.25) AS iqr "
+    "SELECT doc_id, round((s - mid) / CASE WHEN half = 0 THEN 1 ELSE half END, 6) AS polarity FROM raw, "
+    "(SELECT (max(s) + min(s)) / 2 AS mid, (max(s) - min(s)) / 2 AS half "
     "FROM raw WHERE s IS NOT NULL)", _RAW_ALLWORDS))
 def q_custom_scaler(spark, d):
-    """A user-supplied scaler (X1): median / inter-quartile range."""
-    def robust(scores):
-        return (F.percentile("polarity", 0.5),
-                F.percentile("polarity", 0.75) - F.percentile("polarity", 0.25))
-    _, out = fit_doc_scaling(spark, d, scaler=robust)
+    """A user-supplied scaler (X1): middle and half of the range, which are
+    partial aggregates (an exact percentile would gather all scores)."""
+    def half_range(scores):
+        lo, hi = F.min("polarity"), F.max("polarity")
+        return (hi + lo) / 2, (hi - lo) / 2
+    _, out = fit_doc_scaling(spark, d, scaler=half_range)
     return out.select("doc_id", F.round("polarity", 6).alias("polarity"))
 
 

@@ -11,7 +11,6 @@ from lexmesh.operators import tfidf as TF
 from lexmesh.operators import tokens as TK
 from lexmesh.plans import fixtures as fx
 from lexmesh.plans.fixtures import with_fixtures as W
-from lexmesh.operators.util import sized_broadcast
 from lexmesh.plans.registry import register
 from lexmesh.session import materialize
 
@@ -19,7 +18,8 @@ WS = r"'[ \t\n\r\f\x0b]+'"
 
 
 def _annotated(spark, d):
-    toks = fx.surface_tokens(spark, d)
+    """Counted surface forms with their annotations: one row per document and form."""
+    toks = TK.count_tokens(fx.surface_tokens(spark, d))
     return TK.annotate_tokens(toks, fx.annotations(spark, d))
 
 
@@ -49,20 +49,20 @@ class _CountedModel:
 def q_annotate_tokens(spark, d):
     ann = _annotated(spark, d)
     return ann.groupBy("doc_id", "upos", F.coalesce("ent_type", F.lit("-")).alias("ent_type")) \
-              .agg(F.count(F.lit(1)).alias("n_tokens"), F.countDistinct("lemma").alias("n_lemmas"))
+              .agg(F.sum("n").alias("n_tokens"), F.countDistinct("lemma").alias("n_lemmas"))
 
 
 @register("filter_tokens", sql=W("SELECT doc_id, count(*) AS n_kept FROM filtered GROUP BY doc_id"))
 def q_filter_tokens(spark, d):
     kept = TK.filter_tokens(_annotated(spark, d))
-    return kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_kept"))
+    return kept.groupBy("doc_id").agg(F.sum("n").alias("n_kept"))
 
 
 @register("normalize_tokens", sql=W(
     "SELECT word, count(*) AS n FROM normalized_ok GROUP BY word"))
 def q_normalize_tokens(spark, d):
     norm_toks = TK.normalize_tokens(TK.filter_tokens(_annotated(spark, d)))
-    return norm_toks.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return norm_toks.groupBy("word").agg(F.sum("n").alias("n"))
 
 
 @register("stopword_list", sql=W(
@@ -72,16 +72,15 @@ def q_stopword_list(spark, d):
     """Stopwords of the list that occur in the corpus, with their counts."""
     norm_toks = TK.normalize_tokens(TK.filter_tokens(_annotated(spark, d)))
     sw = TK.stopword_list(spark)
-    return norm_toks.join(sized_broadcast(sw), "word", "left_semi") \
-                    .groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return norm_toks.groupBy("word").agg(F.sum("n").alias("n")).join(sw, "word", "left_semi")
 
 
 @register("anti_stopwords", sql=W(
     "SELECT doc_id, count(*) AS n_kept FROM letter_tokens "
     "WHERE word NOT IN (SELECT word FROM stopwords) GROUP BY doc_id"))
 def q_anti_stopwords(spark, d):
-    kept = TK.anti_stopwords(fx.letter_tokens(spark, d), TK.stopword_list(spark))
-    return kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_kept"))
+    kept = TK.anti_stopwords(TK.count_tokens(fx.letter_tokens(spark, d)), TK.stopword_list(spark))
+    return kept.groupBy("doc_id").agg(F.sum("n").alias("n_kept"))
 
 
 @register("tokens_in_vocabulary", sql=W(
@@ -90,9 +89,8 @@ def q_anti_stopwords(spark, d):
     "WHERE word IN (SELECT word FROM word_vectors) GROUP BY doc_id"))
 def q_tokens_in_vocabulary(spark, d):
     wv = fx.word_vectors_meta(spark, d)
-    toks = TK.tokenize(fx.docs(spark, d), mode="whitespace")
-    return TK.tokens_in_vocabulary(toks, wv).groupBy("doc_id") \
-             .agg(F.count(F.lit(1)).alias("n_in_vocab"))
+    toks = TK.count_tokens(TK.tokenize(fx.docs(spark, d), mode="whitespace"))
+    return TK.tokens_in_vocabulary(toks, wv).groupBy("doc_id").agg(F.sum("n").alias("n_in_vocab"))
 
 
 @register("term_frequency", sql=W("SELECT doc_id, word, tf FROM tf"))

@@ -46,6 +46,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         sc.setCheckpointDir(configured)
+    elif not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     else:
         # Only reached in tests / local runs: no cluster folder is configured.
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="lexmesh-ckpt-", dir="/tmp"))

@@ -40,8 +40,7 @@ def lexicon_from_wide(wide: DataFrame, categories: Sequence[str] | None = None,
     typed = wide.select(F.col(pos_col).cast("int").alias("pos"),
                         *[F.col(f"`{c}`").cast("string").alias(c) for c in cats])
     long = typed.unpivot(["pos"], cats, "category", "term")
-    return long.where(F.col("term").isNotNull() & (F.col("term") != "")) \
-               .select("category", "pos", "term")
+    return long.where(F.col("term").isNotNull()).select("category", "pos", "term")
 
 
 def lexicon_to_wide(lexicon: DataFrame, categories: Sequence[str]) -> DataFrame:

@@ -33,10 +33,17 @@ def load_tables(spark: SparkSession, path: str, names: list[str]) -> tuple[dict,
 
 def vectors_from_text(spark: SparkSession, path: str) -> DataFrame:
     """Public text vector format, one ``word v1 ... vD`` line per word; a
-    first line with exactly two fields (count, dim) is a header (S7)."""
-    lines = spark.read.text(path)
-    parts = lines.select(F.split(F.trim("value"), " ").alias("p"))
-    body = parts.where(F.size("p") > 2)
+    file's first line with exactly two whole numbers (count, dim) is a header
+    (S7).  All other lines are words, also those with one number."""
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_at"))
+    # a row for each file: the line at the start of its first block
+    heads = lines.where("_start = 0").groupBy("_file").agg(F.min("_at").alias("_at")) \
+        .select("_at", F.lit(True).alias("_head"))
+    header = F.coalesce("_head", F.lit(False)) & F.trim("value").rlike(r"^\d+ \d+$")
+    parts = lines.join(heads, "_at", "left").where(~header).select(F.split(F.trim("value"), " ").alias("p"))
+    body = parts.where(F.size("p") >= 2)
     return body.select(F.element_at("p", 1).alias("word"),
                        F.transform(F.slice("p", 2, 1 << 30), lambda x: x.cast("double"))
                        .alias("vec"))

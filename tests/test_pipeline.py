@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as E
 from lexmesh.plans import fixtures as fx
 from lexmesh.plans.q_scaling import fit_doc_scaling
-from lexmesh.streaming.batch import finished_batches, score_in_batches, score_stream
+from lexmesh.streaming.batch import finished_batches, run_folder, score_in_batches, score_stream
 
 
 def test_entry_smoke(spark):
@@ -29,15 +29,37 @@ def test_batch_resume(spark, sf, tmp_path):
     docs = fx.docs(spark, sf)
     out = str(tmp_path / "batches")
     score_in_batches(spark, docs, model.predict_docs, out, n_batches=6, stop_after=2)
-    assert len(finished_batches(spark, out, 6)) == 2            # interrupted run
+    run = run_folder(docs, out, 6, "doc_id")
+    assert len(finished_batches(spark, run, 6)) == 2            # interrupted run
     res = score_in_batches(spark, docs, model.predict_docs, out, n_batches=6)
-    assert len(finished_batches(spark, out, 6)) == 6            # resumed, nothing redone twice
+    assert len(finished_batches(spark, run, 6)) == 6            # resumed, nothing redone twice
     a = {r["doc_id"]: r["polarity"] for r in res.collect()}
     b = {r["doc_id"]: r["polarity"] for r in scaled.collect()}
     assert a.keys() == b.keys()
     assert all(abs((a[k] or 0) - (b[k] or 0)) < 1e-9 for k in a)
 
 
+def test_batches_of_another_run_are_not_taken_up(spark, tmp_path):
+    """Another batch count or another input never meets stale batches."""
+    out = str(tmp_path / "batches")
+    first = spark.range(100).withColumnRenamed("id", "doc_id")
+    same = lambda df: df.withColumn("score", F.col("doc_id") * 2)
+    score_in_batches(spark, first, same, out, n_batches=10, stop_after=3)
+    assert score_in_batches(spark, first, same, out, n_batches=4).count() == 100
+    other = spark.range(500, 700).withColumnRenamed("id", "doc_id")
+    got = score_in_batches(spark, other, same, out, n_batches=4, n_jobs=2)
+    assert sorted(r["doc_id"] for r in got.collect()) == list(range(500, 700))
+    again = score_in_batches(spark, first, same, out, n_batches=10, do_load_cp=False)
+    assert sorted(r["score"] for r in again.collect()) == list(range(0, 200, 2))
+
+
+def test_every_document_is_predicted(spark, sf):
+    n = fx.docs(spark, sf).count()
+    qs = E.queries()
+    assert qs["predict_docs"](spark, sf).count() == n
+    assert qs["doc_vectors_clusters"](spark, sf).select("doc_id").distinct().count() == n
+
+
 def test_stream_scores_all_files(spark, sf, tmp_path):
     model, _ = fit_doc_scaling(spark, sf)
     docs = fx.docs(spark, sf)

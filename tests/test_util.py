@@ -1,9 +1,9 @@
-"""Scale helpers: distributed row numbers, size-checked broadcast, spreading."""
+"""Scale helpers: distributed row numbers, one partitioning by document, shared folder."""
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lexmesh.operators.util import global_row_number, sized_broadcast, spread
+from lexmesh.operators.util import global_row_number, spread
 
 
 def test_global_row_number_equals_window(spark):
@@ -15,19 +15,49 @@ def test_global_row_number_equals_window(spark):
         sorted(map(tuple, want.select("k", "g", "rn").collect()))
 
 
-def _plan(df):
-    return df._jdf.queryExecution().optimizedPlan().toString()
-
-
-def test_sized_broadcast_only_below_bound(spark):
-    small = spark.range(10)
-    assert "broadcast" in _plan(spark.range(100).join(sized_broadcast(small, 100), "id")).lower()
-    big = spark.range(1000)
-    assert "broadcast" not in _plan(spark.range(100).join(sized_broadcast(big, 100), "id")).lower()
-
-
-def test_spread_only_under_partitioned_input(spark):
-    one = spark.range(100).coalesce(1)
-    assert spread(one, "id").rdd.getNumPartitions() > 1
-    many = spark.range(100).repartition(spark.sparkContext.defaultParallelism * 2)
-    assert spread(many, "id").rdd.getNumPartitions() == many.rdd.getNumPartitions()
+def test_global_row_number_keeps_wide_rows(spark):
+    """Complete and dense for many wide rows, whatever AQE does to the partitions."""
+    df = spark.range(0, 50_000).select((F.col("id") * 7919 % 50_021).alias("k"), F.transform(
+        F.sequence(F.lit(1), F.lit(64)), lambda i: F.rand(3) + i).alias("vec"))
+    for aqe in ("true", "false"):
+        spark.conf.set("spark.sql.adaptive.enabled", aqe)
+        try:
+            got = global_row_number(df, [F.col("k")], "rn")
+            r = got.where(F.size("vec") == 64).agg(F.count("rn").alias("n"), F.countDistinct("rn").alias("d"),
+                                                   F.min("rn").alias("a"), F.max("rn").alias("b")).first()
+            assert tuple(r) == (50_000, 50_000, 0, 49_999)
+            w = Window.orderBy("rn")
+            wrong = got.select("k", "rn").withColumn("p", F.lag("k").over(w)).where("p >= k")
+            assert wrong.count() == 0
+        finally:
+            spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_spread_clusters_by_document(spark):
+    """Aggregates per document need no further exchange."""
+    from lexmesh.operators.tokens import count_tokens
+    docs = spread(spark.createDataFrame([(1, ["a", "a"]), (2, ["b"])], "doc_id long, words array<string>"), "doc_id")
+    counted = count_tokens(docs.select("doc_id", F.explode("words").alias("word")))
+    assert counted._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_cluster_sessions_need_a_shared_folder():
+    import pytest
+    from lexmesh.session import ensure_checkpoint_dir
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            @staticmethod
+            def get(key, default):
+                return default
+
+    with pytest.raises(RuntimeError):
+        ensure_checkpoint_dir(Session())
