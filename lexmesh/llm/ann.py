@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexmesh.llm.common import smallest_hashes
 from lexmesh.session import materialize
 
 TREES, SAMPLE, LEAF, VISIT = 2, 8192, 128, 1.3
@@ -150,7 +151,7 @@ def neighbours(table: DataFrame, is_query, k: int = 10, trees: int = TREES, samp
     index = rows.withColumn("_nth", F.dense_rank().over(few)).where(F.col("_nth") <= k + 1).drop("_nth") \
         .dropDuplicates(["vector", "vec_id"])
     index = materialize(index, "index")
-    fit = index.orderBy(F.xxhash64("vec_id"), "vec_id", F.xxhash64("vector")).limit(sample).select("vector").toArrow()
+    fit = smallest_hashes(index, sample, "vec_id", "vector").select("vector").toArrow()
     schema = "query_id long, vec_id long, score double, query_key long"
     forest = Forest(_matrix(fit.column(0)), trees, leaf, seed)
 

@@ -11,7 +11,7 @@ transitions; Viterbi finds the best labelling, and main blocks are the text.
 The chain is trained on labelled pages of the table itself.  A page counts as
 labelled if it marks its article (one ``article`` or ``main`` element); a block is
 main if it lies there and in nothing that the page marks as other.  The sample is
-bounded by ``SAMPLE_PAGES`` pages, the ones with the smallest hash of their id.
+bounded by ``SAMPLE_PAGES`` pages, chosen by hash.
 Each is learned from as it is, without its article marks, and without any marks,
 so that pages without marks are judged by what is left.
 
@@ -33,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexmesh.llm.common import smallest_hashes
+
 SAMPLE_PAGES = 300
 SAMPLE_CHARS = 200_000
 STEPS, RATE, DECAY = 60, 0.3, 1e-4
@@ -308,7 +310,7 @@ def sample(pages: DataFrame, n: int = SAMPLE_PAGES) -> list[str]:
     """Html of at most ``n`` pages that mark their article, each of bounded length."""
     marked = pages.select(F.col("page_id"), F.col("html")).where(
         F.col("html").rlike(r"(?i)<(article|main)[\s>]") & (F.length("html") <= SAMPLE_CHARS))
-    rows = marked.orderBy(F.xxhash64("page_id"), "page_id", F.xxhash64("html")).limit(n)
+    rows = smallest_hashes(marked, n, "page_id", "html")
     return [r.html for r in rows.select("html").collect()]  # SAMPLE_PAGES * SAMPLE_CHARS at most
 
 
