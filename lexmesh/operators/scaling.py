@@ -182,6 +182,38 @@ class ScalingModel:
                      text_col: str = "text") -> DataFrame:
         return scale_scores(self.predict_docs_unscaled(docs, id_col, text_col), self.scaler)
 
+    def save(self, path: str) -> None:
+        """Axis, scaler, vectors and the fitted processor, as tables."""
+        from lexmesh.sources.store import save_tables
+        tables = {"vectors": self.word_vectors}
+        params = {"kind": "scaling", "axis": self.axis.axis, "n_seeds": self.axis.n_seeds, "method": self.method,
+                  "scaler": [self.scaler.kind, self.scaler.center, self.scaler.scale] if self.scaler else None}
+        processor = self.extras.get("processor")
+        if processor is not None:
+            tables |= processor.tables()
+            params["processor"] = processor.params()
+        elif self.method != "allwords":
+            raise ValueError("a model with a scorer of its own can't be saved; fit it with a processor")
+        save_tables(self.word_vectors.sparkSession, path, tables, params | {"tables": sorted(tables)})
+
+
+def load_scaling(spark, path: str) -> "ScalingModel":
+    """The model that :meth:`ScalingModel.save` wrote, ready to score documents."""
+    import json
+    from lexmesh.operators.processor import load_processor
+    from lexmesh.sources.store import load_tables
+    params = json.loads(spark.read.parquet(f"{path}/params").first()["params"])
+    if params.get("kind") != "scaling":
+        raise ValueError(f"no saved scaling model at {path}")
+    tables, params = load_tables(spark, path, params["tables"])
+    extras = {}
+    if "processor" in params:
+        extras["processor"] = load_processor(spark, tables, params["processor"])
+        extras["doc_scorer"] = extras["processor"].polarity
+    scaler = Scaler(*params["scaler"]) if params["scaler"] else None
+    return ScalingModel(PolarityAxis(params["axis"], params["n_seeds"]), scaler, tables["vectors"],
+                        params["method"], extras)
+
 
 class LatentSemanticScaling:
     """Estimator (M14): ``fit(polarity_lexicon, docs)`` embeds the seeds,
@@ -190,11 +222,15 @@ class LatentSemanticScaling:
 
     def __init__(self, word_vectors: DataFrame, method: str = "allwords",
                  scaler: str | Callable | None = "standard",
-                 doc_scorer: Callable[[DataFrame, PolarityAxis], DataFrame] | None = None):
+                 doc_scorer: Callable[[DataFrame, PolarityAxis], DataFrame] | None = None,
+                 processor=None):
+        """``processor``: a fitted ``DocumentProcessor``; its method (top words
+        or clusters) then scores the documents.  ``doc_scorer``: any scorer."""
         self.word_vectors = word_vectors
-        self.method = method
+        self.method = processor.settings["method"] if processor is not None else method
         self.scaler = scaler
-        self.doc_scorer = doc_scorer
+        self.doc_scorer = processor.polarity if processor is not None else doc_scorer
+        self.processor = processor
 
     def fit(self, polarity_lexicon: DataFrame, docs: DataFrame, id_col: str = "doc_id",
             text_col: str = "text") -> ScalingModel:
@@ -203,7 +239,8 @@ class LatentSemanticScaling:
         seeds = embed_lexicon(dedupe_last_weight(polarity_lexicon), self.word_vectors)
         axis = fit_polarity_axis(seeds)
         model = ScalingModel(axis=axis, scaler=None, word_vectors=self.word_vectors,
-                             method=self.method, extras={"doc_scorer": self.doc_scorer})
+                             method=self.method,
+                             extras={"doc_scorer": self.doc_scorer, "processor": self.processor})
         # the training scores are written once: the scaler is fitted on them
         # and fit_transform returns them scaled without a second corpus pass
         scores = materialize(model.predict_docs_unscaled(docs, id_col, text_col))

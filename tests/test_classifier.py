@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lexmesh.operators.classifier import ClassifierModel, LexiconClassifier, load_classifier
 from lexmesh.operators.processor import fit_processor
-from lexmesh.operators.scaling import LatentSemanticScaling
+from lexmesh.operators.scaling import LatentSemanticScaling, load_scaling
 from lexmesh.operators.tokens import stopword_list
 from lexmesh.plans import fixtures as fx
 from lexmesh.sources import lexicon_io as IO
@@ -76,7 +76,8 @@ def test_documents_through_save_and_load(spark, sf, tmp_path, method):
     flags = again.predict_docs(docs)
     assert flags.columns == ["doc_id", "c0", "c1"] and flags.count() == docs.count()
     # the same processor scores documents on the polarity scale
-    est = LatentSemanticScaling(wv.select("word", "vec"), method=method, doc_scorer=proc.polarity)
-    scaled = est.fit(fx.polarity_lexicon(spark, sf, wv), docs).predict_docs(docs)
+    fitted = LatentSemanticScaling(wv.select("word", "vec"), processor=proc).fit(fx.polarity_lexicon(spark, sf, wv), docs)
+    fitted.save(str(tmp_path / "scale"))
+    scaled = load_scaling(spark, str(tmp_path / "scale")).predict_docs(docs)
     r = scaled.agg(F.avg("polarity").alias("m"), F.count("polarity").alias("n")).first()
     assert abs(r["m"]) < 1e-6 and r["n"] == docs.count()
