@@ -39,7 +39,7 @@ END_ID = 2
 #: Pieces packed together.
 GROUP = 1 << 15
 #: Entries of a worker's cache and the longest part kept in it.
-CACHE, CACHED_CHARS = 900_000, 40
+CACHE, CACHED_CHARS = 500_000, 40
 #: Characters of text in hand at once.
 PORTION = 1 << 20
 LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
