@@ -39,7 +39,7 @@ END_ID = 2
 #: Pieces packed together.
 GROUP = 1 << 15
 #: Entries of a worker's cache and the longest part kept in it.
-CACHE, CACHED_CHARS = 500_000, 40
+CACHE, CACHED_CHARS = 800_000, 40
 #: Characters of text in hand at once.
 PORTION = 1 << 20
 LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
@@ -60,7 +60,9 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.line_feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.known: dict[str, bytes] = {}  # by what follows a lone space
+        # by what follows a lone space; the older half is dropped when the newer one is full
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -85,16 +87,18 @@ class Encoder:
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > CACHE:
-            self.known.clear()
-        known = self.known
+        if len(self.known) > CACHE // 2:
+            self.older, self.known = self.known, {}
+        known, older = self.known, self.older
         split = [t.split(" ") if only_lone_spaces(t) else LONE_SPACE.split(t) for t in texts]
         heads = self._ids([parts[0] for parts in split])
         found = [list(map(known.get, parts)) for parts in split]
         for ids, head in zip(found, heads):
             ids[0] = head
         gaps = [[k for k, v in enumerate(ids) if v is None] for ids in found]
-        new = self._learn(list({parts[k] for parts, gap in zip(split, gaps) for k in gap}))
+        wanted = {parts[k] for parts, gap in zip(split, gaps) for k in gap}
+        new = {p: older[p] for p in wanted if p in older}
+        new |= self._learn([p for p in wanted if p not in new])
         for parts, ids, gap in zip(split, found, gaps):
             for k in gap:
                 ids[k] = new[parts[k]]
