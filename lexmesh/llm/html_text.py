@@ -15,6 +15,9 @@ bounded by ``SAMPLE_PAGES`` pages, chosen by hash.
 Each is learned from as it is, without its article marks, and without any marks,
 so that pages without marks are judged by what is left.
 
+Quoted attribute values are read whole, however long.  If a tag's quoted values
+reach the page's end, it and all later tags end at their next ``>``.
+
 Defined results: null html is an empty page; a page without main blocks gives an
 empty text; without any labelled page nothing is main.  Character references are
 decoded; white space inside a block becomes one space; blocks are joined by two
@@ -65,9 +68,13 @@ TELLING = re.compile(r"\b(cookies?|subscribe|sign (?:in|up)|log ?in|advertisemen
                      r"copyright|privacy policy|terms of|share this|related (?:posts|articles)|repl(?:y|ies)|comments?|"
                      r"posted by|read more|click here|menu|search)\b|©", re.I)
 
-QUOTED = r"\"[^\"]{0,4096}\"|'[^']{0,4096}'"
-TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:{QUOTED}|[^>\"'])*+)>", re.S)
-ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+#: A comment, or the start of a tag or declaration.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?:[!?]|(/?)([A-Za-z][A-Za-z0-9:-]*))", re.S)
+#: The rest of a tag.  Quotes count after an equals sign only and hold a value of any length;
+#: a quote that is never closed is a character like others.
+REST = re.compile(r"((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]*+))*+)>")
+ATTRIBUTE = re.compile(r"([^\s=/>]++)(?:\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s>]++))?")
+TOLD = {"class", "id", "role", "hidden", "style", "aria-hidden"}
 WORD = re.compile(r"[a-z]+")
 SPACES = re.compile(r"\s+")
 
@@ -79,7 +86,10 @@ def _words(attributes: str) -> tuple[frozenset[str], bool]:
     words: set[str] = set()
     hidden = False
     for name, value in ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), value.strip("\"'").lower()
+        name = name.lower()
+        if name not in TOLD:
+            continue
+        value = value.strip("\"'").lower()
         if name in ("class", "id", "role"):
             words.update(WORD.findall(value))
         elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(
@@ -123,7 +133,7 @@ def blocks(page: str) -> list[Block]:
         hidden -= hid
         links -= tag == "a"
 
-    at = 0
+    at, quotes, last = 0, True, page.rfind(">")
     while True:
         m = TOKEN.search(page, at)
         if not m:
@@ -131,9 +141,21 @@ def blocks(page: str) -> list[Block]:
             break
         text(page[at:m.start()])
         at = m.end()
+        if m[0].startswith("<!--"):
+            continue
+        if at > last:  # no tag ends any more
+            text(m[0])
+            continue
         tag = (m[2] or "").lower()
         if not tag:
+            at = page.index(">", at) + 1
             continue
+        rest = REST.match(page, at) if quotes else None
+        if rest:
+            attributes, at = rest[1], rest.end()
+        else:  # its quoted values reach the page's end: from here on quotes mean nothing
+            quotes, end = False, page.index(">", at)
+            attributes, at = page[at:end], end + 1
         if m[1]:
             if any(t == tag for t, *_ in stack):
                 if tag in BLOCKS:
@@ -153,7 +175,7 @@ def blocks(page: str) -> list[Block]:
                 text(" ")
             continue
         if tag in UNSEEN:
-            if not m[3].endswith("/"):
+            if not attributes.endswith("/"):
                 end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
                 at = end.end() if end else len(page)
             continue
@@ -171,8 +193,8 @@ def blocks(page: str) -> list[Block]:
                     break
                 if stack[k][0] in WALLS:
                     break
-        if not m[3].endswith("/"):
-            words, hid = _words(m[3]) if m[3] else (frozenset(), False)
+        if not attributes.endswith("/"):
+            words, hid = _words(attributes) if attributes else (frozenset(), False)
             stack.append((tag, _sense(tag, words), hid))
             hidden += hid
             links += tag == "a"

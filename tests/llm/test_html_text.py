@@ -47,6 +47,26 @@ def test_blocks_of_odd_markup():
     assert len(op.blocks("<" * 20_000 + "<p>x" * 2000)) >= 2000
 
 
+@pytest.mark.parametrize("n", [5_000, 1_000_000])
+def test_long_attribute_values(n):
+    for quote in "\"'":
+        page = f"<p>Before <img src={quote}data:image/png;base64,{'A' * n}{quote}> after</p>"
+        assert [b[0] for b in op.blocks(page)] == ["Before after"]
+        state = " <p class=ad hidden>=" * (n // 21)
+        page = f"<article data-state={quote}{state}{quote} class=story><p>Told.</p></article>"
+        assert op.blocks(page) == [("Told.", ("article", "p"), ("main",), 0.0)]
+        assert op.labelled(page.replace(state, "x" * n))[1] == [1]
+
+
+def test_unclosed_quotes_and_tags():
+    assert [b[0] for b in op.blocks("<p title=\"x>One</p><p it's>two's</p>")] == ["One", "two's"]
+    assert [b[0] for b in op.blocks("<p>One</p><p a=\">\" b='>' c>two")] == ["One", "two"]
+    assert [b[0] for b in op.blocks("<p>One</p><p a='>two</p><p>three</p><i b='")][:3] == ["One", "two", "three"]
+    for part in ("<a x=\">\" ", "<a x='", "<a ", "<!", "=", "<a x=\"", "<p ='"):
+        op.blocks(part * 100_000)  # in linear time
+        op.blocks("<p " + part * 100_000 + ">")
+
+
 @pytest.fixture
 def chain():
     rng = np.random.default_rng(12)
