@@ -148,8 +148,8 @@ query(op8_nearest_neighbours)
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from lexmesh.llm.line_dedup import drop_repeated_lines
-    found = drop_repeated_lines(table(spark, sf_dir, "documents"))
+    from lexmesh.llm.line_dedup import drop_repeats
+    found = drop_repeats(table(spark, sf_dir, "documents"))
     n_removed = F.aggregate("removed", F.lit(0), lambda n, r: n + r["b"] - r["a"]).cast("long")
     spans = F.array_join(F.transform("removed", lambda r: F.concat_ws("-", r["a"], r["b"])), ",")
     return found.select("doc_id", "n_lines", n_removed.alias("n_removed"), spans.alias("removed"),
