@@ -9,9 +9,10 @@ A two-state chain (main or not) over the blocks of a page scores features and
 transitions; Viterbi finds the best labelling, and main blocks are the text.
 
 The chain is trained on labelled pages of the table itself.  A page counts as
-labelled if it marks its article (one ``article`` or ``main`` element); a block is
-main if it lies there and in nothing that the page marks as other.  The sample is
-bounded by ``SAMPLE_PAGES`` pages, chosen by hash.
+labelled if it marks its article (one ``article`` or ``main`` element, or one of each
+with one in the other); a block is main if it lies there, in the inner one of two, and
+in nothing that the page marks as other.  The sample is bounded by ``SAMPLE_PAGES``
+such pages, chosen by hash.
 Each is learned from as it is, without its article marks, and without any marks,
 so that pages without marks are judged by what is left.
 
@@ -78,6 +79,11 @@ TOLD = {"class", "id", "role", "hidden", "style", "aria-hidden"}
 WORD = re.compile(r"[a-z]+")
 SPACES = re.compile(r"\s+")
 
+#: An article's mark, and one of each kind with one in the other; read alike by Python and Spark.
+MARK = r"(?i)<(?:article|main)[ \t\r\n\f>]"
+NESTED = (r"(?is)<main[ \t\r\n\f>].*<article[ \t\r\n\f>].*</article.*</main|"
+          r"<article[ \t\r\n\f>].*<main[ \t\r\n\f>].*</main.*</article")
+
 Block = tuple[str, tuple[str, ...], tuple[str, ...], float]
 
 
@@ -321,17 +327,19 @@ def train(pages: list[tuple[list[list[str]], list[int]]], steps: int = STEPS, to
 
 def labelled(page: str) -> tuple[list[Block], list[int]] | None:
     """Blocks and their labels, if the page marks one article."""
-    if len(re.findall(r"<(?:article|main)[\s>]", page, re.I)) != 1:
+    marks = len(re.findall(MARK, page))
+    if marks != 1 and not (marks == 2 and re.search(NESTED, page)):
         return None
     found = blocks(page)
-    labels = [int(("article" in b[1] or "main" in b[1]) and b[2][-1] == "main") for b in found]
+    labels = [int(len({"article", "main"} & set(b[1])) == marks and b[2][-1] == "main") for b in found]
     return (found, labels) if found else None
 
 
 def sample(pages: DataFrame, n: int = SAMPLE_PAGES) -> list[str]:
     """Html of at most ``n`` pages that mark their article, each of bounded length."""
+    marks = F.regexp_count("html", F.lit(MARK))
     marked = pages.select(F.col("page_id"), F.col("html")).where(
-        F.col("html").rlike(r"(?i)<(article|main)[\s>]") & (F.length("html") <= SAMPLE_CHARS))
+        (F.length("html") <= SAMPLE_CHARS) & ((marks == 1) | (marks == 2) & F.col("html").rlike(NESTED)))
     rows = smallest_hashes(marked, n, "page_id", "html")
     return [r.html for r in rows.select("html").collect()]  # SAMPLE_PAGES * SAMPLE_CHARS at most
 

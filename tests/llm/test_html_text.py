@@ -116,3 +116,19 @@ def test_query_defines_every_row(spark):
 def test_no_labels_and_empty_table(spark):
     assert op.extract(spark.createDataFrame([(1, "u", "<p>text</p>", "", 0)], SCHEMA)).first().text == ""
     assert op.extract(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_sample_takes_pages_that_mark_one_article(spark):
+    story = "<p>{} words of the story, told at length.</p>"
+    page = "<body><main><article><h1>Title</h1>" + story + "</article><section><p>More</p></section></main></body>"
+    many = "<body><article>" + story + "</article><article>{}</article></body>"
+    apart = "<main>" + story + "</main><aside><article>{}</article></aside>"
+    rows = [(i, "u", (many if i % 2 else apart).format(i, i), "", 0) for i in range(600)]
+    rows += [(1000 + i, "u", page.format(i), "", 0) for i in range(20)]
+    rows += [(2000 + i, "u", page.format(i).replace("main>", "div>"), "", 0) for i in range(20)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    taken = op.sample(df, 30)
+    assert len(taken) == 30 and all(op.labelled(x) for x in taken)
+    assert op.labelled(page)[1] == [1, 1, 0] and not op.labelled(many) and not op.labelled(apart)
+    text = {r.page_id: r.text for r in op.extract(df).collect()}
+    assert text[1003] == "Title\n\n3 words of the story, told at length."
