@@ -46,6 +46,10 @@ STEPS, RATE, DECAY = 60, 0.3, 1e-4
 # Tags, by what they do to the text.
 UNSEEN = {"script", "style", "noscript", "template", "title", "iframe", "object", "svg", "math", "canvas", "textarea",
           "select", "button", "audio", "video", "map", "datalist"}
+#: Of these, elements without tags inside: what has no end tag reaches the page's end.
+RAW = {"script", "style", "title", "iframe", "textarea"}
+#: One ends an open one of its kind.
+SINGLE = {"select", "button"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCKS = {"address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir",
           "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6",
@@ -116,6 +120,7 @@ def blocks(page: str) -> list[Block]:
     stack: list[tuple[str, str, bool]] = []  # tag, sense, hidden
     held: list[str] = []
     linked = hidden = links = 0
+    unseen: list[int] = []  # places of open unseen elements on the stack
 
     def flush() -> None:
         nonlocal linked
@@ -123,7 +128,8 @@ def blocks(page: str) -> list[Block]:
             text = SPACES.sub(" ", html.unescape("".join(held))).strip()
             if text:
                 total = sum(map(len, held))
-                out.append((text, tuple(t for t, *_ in stack), tuple(s for _, s, _ in stack if s), linked / total))
+                shown = stack[:unseen[0]] if unseen else stack
+                out.append((text, tuple(t for t, *_ in shown), tuple(s for _, s, _ in shown if s), linked / total))
             held.clear()
         linked = 0
 
@@ -138,6 +144,8 @@ def blocks(page: str) -> list[Block]:
         tag, _, hid = stack.pop()
         hidden -= hid
         links -= tag == "a"
+        if unseen and unseen[-1] == len(stack):
+            unseen.pop()
 
     at, quotes, last = 0, True, page.rfind(">")
     while True:
@@ -163,36 +171,42 @@ def blocks(page: str) -> list[Block]:
             quotes, end = False, page.index(">", at)
             attributes, at = page[at:end], end + 1
         if m[1]:
-            if any(t == tag for t, *_ in stack):
-                if tag in BLOCKS:
-                    flush()
-                while stack:
-                    done = stack[-1][0] == tag
-                    pop()
-                    if done:
-                        break
-            elif tag in BLOCKS:
+            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), -1)
+            # what lies in an unseen element doesn't end the block around it
+            if tag in BLOCKS and not (unseen and (k < 0 or k > unseen[0])):
                 flush()
+            while 0 <= k < len(stack):
+                pop()
             continue
         if tag in VOID:
-            if tag in BLOCKS:
+            if tag in BLOCKS and not unseen:
                 flush()
             elif tag == "br":
                 text(" ")
             continue
-        if tag in UNSEEN:
+        if tag in RAW:
             if not attributes.endswith("/"):
                 end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
                 at = end.end() if end else len(page)
             continue
+        if tag in UNSEEN:
+            while tag in SINGLE and any(stack[k][0] == tag for k in unseen):
+                pop()
+            if not attributes.endswith("/"):
+                unseen.append(len(stack))
+                stack.append((tag, "", True))
+                hidden += 1
+            continue
         if tag in BLOCKS:
-            flush()
-            tags = [t for t, *_ in stack]
+            if not unseen:
+                flush()
+            wall = unseen[-1] if unseen else -1
+            tags = [t for t, *_ in stack[wall + 1:]]
             if "p" in tags:  # a block ends an open paragraph and what is in it
                 while stack[-1][0] != "p":
                     pop()
                 pop()
-            for k in range(len(stack) - 1, -1, -1):
+            for k in range(len(stack) - 1, wall, -1):
                 if stack[k][0] in ENDS.get(tag, ()):
                     while len(stack) > k:
                         pop()

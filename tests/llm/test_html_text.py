@@ -58,6 +58,16 @@ def test_long_attribute_values(n):
         assert op.labelled(page.replace(state, "x" * n))[1] == [1]
 
 
+def test_unseen_elements_without_end_tag():
+    for tag in op.UNSEEN - op.RAW:
+        page = f"<div><{tag} class=share><p>no<li>no</div><article><p>Told <{tag}><p>no</p></{tag}>here<{tag}/>.</article>"
+        assert op.blocks(page) == [("Told here.", ("article", "p"), ("main",), 0.0)]
+        assert op.blocks(f"<p>Told <{tag}>no<div>no</p>on</div>") == [("Told", ("p",), (), 0.0), ("on", (), (), 0.0)]
+    assert [b[0] for b in op.blocks("<button>no<button>no</button>yes<script>no<p>no</p>")] == ["yes"]
+    assert [b[0] for b in op.blocks("<p>a<svg><svg></svg>no<script>'</svg>'</script></svg>b</p>")] == ["ab"]
+    op.blocks("<p><svg>" * 5_000 + "</svg>x" * 5_000)
+
+
 def test_unclosed_quotes_and_tags():
     assert [b[0] for b in op.blocks("<p title=\"x>One</p><p it's>two's</p>")] == ["One", "two's"]
     assert [b[0] for b in op.blocks("<p>One</p><p a=\">\" b='>' c>two")] == ["One", "two"]
