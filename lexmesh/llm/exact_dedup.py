@@ -7,10 +7,12 @@ length of what is to the right, ``H(a + b) = H(a) * B ** len(b) + H(b)``, so a
 huge text needs no pass in order and no state but four numbers.
 
 Equal fingerprints and lengths only nominate a group.  Its texts are then
-compared chunk by chunk: every task folds equal chunks of a (fingerprint,
-chunk number) into one row before anything is shuffled, so a group that holds
-a third of all rows costs one row for each task, and a position with two
-different chunks proves a collision.  Texts of a collided fingerprint are
+compared chunk by chunk: every task drops a chunk that equals, byte by byte, the
+one it last sent for the same (fingerprint, chunk number), as long as that is among
+the last ``FOLD_BYTES`` of chunks it met, before anything is shuffled.  So a group
+that holds a third of all rows sends about one copy for each task, and no group
+more than one for each ``FOLD_BYTES`` of text and one for each task.  A position with
+two different chunks proves a collision.  Texts of a collided fingerprint are
 grouped by the text itself.
 
 Defined results: a null text counts as empty; empty texts form one group;
@@ -23,6 +25,7 @@ table gives an empty result.  Other columns are neither read nor returned by
 from __future__ import annotations
 
 import hashlib
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +40,8 @@ from lexmesh.session import materialize
 HASH_CHUNK = 8192
 #: Bytes of a compared chunk.
 COMPARE_CHUNK = 1 << 20
+#: Bytes of chunks that a task keeps to fold equal ones, and of each one's entry besides.
+FOLD_BYTES, FOLD_ENTRY = 32 << 20, 400
 #: Four primes below 2**31 and a base for each: 124 bits together.
 MODULI = (2147483647, 2147483629, 2147483587, 2147483579)
 BASES = (1103515245, 1664525 * 331, 134775813, 69069 * 4099)
@@ -115,12 +120,15 @@ def fingerprints(docs: DataFrame, hasher: Fingerprint | None = None) -> DataFram
 
 
 def chunk_rows(docs: DataFrame, hasher: Fingerprint | None = None) -> DataFrame:
-    """``(n_bytes, fp_a, fp_b, chunk_no, chunk)`` of every text, for the comparison."""
+    """``(n_bytes, fp_a, fp_b, chunk_no, chunk)`` of every text, for the comparison;
+    equal rows are folded in each task."""
     given = (hasher or Fingerprint()).__dict__.copy()
     settings = {k: given[k] for k in ("moduli", "bases", "chunk")}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = Fingerprint(**settings)
+        recent: OrderedDict[tuple, bytes] = OrderedDict()
+        kept = 0
         for batch in batches:
             data, at = utf8(batch.column(0))
             cols: list[list] = [[], [], [], [], []]
@@ -129,6 +137,14 @@ def chunk_rows(docs: DataFrame, hasher: Fingerprint | None = None) -> DataFrame:
                 key = h.longs(data[a:b])
                 for k, x in enumerate(range(a, max(b, a + 1), COMPARE_CHUNK)):
                     piece = data[x:min(b, x + COMPARE_CHUNK)].tobytes()
+                    place = (*key, k)
+                    sent = recent.pop(place, None)
+                    recent[place] = piece
+                    if sent == piece:
+                        continue
+                    kept += len(piece) + FOLD_ENTRY - (0 if sent is None else len(sent) + FOLD_ENTRY)
+                    while kept > FOLD_BYTES:
+                        kept -= len(recent.popitem(last=False)[1]) + FOLD_ENTRY
                     for col, v in zip(cols, (*key, k, piece)):
                         col.append(v)
                     held += len(piece)
@@ -148,8 +164,8 @@ def _chunk_batch(cols: list[list]) -> pa.RecordBatch:
 
 
 def collided(docs: DataFrame, groups: DataFrame, hasher: Fingerprint | None = None) -> DataFrame:
-    """Fingerprints that different texts share: chunks of nominated groups,
-    folded by content in each task and then compared by position."""
+    """Fingerprints that different texts share: chunks, folded by content in each
+    task, of nominated groups are compared by position."""
     nominated = groups.where("group_size > 1").select(*FP).hint("shuffle_hash")
     chunks = chunk_rows(docs, hasher).join(nominated, FP, "left_semi")
     different = chunks.groupBy(*FP, "chunk_no", "chunk").agg(F.count(F.lit(1)).alias("n"))

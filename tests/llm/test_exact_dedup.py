@@ -65,3 +65,18 @@ def test_chunk_hashes_compose():
     h, data = op.Fingerprint(chunk=16), np.frombuffer(random.Random(2).randbytes(1000), np.uint8)
     for cut in (0, 1, 15, 16, 500, 999, 1000):
         assert h.join(h.of(data[:cut]), h.of(data[cut:])) == h.of(data)
+
+
+def test_equal_chunks_are_folded_before_the_shuffle(spark, monkeypatch):
+    data = [(i, "one text of a group", 0, "") for i in range(5000)] + [(-i, f"text {i}", 0, "") for i in range(1, 500)]
+    random.Random(4).shuffle(data)
+    df = spark.createDataFrame(data, SCHEMA).coalesce(1)
+    sent = op.chunk_rows(df)
+    assert sent.count() == 500 and sent.distinct().count() == 500
+    # with room for few, equal ones may be sent again, but none is lost
+    monkeypatch.setattr(op, "FOLD_BYTES", 2000)
+    again = op.chunk_rows(spark.createDataFrame([(i, f"text {i % 50}", 0, "") for i in range(200)], SCHEMA).coalesce(1))
+    assert again.count() == 200 and again.distinct().count() == 50 and op.chunk_rows(df).count() == 500
+    # texts of one fingerprint are all sent
+    weak = op.Fingerprint(moduli=(2, 3), bases=(1, 1), chunk=4)
+    assert op.chunk_rows(df, weak).select("chunk").distinct().count() == 500
