@@ -8,7 +8,7 @@ all is predicted.  The relative distance to the runner-up is the margin; where
 it is narrow the row is marked as rejected (the prediction stays).
 
 The sample is fixed by two parameters: at most ``SAMPLE_DOCS`` documents of each
-language (those with the smallest hash of their id) and ``DICTIONARY_BYTES`` of
+language (rows with the smallest hash of their id) and ``DICTIONARY_BYTES`` of
 their text in turn.  Prediction reads every text whole, and nothing but the text.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0
@@ -57,9 +57,11 @@ def sample(docs: DataFrame, n_docs: int = SAMPLE_DOCS) -> DataFrame:
         .select("doc_id", "lang").distinct()
     texts = docs.where(F.col("lang").isNotNull() & (remainder() != 2)).select(
         "doc_id", "lang", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
-    # bounded: n_docs ids for each language
-    return texts.join(F.broadcast(ids), ["doc_id", "lang"], "left_semi").where("text IS NOT NULL") \
-        .orderBy("lang", F.xxhash64("doc_id"), "doc_id", "text").select("lang", "text")
+    # bounded: n_docs ids for each language, and, as ids may repeat, n_docs rows
+    texts = texts.join(F.broadcast(ids), ["doc_id", "lang"], "left_semi").where("text IS NOT NULL")
+    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
+    return texts.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= n_docs) \
+        .orderBy("lang", "nth").select("lang", "text")
 
 
 def dictionaries(labelled: DataFrame, size: int = DICTIONARY_BYTES) -> dict[str, bytes]:

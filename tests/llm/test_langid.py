@@ -57,3 +57,9 @@ def test_empty_table_and_no_labels(spark):
     assert op.identify(spark.createDataFrame([], SCHEMA)).count() == 0
     df = spark.createDataFrame([(1, "word", None, "")], SCHEMA)
     assert op.identify(df).first().lang_pred == "und"
+
+
+def test_sample_is_bounded_by_rows_of_repeated_ids(spark):
+    data = [(i % 4, f"words of text {i}", "en", "") for i in range(3000)] + [(i, f"mots du texte {i}", "fr", "") for i in range(40)]
+    got = op.sample(spark.createDataFrame(data, SCHEMA), 20).collect()
+    assert [sum(r.lang == x for r in got) for x in ("en", "fr")] == [20, 20]
