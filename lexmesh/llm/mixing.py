@@ -42,23 +42,39 @@ def source_key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("s"), source), F.lit("n"))
 
 
+def sums_before(df: DataFrame, order: list[Column], **sums: str) -> DataFrame:
+    """``df`` with the sum of each column ``sums[name]`` over all rows before a row,
+    in ``order``, as ``name``: within ranges, plus the sums of the ranges before."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = materialize(df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    totals = ranged.groupBy("_part").agg(*(F.sum(col).alias(f"_{name}") for name, col in sums.items()))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    totals = totals.select("_part", *(F.coalesce(F.sum(f"_{name}").over(before), F.lit(0)).alias(f"_{name}")
+                                      for name in sums))
+    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = ranged.withColumns({name: F.coalesce(F.sum(col).over(inside), F.lit(0)) for name, col in sums.items()})
+    return rows.join(F.broadcast(totals), "_part").withColumns(
+        {name: F.col(name) + F.col(f"_{name}") for name in sums}).drop("_part", *(f"_{name}" for name in sums))
+
+
 def targets(sizes: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFrame:
     """``(key, source_size, target)`` from ``sizes(key, source, source_size)``, a
     row for each source.  Sources in order take the weights in turn.  Full
     sources stop at ``cap`` times their size: in order of ``cap size / weight``
-    they are the first ones, and the rest share what those leave."""
-    order = Window.orderBy(F.asc_nulls_last("source"))
-    turn = (F.row_number().over(order) - 1) % len(weights)
-    w = F.element_at(F.array(*map(F.lit, weights)), (turn + 1).cast("int")).cast("long")
-    rows = sizes.withColumn("w", w).withColumn("most", F.col("source_size") * cap)
-    by = Window.orderBy(F.col("most") / F.col("w"), "key")
-    full_before = F.coalesce(F.sum("most").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rest = F.sum("w").over(by.rowsBetween(0, Window.unboundedFollowing))
-    rows = rows.withColumn("level", (F.sum("source_size").over(Window.partitionBy()) - full_before).cast("double")
-                           / rest.cast("double"))
-    open_level = F.max(F.when(F.col("most") > F.col("level") * F.col("w"), F.col("level"))).over(Window.partitionBy())
+    they are the first ones, and the rest share what those leave.  Sources may be
+    as many as documents: they are numbered and added up in ranges."""
+    rows = sums_before(sizes.withColumn("_one", F.lit(1)), [F.asc_nulls_last("source")], _turn="_one").drop("_one")
+    w = F.element_at(F.array(*map(F.lit, weights)), (F.col("_turn") % len(weights) + 1).cast("int")).cast("long")
+    rows = rows.withColumn("w", w).withColumn("most", F.col("source_size") * cap)
+    rows = rows.withColumn("_level", F.col("most") / F.col("w"))
+    rows = sums_before(rows, [F.col("_level"), F.col("key")], full_before="most", w_before="w")
+    rows = rows.crossJoin(F.broadcast(rows.agg(F.sum("source_size").alias("_size"), F.sum("w").alias("_w"))))  # one row
+    rows = rows.withColumn("level", (F.col("_size") - F.col("full_before")).cast("double")
+                           / (F.col("_w") - F.col("w_before")).cast("double"))
+    open_level = rows.agg(F.max(F.when(F.col("most") > F.col("level") * F.col("w"), F.col("level"))).alias("_open"))
+    rows = rows.crossJoin(F.broadcast(open_level))
     return rows.select("key", "source_size", F.least(
-        F.col("most").cast("double"), F.coalesce(open_level * F.col("w"), F.col("most").cast("double"))).alias("target"))
+        F.col("most").cast("double"), F.coalesce(F.col("_open") * F.col("w"), F.col("most").cast("double"))).alias("target"))
 
 
 def copies(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, seed: str = SEED) -> DataFrame:
@@ -99,12 +115,14 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, seed: str = SEED) -> D
     """``docs`` with each row as often as the mix takes it, all columns as given."""
     taken = copies(docs, weights, cap, seed)
     keys = ["_id", "_key", "_source"]
-    taken = taken.groupBy(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.col("text_key").alias("_key"),
-                          source_key(F.col("source")).alias("_source")) \
-        .agg(F.collect_list("copies").alias("_copies"))
+    # repeated rows, in any order, meet by their number
+    taken = taken.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.col("text_key").alias("_key"),
+                         source_key(F.col("source")).alias("_source"), F.col("copies").alias("_times"))
+    taken = taken.withColumn("_row", F.row_number().over(Window.partitionBy(*keys).orderBy("_times"))) \
+        .where("_times > 0")
     rows = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)),
                              "_key": F.xxhash64(text_or_empty()), "_source": source_key(F.col("source"))})
     nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64(*docs.columns)))
-    rows = rows.join(taken, keys).withColumn("_times", F.element_at("_copies", nth)).where("_times > 0")
+    rows = rows.withColumn("_row", nth).join(taken, [*keys, "_row"])
     return rows.withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))) \
         .select(*docs.columns)

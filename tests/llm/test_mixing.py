@@ -69,3 +69,22 @@ def test_runs_no_python(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert op.copies(df).count() == 0 and op.mix(df).count() == 0
+
+
+def test_many_sources_and_repeated_rows_need_no_single_task(spark):
+    sizes = spark.createDataFrame([(f"s{k:04}", f"{k:04}", (k * 7919) % 1000) for k in range(700)],
+                                  "key string, source string, source_size long")
+    found = op.targets(sizes)
+    got = {r.key: r.target for r in found.collect()}
+    want = brute_targets({f"{k:04}": (k * 7919) % 1000 for k in range(700)})
+    assert all(abs(got["s" + k] - v) < 1e-6 * max(1, v) for k, v in want.items()) and len(got) == 700
+    row = (1, "one two three", "a")
+    df = spark.createDataFrame([row] * 3000 + [(2, "four", "b")], "doc_id long, text string, source string")
+    mixed = op.mix(df)
+    assert mixed.count() == op.copies(df).agg({"copies": "sum"}).first()[0]
+    for plan in (found, mixed):
+        text = plan._jdf.queryExecution().optimizedPlan().toString()
+        assert "collect_list" not in text
+    # windows without partition see a row for each range, not for each source
+    for w in re.findall(r"Window \[.*", found._jdf.queryExecution().optimizedPlan().toString()):
+        assert "_part#" in w
