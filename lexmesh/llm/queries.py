@@ -199,3 +199,11 @@ SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS IN
 FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM rows)
 WHERE part = 'pair' OR rank <= 10
 """)
+
+
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexmesh.llm.spelling import variants
+    return variants(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+query(op11_spelling_variants)
