@@ -207,3 +207,11 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 query(op11_spelling_variants)
+
+
+def op12_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexmesh.llm.minhash import near_duplicates
+    return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), words=3, share=(85, 100))
+
+
+query(op12_minhash_near_dedup)
