@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmesh.functions.vectors import zeros
+from lexmesh.operators.counts import by_key, write_bucketed
 from lexmesh.operators.util import global_row_number
 from lexmesh.session import materialize
 
@@ -134,7 +135,10 @@ def doc_clusters(tfidf: DataFrame, clusters: DataFrame, word_vectors: DataFrame,
     ``n_top_clusters`` per document).  The weighted mean is Spark ML's
     ``Summarizer`` (fixed-size partial aggregates), so a large cluster in a
     long document is never gathered into one row."""
-    rows = tfidf.select(id_col, col, "weight").join(clusters.select(col, "cluster_id"), col)
+    # joined once, written with one partitioning by document: the sums, the
+    # ranks and the members of the kept clusters are read from it in place
+    rows = write_bucketed(by_key(tfidf.select(id_col, col, "weight").join(clusters.select(col, "cluster_id"), col),
+                                 id_col), "cluster_rows", id_col)
     agg = rows.groupBy(id_col, "cluster_id").agg(F.sum("weight").alias("weight"))
     w = Window.partitionBy(id_col).orderBy(F.desc("weight"), F.asc("cluster_id"))
     ranked = agg.withColumn("rank", F.row_number().over(w))

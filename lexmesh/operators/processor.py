@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from lexmesh.functions.rules import DEFAULT_RULES
 from lexmesh.operators import clusters as C
+from lexmesh.operators.counts import surface_counts, term_counts
 from lexmesh.operators.docvec import doc_vectors_weighted
 from lexmesh.operators.tfidf import TfidfModel, fit_tfidf
 from lexmesh.operators.tokens import analyzed_term_frequency, clean_docs
@@ -90,7 +91,8 @@ def fit_processor(docs: DataFrame, word_vectors: DataFrame, annotations: DataFra
     s = SETTINGS | settings
     if s["method"] not in ("tfidf", "clusters"):
         raise ValueError(f"unknown method {s['method']!r}")
-    tf = materialize(_counts(docs, annotations, stopwords, s["clean"]), "tf")
+    surfaces = surface_counts(docs, DEFAULT_RULES if s["clean"] else None)
+    tf = term_counts(surfaces, annotations, stopwords)
     model = fit_tfidf(tf, docs, min_df=s["min_df"], max_df=s["max_df"], counted=True)
     keep = model.vocab.select("word")
     if keep_words is not None:

@@ -159,7 +159,15 @@ def analyzed_term_frequency(docs: DataFrame, annotations: DataFrame, stopwords:
     the corpus side only does one equi-join and a sum.  A surface without
     an annotation has no POS tag and is dropped by P8 either way."""
     toks = tokenize(docs, id_cols=id_cols, text_col=text_col, mode="letters", lower=False)
-    surf = toks.groupBy(*id_cols, "word").agg(F.count(F.lit(1)).alias("n"))
+    return analyzed_counts(count_tokens(toks, id_cols), annotations, stopwords, id_cols, relevant_pos)
+
+
+def analyzed_counts(surfaces: DataFrame, annotations: DataFrame, stopwords: DataFrame,
+                    id_cols=("doc_id",), relevant_pos: Iterable[str] = RELEVANT_POS,
+                    spread=None) -> DataFrame:
+    """:func:`analyzed_term_frequency` from surface counts ``(*id_cols, word, n)``.
+    ``spread`` partitions the joined rows before they are added up."""
     mapping = prepare_annotations(annotations, stopwords, relevant_pos).withColumnRenamed("word", "norm")
-    joined = surf.join(mapping, surf["word"] == mapping["surface"])
-    return joined.groupBy(*id_cols, F.col("norm").alias("word")).agg(F.sum("n").alias("tf"))
+    joined = surfaces.join(mapping, surfaces["word"] == mapping["surface"]) \
+                     .select(*id_cols, F.col("norm").alias("word"), "n")
+    return (spread(joined) if spread else joined).groupBy(*id_cols, "word").agg(F.sum("n").alias("tf"))

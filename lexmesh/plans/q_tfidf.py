@@ -12,22 +12,20 @@ from lexmesh.operators import tokens as TK
 from lexmesh.plans import fixtures as fx
 from lexmesh.plans.fixtures import with_fixtures as W
 from lexmesh.plans.registry import register
-from lexmesh.session import materialize
 
 WS = r"'[ \t\n\r\f\x0b]+'"
 
 
 def _annotated(spark, d):
     """Counted surface forms with their annotations: one row per document and form."""
-    toks = TK.count_tokens(fx.surface_tokens(spark, d))
-    return TK.annotate_tokens(toks, fx.annotations(spark, d))
+    return TK.annotate_tokens(fx.surface_counts(spark, d), fx.annotations(spark, d))
 
 
 def fitted_tfidf(spark, d):
     """(model, term counts) fitted on the whole corpus; the counts are
-    written once and feed both fit and transform."""
-    tf = materialize(fx.analyzed_tf(spark, d), "tf")
-    model = TF.fit_tfidf(tf, fx.docs(spark, d), min_df=5, max_df=0.95, counted=True)
+    written once, bucketed by document, and feed both fit and transform."""
+    tf = fx.analyzed_tf(spark, d)
+    model = TF.fit_tfidf(tf, fx.table(spark, d, "documents"), min_df=5, max_df=0.95, counted=True)
     return _CountedModel(model), tf
 
 
