@@ -25,6 +25,29 @@ def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Each name with as many underscores after it as it takes to differ from
+    all columns of ``df`` (Spark ignores case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
+def given(df: DataFrame) -> list[Column]:
+    """The columns of ``df`` as they are, whatever signs their names hold."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns]
+
+
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all columns, to order rows that are alike otherwise.  What holds
+    a map is hashed as text."""
+    return F.xxhash64(*(c.cast("string") if "map<" in f.dataType.simpleString() else c
+                        for c, f in zip(given(df), df.schema.fields)))
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """``(bytes, offsets)`` of a non-null Arrow string or binary column,
     without a copy of the texts."""

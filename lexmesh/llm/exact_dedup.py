@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmesh.llm.common import NO_ID, text_or_empty, utf8
+from lexmesh.llm.common import NO_ID, given, row_hash, text_or_empty, unused, utf8
 from lexmesh.session import materialize
 
 #: Bytes of a hashed chunk: 256 * 2**31 * 2**13 < 2**53, so sums in doubles are exact.
@@ -203,11 +203,13 @@ def _by_text(docs: DataFrame, clash: DataFrame, hasher: Fingerprint | None) -> D
 
 
 def drop_duplicates(docs: DataFrame, hasher: Fingerprint | None = None) -> DataFrame:
-    """``docs`` with one row of each group of equal texts, all columns as given."""
+    """``docs`` with one row of each group of equal texts, all columns as given,
+    whatever their names."""
+    key, sha, nth = unused(docs, "_id", "_sha", "_nth")
     kept = duplicate_classes(docs, hasher).where("kept").select(
-        F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.col("text_sha256").alias("_sha"))
-    rows = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)),
-                             "_sha": F.sha2(text_or_empty(), 256)})
-    rows = rows.join(kept, ["_id", "_sha"], "left_semi")
-    nth = F.row_number().over(Window.partitionBy("_id", "_sha").orderBy(F.xxhash64(*docs.columns)))
-    return rows.withColumn("_nth", nth).where("_nth = 1").select(*docs.columns)
+        F.coalesce("doc_id", F.lit(NO_ID)).alias(key), F.col("text_sha256").alias(sha))
+    rows = docs.withColumns({key: F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)),
+                             sha: F.sha2(text_or_empty(), 256)})
+    rows = rows.join(kept, [key, sha], "left_semi")
+    number = F.row_number().over(Window.partitionBy(key, sha).orderBy(row_hash(docs)))
+    return rows.withColumn(nth, number).where(F.col(nth) == 1).select(*given(docs))

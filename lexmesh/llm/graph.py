@@ -2,9 +2,10 @@
 
 Large stars hang every greater neighbour of a node on the smallest one around
 it, small stars do the same for the node and its smaller neighbours.  Both are
-an aggregate with map-side combining and a join that Spark may split by skew,
-so a node with very many neighbours is no group of its own.  Each round is
-written to the shared checkpoint folder.  The loop ends at the fixed point
+an aggregate with map-side combining and a join.  The aggregate is written
+first: joined with an aggregate of its own on the same key, a table keeps that
+partitioning, and Spark doesn't split a node with very many neighbours; from two
+written tables it does.  Each round is written to the shared checkpoint folder.  The loop ends at the fixed point
 only, where every node hangs on the smallest node of its component.
 """
 
@@ -37,13 +38,14 @@ def _digest(edges: DataFrame) -> tuple:
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
+    least = materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")), "least")
     # (b, m) for every neighbour b of a that is greater than a
     return edges.select(F.col("b").alias("a"), F.col("a").alias("b")).join(least, "a") \
         .select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    edges = materialize(edges, "edges")
+    least = materialize(edges.groupBy("a").agg(F.min("b").alias("m")), "least")
     hung = edges.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return hung.unionByName(least.select("a", F.col("m").alias("b"))).distinct()

@@ -16,13 +16,15 @@ such pages, chosen by hash.
 Each is learned from as it is, without its article marks, and without any marks,
 so that pages without marks are judged by what is left.
 
-Quoted attribute values are read whole, however long.  If a tag's quoted values
+A slash at the end of a tag closes it in SVG and MathML only, as in HTML; scripts and
+other raw text end at their end tag.  Quoted attribute values are read whole, however long.  If a tag's quoted values
 reach the page's end, it and all later tags end at their next ``>``.
 
 Defined results: null html is an empty page; a page without main blocks gives an
 empty text; without any labelled page nothing is main.  Character references are
 decoded; white space inside a block becomes one space; blocks are joined by two
 line feeds.  Repeated rows are returned each.  Null ids are returned as they are.
+An empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -73,12 +75,14 @@ TELLING = re.compile(r"\b(cookies?|subscribe|sign (?:in|up)|log ?in|advertisemen
                      r"copyright|privacy policy|terms of|share this|related (?:posts|articles)|repl(?:y|ies)|comments?|"
                      r"posted by|read more|click here|menu|search)\b|©", re.I)
 
-#: A comment, or the start of a tag or declaration.
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?:[!?]|(/?)([A-Za-z][A-Za-z0-9:-]*))", re.S)
+#: A comment (``<!-->`` is an empty one), or the start of a tag or declaration.
+TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(?:[!?]|(/?)([A-Za-z][A-Za-z0-9:-]*))", re.S)
 #: The rest of a tag.  Quotes count after an equals sign only and hold a value of any length;
 #: a quote that is never closed is a character like others.
 REST = re.compile(r"((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]*+))*+)>")
 ATTRIBUTE = re.compile(r"([^\s=/>]++)(?:\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s>]++))?")
+#: Elements in whose content a slash before the end of a tag closes it; elsewhere it means nothing.
+FOREIGN = {"svg", "math"}
 TOLD = {"class", "id", "role", "hidden", "style", "aria-hidden"}
 WORD = re.compile(r"[a-z]+")
 SPACES = re.compile(r"\s+")
@@ -108,6 +112,14 @@ def _words(attributes: str) -> tuple[frozenset[str], bool]:
     return frozenset(words), hidden
 
 
+def _slashed(attributes: str) -> bool:
+    """A slash ends the tag, and is no part of an unquoted value."""
+    if not attributes.endswith("/"):
+        return False
+    *_, last = [None, *ATTRIBUTE.finditer(attributes)]
+    return last is None or last.end() < len(attributes)
+
+
 def _sense(tag: str, words: frozenset[str]) -> str:
     if tag in OTHER_SENSE or words & OTHER_SENSE:
         return "other"
@@ -184,18 +196,18 @@ def blocks(page: str) -> list[Block]:
             elif tag == "br":
                 text(" ")
             continue
+        if attributes.endswith("/") and (tag in FOREIGN or any(t in FOREIGN for t, *_ in stack)) and _slashed(attributes):
+            continue
         if tag in RAW:
-            if not attributes.endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
+            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
+            at = end.end() if end else len(page)
             continue
         if tag in UNSEEN:
             while tag in SINGLE and any(stack[k][0] == tag for k in unseen):
                 pop()
-            if not attributes.endswith("/"):
-                unseen.append(len(stack))
-                stack.append((tag, "", True))
-                hidden += 1
+            unseen.append(len(stack))
+            stack.append((tag, "", True))
+            hidden += 1
             continue
         if tag in BLOCKS:
             if not unseen:
@@ -213,11 +225,10 @@ def blocks(page: str) -> list[Block]:
                     break
                 if stack[k][0] in WALLS:
                     break
-        if not attributes.endswith("/"):
-            words, hid = _words(attributes) if attributes else (frozenset(), False)
-            stack.append((tag, _sense(tag, words), hid))
-            hidden += hid
-            links += tag == "a"
+        words, hid = _words(attributes) if attributes else (frozenset(), False)
+        stack.append((tag, _sense(tag, words), hid))
+        hidden += hid
+        links += tag == "a"
     flush()
     return out
 

@@ -2,7 +2,7 @@
 
 For each language a raw-content zstandard dictionary is filled with text of a
 bounded sample of labelled documents.  A text is lower-cased, everything but
-letters becomes one space, and its blocks are compressed with the dictionary of
+letters and their marks becomes one space, and its blocks are compressed with the dictionary of
 each language in turn; the language whose dictionary leaves the fewest bytes in
 all is predicted.  The relative distance to the runner-up is the margin; where
 it is narrow the row is marked as rejected (the prediction stays).
@@ -14,7 +14,9 @@ their text in turn.  Prediction reads every text whole, and nothing but the text
 Defined results: a text that is null or has no letter is ``und`` with score 0
 and rejected; ties go to the first language in order of its code; a row with a
 null id is never held out and never learned from.  Without any learned
-language every row is ``und``.  Repeated rows are returned each.
+language every row is ``und``.  Repeated rows are returned each; an empty table
+gives an empty result; texts of any length are compressed block by block; other
+columns stay as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,11 +25,14 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexmesh.llm.common import given, unused
+
 SAMPLE_DOCS = 300
 #: Characters taken of one sampled document, so that many fill a dictionary.
 SAMPLE_CHARS = 2000
@@ -36,12 +41,16 @@ BLOCK = 4096
 #: Narrower margins than this share of the best size are rejected.
 MIN_MARGIN = 0.002
 UNKNOWN = "und"
-#: Runs of anything but letters; letters as str.isalpha has them, nearly.
-NOT_LETTERS = re.compile(r"[\W\d_]+")
+#: Runs of anything but letters and the marks on them (vowel signs, accents).
+NOT_LETTERS = regex.compile(r"[^\p{L}\p{M}]+")
+NOT_ASCII_LETTERS = re.compile("[^a-z]+")
 
 
 def plain(text: str) -> str:
-    return NOT_LETTERS.sub(" ", text.lower()).strip()
+    """The text's words in lower case; empty if no character is a letter."""
+    if text.isascii():
+        return NOT_ASCII_LETTERS.sub(" ", text.lower()).strip()
+    return NOT_LETTERS.sub(" ", text.lower()).strip() if any(map(str.isalpha, text)) else ""
 
 
 def remainder(doc_id: str = "doc_id") -> Column:
@@ -101,34 +110,38 @@ class Classifier:
         return best[1], margin, margin < min_margin
 
 
-def predictions(docs: DataFrame, min_margin: float = MIN_MARGIN) -> DataFrame:
-    """``docs`` with ``_lang_pred, _score, _rejected`` appended; one pass, no shuffle."""
+def predictions(docs: DataFrame, min_margin: float = MIN_MARGIN,
+                names: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:
+    """``docs`` with the prediction, its score and whether it is rejected appended
+    under ``names``; one pass, no shuffle."""
     content = dictionaries(sample(docs))
-    columns = docs.columns
+    n = len(docs.columns)
+    # the Arrow pass takes plain names only
+    columns = [f"c{k}" for k in range(n + 3)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with_dictionaries = Classifier(content)
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("_text"))
-            found = [with_dictionaries.predict(t.as_py(), min_margin) for t in texts]
+            found = [with_dictionaries.predict(t.as_py(), min_margin) for t in batch.column(n)]
             lang, score, rejected = zip(*found) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:len(columns)], pa.array(lang, pa.string()), pa.array(score, pa.float64()),
-                 pa.array(rejected, pa.bool_())], [*columns, "_lang_pred", "_score", "_rejected"])
+                [*batch.columns[:n], pa.array(lang, pa.string()), pa.array(score, pa.float64()),
+                 pa.array(rejected, pa.bool_())], columns)
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("_lang_pred", T.StringType()),
-                           T.StructField("_score", T.DoubleType()), T.StructField("_rejected", T.BooleanType())])
-    return docs.withColumn("_text", F.col("text")).mapInArrow(run, schema)
+    kinds = [*(f.dataType for f in docs.schema.fields), T.StringType(), T.DoubleType(), T.BooleanType()]
+    schema = T.StructType([T.StructField(c, kind) for c, kind in zip(columns, kinds)])
+    return docs.select(*given(docs), F.col("text")).toDF(*columns[:n + 1]).mapInArrow(run, schema) \
+        .toDF(*docs.columns, *names)
 
 
 def identify(docs: DataFrame, min_margin: float = MIN_MARGIN) -> DataFrame:
     """``(doc_id, held_out, lang_pred, score, rejected)``, a row for each row."""
     found = predictions(docs.select("doc_id", "text", "lang"), min_margin)
     return found.select("doc_id", F.coalesce(remainder() == 2, F.lit(False)).alias("held_out"),
-                        F.col("_lang_pred").alias("lang_pred"), F.col("_score").alias("score"),
-                        F.col("_rejected").alias("rejected"))
+                        "lang_pred", "score", "rejected")
 
 
 def keep_identified(docs: DataFrame, min_margin: float = MIN_MARGIN) -> DataFrame:
-    """``docs`` without the rows that are rejected, all columns as given."""
-    return predictions(docs, min_margin).where("NOT _rejected").select(*docs.columns)
+    """``docs`` without the rows that are rejected, all columns as given, whatever their names."""
+    names = unused(docs, "_lang_pred", "_score", "_rejected")
+    return predictions(docs, min_margin, tuple(names)).where(~F.col(names[2])).select(*given(docs))

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmesh.llm.common import NO_ID, WORD, text_or_empty
+from lexmesh.llm.common import NO_ID, WORD, given, row_hash, text_or_empty, unused
 from lexmesh.session import materialize
 
 WEIGHTS = (5, 2, 1)
@@ -112,17 +112,19 @@ def copies(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, seed: str = SEED) -
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, seed: str = SEED) -> DataFrame:
-    """``docs`` with each row as often as the mix takes it, all columns as given."""
+    """``docs`` with each row as often as the mix takes it, all columns as given,
+    whatever their names."""
     taken = copies(docs, weights, cap, seed)
-    keys = ["_id", "_key", "_source"]
+    key, text, source, times, row = unused(docs, "_id", "_key", "_source", "_times", "_row")
+    keys = [key, text, source]
     # repeated rows, in any order, meet by their number
-    taken = taken.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.col("text_key").alias("_key"),
-                         source_key(F.col("source")).alias("_source"), F.col("copies").alias("_times"))
-    taken = taken.withColumn("_row", F.row_number().over(Window.partitionBy(*keys).orderBy("_times"))) \
-        .where("_times > 0")
-    rows = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)),
-                             "_key": F.xxhash64(text_or_empty()), "_source": source_key(F.col("source"))})
-    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64(*docs.columns)))
-    rows = rows.withColumn("_row", nth).join(taken, [*keys, "_row"])
-    return rows.withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))) \
-        .select(*docs.columns)
+    taken = taken.select(F.coalesce("doc_id", F.lit(NO_ID)).alias(key), F.col("text_key").alias(text),
+                         source_key(F.col("source")).alias(source), F.col("copies").alias(times))
+    taken = taken.withColumn(row, F.row_number().over(Window.partitionBy(*keys).orderBy(times))) \
+        .where(F.col(times) > 0)
+    rows = docs.withColumns({key: F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)),
+                             text: F.xxhash64(text_or_empty()), source: source_key(F.col("source"))})
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy(row_hash(docs)))
+    rows = rows.withColumn(row, number).join(taken, [*keys, row])
+    return rows.select(*given(docs), F.explode(F.sequence(F.lit(1), F.col(times).cast("int"))).alias(times)) \
+        .drop(times)

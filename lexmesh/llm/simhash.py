@@ -22,7 +22,8 @@ chooses among them.
 Defined results: only A-Z are lower-cased; a null text counts as empty; a text
 without words has fingerprint zero and links like any other; repeated rows
 are returned each; null ids never name a component that has an id, and a
-component without any id has a null one.  Other columns are not read.
+component without any id has a null one.  Texts of any length are read in
+pieces.  An empty table gives an empty result.  Other columns are not read.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmesh.llm.common import NO_ID, text_or_empty, utf8
+from lexmesh.llm.common import NO_ID, given, row_hash, text_or_empty, unused, utf8
 from lexmesh.llm.graph import components
 from lexmesh.session import materialize
 
@@ -166,7 +167,8 @@ def _meetings(members: DataFrame, keys: list[int], max_bits: int) -> DataFrame:
     points = members.select("way", "fp").mapInArrow(spread, "point long, fp long, close boolean")
     points = points.groupBy("point", "fp").agg(F.max("close").alias("close"))
     points = materialize(points, "points")
-    least = points.where("close").groupBy("point").agg(F.min("fp").alias("b"))
+    # written first: joined with an aggregate of its own, a hot point would not be split
+    least = materialize(points.where("close").groupBy("point").agg(F.min("fp").alias("b")), "least")
     return points.join(least, "point").where("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
 
 
@@ -182,13 +184,14 @@ def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 3, bucket:
 
 def drop_near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 3) -> DataFrame:
     """``docs`` with the row of the smallest id of each component, all columns
-    as given.  A component without any id keeps its rows."""
+    as given, whatever their names.  A component without any id keeps its rows."""
     found = near_duplicates(docs, words, max_bits).where("component_id IS NULL OR doc_id = component_id")
-    kept = found.groupBy(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"),
-                         F.when(F.col("doc_id").isNull(), F.col("text_key")).alias("_alone")) \
-        .agg(F.min("text_key").alias("_key")).drop("_alone")
-    rows = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)),
-                             "_key": F.xxhash64(text_or_empty())})
-    rows = rows.join(kept, ["_id", "_key"], "left_semi")
-    nth = F.row_number().over(Window.partitionBy("_id", "_key").orderBy(F.xxhash64(*docs.columns)))
-    return rows.withColumn("_nth", nth).where((F.col("_nth") == 1) | (F.col("_id") == NO_ID)).select(*docs.columns)
+    key, text, nth = unused(docs, "_id", "_key", "_nth")
+    kept = found.groupBy(F.coalesce("doc_id", F.lit(NO_ID)).alias(key),
+                         F.when(F.col("doc_id").isNull(), F.col("text_key")).alias("alone")) \
+        .agg(F.min("text_key").alias(text)).select(key, text)
+    rows = docs.withColumns({key: F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)),
+                             text: F.xxhash64(text_or_empty())})
+    rows = rows.join(kept, [key, text], "left_semi")
+    number = F.row_number().over(Window.partitionBy(key, text).orderBy(row_hash(docs)))
+    return rows.withColumn(nth, number).where((F.col(nth) == 1) | (F.col(key) == NO_ID)).select(*given(docs))

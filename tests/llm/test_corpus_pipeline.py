@@ -63,3 +63,23 @@ def test_run_goes_through_all_stages(spark, tmp_path):
 def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     assert P.run(spark, str(tmp_path)).count() == 0
+
+
+def test_extra_columns_of_any_name(spark):
+    """Names that the stages use themselves, in either case, and names with signs."""
+    extra = ["_id", "_KEY", "_row", "_times", "_Source", "_text", "_sha", "_nth", "_lang_pred", "_score", "_REJECTED",
+             "alone", "text_key", "copies", "a.b", "c`d", "component_id", "kept"]
+    words = ["zwei drei vier", "uno dos tres", "one two three"]
+    rows = [(i, f"{words[i % 3]} " * (5 + i // 2), ["de", "es", "en"][i % 3], f"s{i % 4}", 0) for i in range(60)]
+    rows += [rows[5], rows[5], (None, "no id here " * 9, "en", None, 0)]
+    schema = SCHEMA + "".join(f", `{c.replace('`', '``')}` string" for c in extra) + ", tags map<string,int>"
+    full = spark.createDataFrame([(*r, *(f"{c} {r[0]}" for c in extra), {"k": 1}) for r in rows], schema)
+    bare = spark.createDataFrame(rows, SCHEMA)
+    for name, stage in P.STAGES[:-1]:
+        got, plain = stage(spark, full, ""), stage(spark, bare, "")
+        assert got.columns == full.columns, name
+        found = [r.asDict() for r in got.collect()]
+        for r in found:
+            assert all(r[c] == f"{c} {r['doc_id']}" for c in extra) and r["tags"] == {"k": 1}, name
+        assert sorted(r["doc_id"] or -1 for r in found) == sorted(r.doc_id or -1 for r in plain.collect()), name
+    P.STAGES[-1][1](spark, full, "").count()

@@ -1,5 +1,6 @@
 import itertools
 import random
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -60,7 +61,8 @@ def test_long_attribute_values(n):
 
 def test_unseen_elements_without_end_tag():
     for tag in op.UNSEEN - op.RAW:
-        page = f"<div><{tag} class=share><p>no<li>no</div><article><p>Told <{tag}><p>no</p></{tag}>here<{tag}/>.</article>"
+        slashed = f"<{tag}/>" if tag in op.FOREIGN else f"<{tag}/>no</{tag}>"  # a slash closes foreign elements only
+        page = f"<div><{tag} class=share><p>no<li>no</div><article><p>Told <{tag}><p>no</p></{tag}>here{slashed}.</article>"
         assert op.blocks(page) == [("Told here.", ("article", "p"), ("main",), 0.0)]
         assert op.blocks(f"<p>Told <{tag}>no<div>no</p>on</div>") == [("Told", ("p",), (), 0.0), ("on", (), (), 0.0)]
     assert [b[0] for b in op.blocks("<button>no<button>no</button>yes<script>no<p>no</p>")] == ["yes"]
@@ -68,6 +70,79 @@ def test_unseen_elements_without_end_tag():
     op.blocks("<p><svg>" * 5_000 + "</svg>x" * 5_000)
 
 
+def test_comments_end_as_in_html():
+    for empty in ("<!-->", "<!--->", "<!---->", "<!-- > -->", "<!--x--!>", "<!-- <p>no</p> --!>"):
+        assert [b[0] for b in op.blocks(f"<p>a{empty}b</p><p>c</p><!-- end -->")] == ["ab", "c"], empty
+    assert [b[0] for b in op.blocks("<p>a</p><!-- no <p>no</p>")] == ["a"]
+
+
+def test_a_slash_closes_void_and_foreign_elements_only():
+    for script in ("<script src=https://cdn.example.com/x/>track(3);</script>", '<script src="a.js"/>var x=1</script>',
+                   "<style/>p{}</style >", "<script>a</script/>", "<SCRIPT>'</scripty>'</Script\n x>"):
+        assert [b[0] for b in op.blocks(f"<article><p>One</p>{script}<p>two</p></article>")] == ["One", "two"], script
+    assert [b[0] for b in op.blocks("<p>a</p><button formaction=/x/>Buy now</button><p>b</p>")] == ["a", "b"]
+    assert op.blocks('<div class="sidebar" data-u=/x/>Side</div>') == [("Side", ("div",), ("other",), 0.0)]
+    assert op.blocks("<div class='ad'/>Ad<br/>x</div><p>b") == [("Ad x", ("div",), ("other",), 0.0), ("b", ("p",), (), 0.0)]
+    svg = "<svg viewBox='0 0 1 1'/>", "<svg><title/><style/><path d=/x/></path><path d='m'/></svg>", "<svg><script/></svg>"
+    for x in svg:
+        assert [b[0] for b in op.blocks(f"<p>a{x}b</p><p>c")] == ["ab", "c"], x
+
+
+class Plain(HTMLParser):
+    """Shown text of well-nested pages by the standard parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.unseen, self.out = [], []
+
+    def handle_starttag(self, tag, attrs):
+        if self.unseen or tag in op.UNSEEN:
+            self.unseen += [tag] if tag not in op.VOID else []
+        elif tag in op.BLOCKS or tag == "br":
+            self.out.append(" ")
+
+    def handle_startendtag(self, tag, attrs):
+        if tag in op.VOID:
+            self.handle_starttag(tag, attrs)
+
+    def handle_endtag(self, tag):
+        if self.unseen:
+            if tag in self.unseen:
+                while self.unseen.pop() != tag:
+                    pass
+        elif tag in op.BLOCKS:
+            self.out.append(" ")
+
+    def handle_data(self, data):
+        if not self.unseen:
+            self.out.append(data)
+
+
+def test_blocks_equal_a_standard_parser():
+    draw = random.Random(21)
+    inline, shown = ["b", "i", "a", "span"], ["div", "p", "section", "blockquote"]
+    words = ["One", "two &amp; 3", "&lt;p&gt;", "caf&eacute; &#228;", "a&nbsp;b", "x < y", "<br>", "<img alt='>'>", "<!-- <p>no</p> -->",
+             "<script>if (a</b) '<p>'</script>", "<style>p > a {}</style>", "<select><option>no</select>", "<input value=\"no>\"/>"]
+
+    def nested(depth):
+        out = []
+        for _ in range(draw.randrange(1, 5)):
+            if depth and draw.random() < .5:
+                tag = draw.choice(shown if depth > 2 else inline)
+                attributes = draw.choice(["", " class=x", " title='a>b'", ' data-x="<p>"', " x = y z"])
+                out.append(f"<{tag}{attributes}>{nested(depth - 1)}</{draw.choice([tag, tag.upper()])}>")
+            else:
+                out.append(draw.choice(words))
+        return draw.choice([" ", "", "\n"]).join(out)
+
+    for _ in range(400):
+        page = nested(5).replace("<p", "<div").replace("</p>", "</div>").replace("</P>", "</div>")
+        plain = Plain()
+        plain.feed(page)
+        plain.close()
+        assert " ".join(b[0] for b in op.blocks(page)).split() == "".join(plain.out).split(), page
+
+
 def test_unclosed_quotes_and_tags():
     assert [b[0] for b in op.blocks("<p title=\"x>One</p><p it's>two's</p>")] == ["One", "two's"]
     assert [b[0] for b in op.blocks("<p>One</p><p a=\">\" b='>' c>two")] == ["One", "two"]

@@ -63,3 +63,41 @@ def test_sample_is_bounded_by_rows_of_repeated_ids(spark):
     data = [(i % 4, f"words of text {i}", "en", "") for i in range(3000)] + [(i, f"mots du texte {i}", "fr", "") for i in range(40)]
     got = op.sample(spark.createDataFrame(data, SCHEMA), 20).collect()
     assert [sum(r.lang == x for r in got) for x in ("en", "fr")] == [20, 20]
+
+
+def test_und_is_for_texts_without_a_letter(spark):
+    for text in ("½ ² ①", "Ⅷ", "12 ٣", "\u0301\u0301", "_ - 😀", ""):
+        assert op.plain(text) == ""
+    assert op.plain("हिन्दी भाषा") == "हिन्दी भाषा" and op.plain("कि½तु") == "कि तु"
+    assert op.plain("A1b É_ß ١ق") == "a b é ß ق"
+    texts = ["½ ² ①", "Ⅷ", "हिन्दी भाषा", "e"]
+    df = spark.createDataFrame(rows() + [(5000 + k, t, None, "") for k, t in enumerate(texts)], SCHEMA)
+    got = {r.doc_id: r.lang_pred for r in op.identify(df).collect()}
+    assert got[5000] == got[5001] == "und" and "und" not in (got[5002], got[5003])
+
+
+def test_sizes_equal_plain_compression():
+    """Each block compressed on its own with each language's raw dictionary."""
+    import zstandard
+    content = {"aa": b"lorum ipsen dolar " * 300, "bb": b"krach wumms zisch " * 300, "cc": "élan où çave ".encode() * 200}
+    classifier, rng = op.Classifier(content), random.Random(2)
+    for n in (1, 50, 700, 30_000):  # the last one spans many blocks
+        clean = op.plain(" ".join(rng.choice(["lorum", "krach", "élan", "zisch", "dolar"]) for _ in range(n)))
+        data, want = clean.encode(), []
+        for lang, words in content.items():
+            settings = zstandard.ZstdCompressionParameters(
+                strategy=zstandard.STRATEGY_GREEDY, min_match=4, window_log=17, hash_log=16, chain_log=16, search_log=3,
+                write_content_size=False, write_checksum=False, write_dict_id=False)
+            total, at = 0, 0
+            while at < len(data):
+                d = zstandard.ZstdCompressionDict(words, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                d.precompute_compress(compression_params=settings)
+                total += len(zstandard.ZstdCompressor(compression_params=settings, dict_data=d).compress(data[at:at + op.BLOCK]))
+                at += op.BLOCK
+            want.append((total, lang))
+        assert classifier.sizes(clean) == sorted(want)
+
+
+def test_very_long_text(spark):
+    df = spark.createDataFrame(rows() + [(7000, "krachwumms zischbumm " * 200_000, None, "")], SCHEMA)
+    assert op.identify(df).where("doc_id = 7000").first().lang_pred == "bb"
