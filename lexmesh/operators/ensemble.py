@@ -5,9 +5,12 @@ is one group of ``groupBy(category, param_id, fold, model_ix)
 .applyInPandas``.  A member is: standardise -> optional PCA -> random
 Fourier features for the RBF kernel (Rahimi & Recht 2007; identity map
 for the linear kernel) -> class-balanced least-squares SVM in closed form
-(Suykens & Vandewalle 1999) -> Platt sigmoid for probabilities.  A
-group is the augmented training set of one member, bounded by
-``augment.MAX_ROWS``; what scales is the number of groups.
+(Suykens & Vandewalle 1999) -> Platt sigmoid for probabilities.  With
+``solver="dual"`` a member is the exact kernel SVM instead, its dual solved
+by :mod:`lexmesh.operators.svm` and its sigmoid fitted to held-out values;
+its row then holds the support vectors.  A group is the augmented training
+set of one member, bounded by ``augment.MAX_ROWS``; what scales is the
+number of groups.
 
 Scoring (J9): ``mapInPandas`` over Arrow batches of vectors; the fitted
 coefficient rows are broadcast in blocks of bounded bytes, and the member
@@ -25,16 +28,21 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexmesh.operators import svm
 
 MODEL_SCHEMA = (
     "category string, param_id int, fold int, model_ix int, kernel string, "
     "mean array<double>, scale array<double>, components array<double>, n_comp int, "
     "rff_seed bigint, gamma double, n_rff int, coef array<double>, intercept double, "
-    "platt_a double, platt_b double, n_rows int, n_inside int")
+    "platt_a double, platt_b double, n_rows int, n_inside int, solver string, "
+    "support array<double>, gap double")
+ARRAYS = ("mean", "scale", "components", "coef", "support")
 
 BLOCK_BYTES = 32 << 20   # coefficients that are broadcast at once
+FEATURE_ROWS = 8192      # rows whose features are held at once when sums are added up
 
-DEFAULT_PARAMS = {"kernel": "rbf", "svc_c": 1.0, "pca": None, "n_rff": 256}
+DEFAULT_PARAMS = {"kernel": "rbf", "svc_c": 1.0, "pca": None, "n_rff": 256, "solver": "fourier"}
+SOLVERS = ("fourier", "dual")
 
 
 def n_pca_components(pca, dim: int, n_rows: int) -> int:
@@ -54,18 +62,30 @@ def _rff(z: np.ndarray, seed: int, gamma: float, n_rff: int) -> np.ndarray:
     return math.sqrt(2.0 / n_rff) * np.cos(z @ omega + phase)
 
 
-def _features(x: np.ndarray, m: dict) -> np.ndarray:
+def projected(x: np.ndarray, m: dict) -> np.ndarray:
+    """Standardised and, with PCA, rotated rows."""
     z = (x - np.asarray(m["mean"])) / np.asarray(m["scale"])
     if m["n_comp"]:
-        comps = np.asarray(m["components"]).reshape(m["n_comp"], -1)
-        z = z @ comps.T
+        z = z @ np.asarray(m["components"]).reshape(m["n_comp"], -1).T
+    return z
+
+
+def _features(x: np.ndarray, m: dict) -> np.ndarray:
+    z = projected(x, m)
     if m["kernel"] == "rbf":
         return _rff(z, int(m["rff_seed"]), float(m["gamma"]), int(m["n_rff"]))
     return z
 
 
 def decision(x: np.ndarray, m: dict) -> np.ndarray:
-    return _features(x, m) @ np.asarray(m["coef"]) + float(m["intercept"])
+    coef = np.asarray(m["coef"])
+    if m["solver"] == "dual":
+        if not len(coef):
+            return np.full(len(x), float(m["intercept"]))
+        support = np.asarray(m["support"]).reshape(len(coef), -1)
+        kernel = svm.Kernel(support, m["kernel"], float(m["gamma"]))
+        return kernel.between(projected(x, m)) @ coef + float(m["intercept"])
+    return _features(x, m) @ coef + float(m["intercept"])
 
 
 def member_proba(x: np.ndarray, m: dict) -> np.ndarray:
@@ -94,9 +114,8 @@ def _platt(f: np.ndarray, y: np.ndarray, iters: int = 50) -> tuple[float, float]
     return float(a), float(b)
 
 
-def fit_member(x: np.ndarray, y: np.ndarray, kernel: str = "rbf", svc_c: float = 1.0,
-               pca=None, n_rff: int = 256, seed: int = 0) -> dict:
-    """Closed-form member fit; returns the coefficient row (X3 inside)."""
+def prepared(x: np.ndarray, pca, kernel: str, seed: int, n_rff: int) -> tuple[dict, np.ndarray]:
+    """Standardisation, rotation and kernel width of a member, and its rows."""
     n, d = x.shape
     mean = x.mean(axis=0)
     scale = x.std(axis=0)
@@ -109,26 +128,63 @@ def fit_member(x: np.ndarray, y: np.ndarray, kernel: str = "rbf", svc_c: float =
         comps = vt[:k]
         z = z @ comps.T
     gamma = 1.0 / (z.shape[1] * z.var()) if z.var() > 0 else 1.0
-    m = {"kernel": kernel, "mean": mean, "scale": scale, "components": comps.ravel(),
-         "n_comp": int(k), "rff_seed": int(seed), "gamma": float(gamma), "n_rff": int(n_rff)}
-    phi = _rff(z, seed, gamma, n_rff) if kernel == "rbf" else z
-    n_pos = max(int(y.sum()), 1)
-    n_neg = max(int((~y).sum()), 1)
-    cw = np.where(y, n / (2.0 * n_pos), n / (2.0 * n_neg))          # class_weight="balanced" (A16)
-    t = np.where(y, 1.0, -1.0)
-    aug = np.hstack([phi, np.ones((n, 1))])
-    reg = np.eye(aug.shape[1]) / float(svc_c)
-    reg[-1, -1] = 1e-8                                                 # intercept is not penalised
-    lhs = aug.T @ (cw[:, None] * aug) + reg
-    sol = np.linalg.solve(lhs, aug.T @ (cw * t))
-    coef, intercept = sol[:-1], float(sol[-1])
-    f = aug @ sol
-    pa, pb = _platt(f, y)
-    m.update({"coef": coef, "intercept": intercept, "platt_a": pa, "platt_b": pb,
-              "n_rows": int(n), "n_inside": int(y.sum())})
+    return {"kernel": kernel, "mean": mean, "scale": scale, "components": comps.ravel(), "n_comp": int(k),
+            "rff_seed": int(seed), "gamma": float(gamma), "n_rff": int(n_rff)}, z
+
+
+def class_weights(y: np.ndarray) -> tuple[float, float]:
+    """``class_weight="balanced"`` (A16) inside and outside."""
+    n_pos, n_neg = max(int(y.sum()), 1), max(int((~y).sum()), 1)
+    return len(y) / (2.0 * n_pos), len(y) / (2.0 * n_neg)
+
+
+def ridge(gram: np.ndarray, moment: np.ndarray, svc_c: float) -> np.ndarray:
+    """Least-squares machine from ``Σ w z zᵀ`` and ``Σ w z t``; the last entry, the
+    intercept, is not penalised."""
+    reg = np.eye(len(gram)) / float(svc_c)
+    reg[-1, -1] = 1e-8
+    return np.linalg.solve(gram + reg, moment)
+
+
+def with_ones(phi: np.ndarray) -> np.ndarray:
+    return np.hstack([phi, np.ones((len(phi), 1))])
+
+
+def fit_member(x: np.ndarray, y: np.ndarray, kernel: str = "rbf", svc_c: float = 1.0,
+               pca=None, n_rff: int = 256, seed: int = 0, solver: str = "fourier") -> dict:
+    """One member's coefficient row: closed form over Fourier features (X3), or
+    the exact dual."""
+    if solver not in SOLVERS:
+        raise ValueError(f"unknown solver {solver!r}")
+    m, z = prepared(x, pca, kernel, seed, n_rff)
+    m |= {"n_rows": len(x), "n_inside": int(y.sum()), "solver": solver, "support": np.zeros(0), "gap": 0.0}
+    if solver == "dual":
+        found = svm.solve(svm.Kernel(z, kernel, m["gamma"]), y, svm.bounds(y, svc_c))
+        held = found.alpha > 0
+        m |= {"coef": (found.alpha * np.where(y, 1.0, -1.0))[held], "support": z[held].ravel(),
+              "intercept": found.intercept, "gap": found.gap}
+        f = svm.held_out_values(z, y, kernel, m["gamma"], svc_c)
+    else:
+        aug = with_ones(_rff(z, seed, m["gamma"], n_rff) if kernel == "rbf" else z)
+        w_in, w_out = class_weights(y)
+        cw, t = np.where(y, w_in, w_out), np.where(y, 1.0, -1.0)
+        sol = ridge(aug.T @ (cw[:, None] * aug), aug.T @ (cw * t), svc_c)
+        m |= {"coef": sol[:-1], "intercept": float(sol[-1])}
+        f = aug @ sol
+    m["platt_a"], m["platt_b"] = _platt(f, y)
     return m
 
 
+def _rff_seed(seed: int, category: str, param_id: int, fold: int, model_ix: int) -> int:
+    import hashlib
+    key = f"{seed}|{category}|{param_id}|{fold}|{model_ix}|rff"
+    return int(hashlib.md5(key.encode()).hexdigest()[:8], 16)
+
+
+def _row(keys: dict, m: dict) -> dict:
+    return keys | m | {k: np.asarray(m[k], dtype="float64").tolist() for k in ARRAYS}
+
+
 def _fit_groups_fn(params: dict[int, dict], seed: int):
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
         first = pdf.iloc[0]
@@ -136,15 +192,11 @@ def _fit_groups_fn(params: dict[int, dict], seed: int):
         p = {**DEFAULT_PARAMS, **params.get(pid, {})}
         x = np.vstack(pdf["vec"].to_numpy())
         y = pdf["inside"].to_numpy().astype(bool)
-        import hashlib
-        key = f"{seed}|{first['category']}|{pid}|{int(first['fold'])}|{int(first['model_ix'])}|rff"
-        rff_seed = int(hashlib.md5(key.encode()).hexdigest()[:8], 16)
-        m = fit_member(x, y, p["kernel"], float(p["svc_c"]), p["pca"], int(p["n_rff"]), rff_seed)
-        row = {"category": first["category"], "param_id": pid, "fold": int(first["fold"]),
-               "model_ix": int(first["model_ix"]), **m}
-        for k in ("mean", "scale", "components", "coef"):
-            row[k] = [np.asarray(row[k], dtype="float64").tolist()]
-        return pd.DataFrame({k: (v if isinstance(v, list) else [v]) for k, v in row.items()})
+        keys = {"category": first["category"], "param_id": pid, "fold": int(first["fold"]),
+                "model_ix": int(first["model_ix"])}
+        m = fit_member(x, y, p["kernel"], float(p["svc_c"]), p["pca"], int(p["n_rff"]),
+                       _rff_seed(seed, *keys.values()), p["solver"])
+        return pd.DataFrame([_row(keys, m)])
     return fn
 
 
@@ -163,6 +215,86 @@ def fit_ensemble(member_rows: DataFrame, params: dict[int, dict] | None = None,
         _fit_groups_fn(params or {0: {}}, seed), schema=MODEL_SCHEMA)
 
 
+def _fold_models_fn(params: dict[int, dict], seed: int, default_models: int):
+    """Machines of every parameter set and fold of one member from sums by fold."""
+    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["fold", "inside", "kind", "sample_id"])  # any order of arrival gives the same sums
+        category, ix = pdf["category"].iloc[0], int(pdf["model_ix"].iloc[0])
+        x, y = np.vstack(pdf["vec"].to_numpy()), pdf["inside"].to_numpy().astype(bool)
+        fold = pdf["fold"].to_numpy()
+        shapes: dict[tuple, list[tuple[int, dict]]] = {}
+        for pid, given in params.items():
+            p = {**DEFAULT_PARAMS, **given}
+            if ix < int(p.get("n_models", default_models)):
+                shapes.setdefault((p["kernel"], p["pca"], int(p["n_rff"]), p["solver"]), []).append((int(pid), p))
+        out = []
+        for k, ((kernel, pca, n_rff, solver), sets) in enumerate(sorted(shapes.items(), key=lambda s: s[1][0][0])):
+            m, z = prepared(x, pca, kernel, _rff_seed(seed, category, sets[0][0], -1, ix), n_rff)
+            for f, pid, fitted, values in (_by_sums if solver == "fourier" else _by_dual)(m, z, y, fold, sets):
+                rest = fold != f
+                a, b = _platt(values, y[rest])
+                out.append(_row({"category": category, "param_id": pid, "fold": int(f), "model_ix": ix},
+                                m | fitted | {"platt_a": a, "platt_b": b, "n_rows": int(rest.sum()),
+                                              "n_inside": int(y[rest].sum()), "solver": solver}))
+        return pd.DataFrame(out, columns=[c.split()[0] for c in MODEL_SCHEMA.split(", ")])
+    return fn
+
+
+def _by_sums(m: dict, z: np.ndarray, y: np.ndarray, fold: np.ndarray, sets):
+    """``Σ z zᵀ`` and ``Σ z`` are added up once for each fold and class.  The training
+    sums of a fold are the totals less its own, weighted by class, whatever
+    ``svc_c``.  Features are made a block of rows at a time."""
+    def blocks():
+        for k in range(0, len(z), FEATURE_ROWS):
+            here = slice(k, k + FEATURE_ROWS)
+            yield here, with_ones(_rff(z[here], m["rff_seed"], m["gamma"], m["n_rff"]) if m["kernel"] == "rbf" else z[here])
+
+    keys = [(f, c) for f in np.unique(fold) for c in (True, False)]
+    gram, moment = dict.fromkeys(keys, 0.0), dict.fromkeys(keys, 0.0)
+    for here, aug in blocks():
+        for f, c in keys:
+            part = aug[(fold[here] == f) & (y[here] == c)]
+            gram[f, c] = gram[f, c] + part.T @ part
+            moment[f, c] = moment[f, c] + part.sum(axis=0)
+    found = []
+    for f in np.unique(fold):
+        g = r = 0.0
+        for c, weight in zip((True, False), class_weights(y[fold != f])):
+            g = g + weight * (sum(gram[k] for k in keys if k[1] == c) - gram[f, c])
+            r = r + (weight if c else -weight) * (sum(moment[k] for k in keys if k[1] == c) - moment[f, c])
+        found += [(f, pid, ridge(g, r, float(p["svc_c"]))) for pid, p in sets]
+    every = np.stack([sol for *_, sol in found], axis=1)
+    values = np.concatenate([aug @ every for _, aug in blocks()])
+    for k, (f, pid, sol) in enumerate(found):
+        yield f, pid, {"coef": sol[:-1], "intercept": float(sol[-1]), "support": np.zeros(0), "gap": 0.0}, \
+            values[fold != f, k]
+
+
+def _by_dual(m: dict, z: np.ndarray, y: np.ndarray, fold: np.ndarray, sets):
+    """The exact machine has no sums to share: each fold and set is solved."""
+    for f in np.unique(fold):
+        rest = fold != f
+        for pid, p in sets:
+            c = float(p["svc_c"])
+            found = svm.solve(svm.Kernel(z[rest], m["kernel"], m["gamma"]), y[rest], svm.bounds(y[rest], c))
+            held = found.alpha > 0
+            yield f, pid, {"coef": (found.alpha * np.where(y[rest], 1.0, -1.0))[held], "support": z[rest][held].ravel(),
+                           "intercept": found.intercept, "gap": found.gap}, \
+                svm.held_out_values(z[rest], y[rest], m["kernel"], m["gamma"], c)
+
+
+def fit_folds(fold_rows: DataFrame, params: dict[int, dict], seed: int = 0, n_models: int = 10) -> DataFrame:
+    """Members for every parameter set and held-out fold from one read of a
+    member's rows (M11, M12): ``fold_rows`` has ``category, model_ix, fold, inside,
+    kind, sample_id, vec``, each augmented row once, in the fold whose rows it
+    combines.  A machine of fold f is fitted on the rows of all other folds.
+    Standardisation, rotation and kernel width come from the member's rows of
+    all folds (they hold no labels), so sums over features can be shared."""
+    rows = fold_rows.select("category", F.col("model_ix").cast("int"), F.col("fold").cast("int"), "inside", "kind",
+                            "sample_id", "vec")
+    return rows.groupBy("category", "model_ix").applyInPandas(_fold_models_fn(params, seed, n_models), schema=MODEL_SCHEMA)
+
+
 def _member_scores(x: np.ndarray, m: dict, run_fast: bool) -> np.ndarray:
     return (decision(x, m) > 0).astype("float64") if run_fast else member_proba(x, m)   # hard vote (M13)
 
@@ -194,7 +326,7 @@ def model_blocks(models: DataFrame, max_bytes: int = BLOCK_BYTES):
     block, held = [], 0
     for r in models.orderBy("category", "param_id", "fold", "model_ix").toLocalIterator():
         m = r.asDict()
-        size = 8 * sum(len(m[k]) for k in ("mean", "scale", "components", "coef"))
+        size = 8 * sum(len(m[k]) for k in ARRAYS)
         if block and held + size > max_bytes:
             yield block
             block, held = [], 0
