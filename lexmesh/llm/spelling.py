@@ -8,8 +8,9 @@ positional grams of a chunk's length.  An edit touches one half only, so the
 other half is a gram of the longer word at the same place or one further.
 Grams that no chunk could meet there are left out, which keeps very long words
 linear: a word has two chunks and at most six grams, each as one 64-bit key.
-Whoever shares a key is verified by edit distance inside the join, which Spark
-may split where a key is hot; only near pairs leave it.
+Whoever shares a key is verified by edit distance inside the join; only near
+pairs leave it.  Where chunks times grams of a key are many (short words), its
+chunks are dealt to several salts and its grams go to each of them.
 
 A word's form is its near word of largest count, if that is ``ratio`` times its
 own at least.  Counts grow along forms, so they are trees; roots are found by
@@ -42,6 +43,8 @@ HELD = 400_000
 #: Characters of text whose runs are held at once.
 PIECE = 1 << 20
 LETTERS = "a-zÀ-ÿ"
+#: Comparisons of one key that a task makes; the chunks of a key with more are dealt out.
+COMPARED = 1 << 20
 
 
 def runs(text: str, min_chars: int) -> Iterator[list[str]]:
@@ -99,7 +102,7 @@ def _key(length: str, half: int, shift: int = 0) -> str:
     return f"xxhash64({length}, {half}, substr(word, cast({at} + 1 as int), cast({size} as int)))"
 
 
-def near_pairs(words: DataFrame) -> DataFrame:
+def near_pairs(words: DataFrame, compared: int = COMPARED) -> DataFrame:
     """``(a, a_n, b, b_n)``: pairs of ``words(word, n)`` exactly one edit apart, each once."""
     sized = words.withColumn("len", F.length("word").cast("long"))
     chunks = sized.select(F.col("word").alias("a"), F.col("n").alias("a_n"),
@@ -108,8 +111,19 @@ def near_pairs(words: DataFrame) -> DataFrame:
     longer = [_key("(len - 1)", half, shift) for half in (0, 1) for shift in (0, 1)]
     grams = sized.select(F.col("word").alias("b"), F.col("n").alias("b_n"),
                          F.explode(F.array_distinct(F.array(*map(F.expr, same + longer)))).alias("key"))
+    met = chunks.groupBy("key").agg(F.count(F.lit(1)).cast("double").alias("c")) \
+        .join(grams.groupBy("key").agg(F.count(F.lit(1)).alias("g")), "key")
+    hot = met.select("key", F.least(F.ceil(F.col("c") * F.col("g") / compared), F.ceil("c")).alias("salts")).where("salts > 1")
+    hot = materialize(hot, "hot")
+    salts = F.coalesce("salts", F.lit(1).cast("long"))
+    chunks = chunks.join(hot, "key", "left").select("a", "a_n", "key", F.pmod(F.xxhash64("a"), salts).alias("salt"))
+    grams = grams.join(hot, "key", "left").select(
+        "b", "b_n", "key", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"))
+    # the work is in the comparisons, not in the bytes that partitions are merged by
+    n = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chunks, grams = (side.repartition(n, "key", "salt") for side in (chunks, grams))
     once = (F.length("a") < F.length("b")) | (F.length("a") == F.length("b")) & (F.col("a") < F.col("b"))
-    return chunks.join(grams, "key").where(once & (F.levenshtein("a", "b", 1) == 1)) \
+    return chunks.join(grams, ["key", "salt"]).where(once & (F.levenshtein("a", "b", 1) == 1)) \
         .select("a", "a_n", "b", "b_n").distinct()
 
 
