@@ -5,12 +5,20 @@ linkage agglomerative clustering of the top ``n_words`` vocabulary words,
 cut at cosine distance ``distance_threshold`` = connected components of the
 graph of word pairs with ``1 - cos <= threshold``.
 
-C1 is an exact, distributed similarity join: words are numbered and cut
-into blocks of ``block_size``; every word is replicated to the block pairs
-it belongs to (an equi-join key, never a cross join), and each block pair
-is one ``applyInPandas`` group that multiplies two bounded unit-vector
-blocks with numpy and emits only the pairs above the similarity cut.
-Group size is bounded by ``2 * block_size`` rows whatever the vocabulary.
+C1 is an exact, distributed similarity join.  Words are dealt to blocks by
+their nearest pivot (a bounded sample of the words) and the angle to it.  For
+each block the least and greatest angle to every pivot are known; by the
+triangle inequality on angles two blocks whose ranges lie further apart than
+the threshold's angle hold no pair, and are never compared.  A word is
+replicated to the block pairs that are left (an equi-join key, never a cross
+join), and each is one ``applyInPandas`` group that multiplies two bounded
+unit-vector blocks with numpy.
+
+C2 is the dendrogram of single linkage, which is a minimum spanning forest of
+the pairs.  A block pair gives the forest of its own pairs only (what a cycle
+within a block closes is in no forest of the whole), so no row count is
+quadratic; Boruvka rounds over those edges give the forest of all words, and
+any threshold up to the fitted one is a cut of it, without a refit.
 """
 
 from __future__ import annotations
@@ -39,53 +47,198 @@ def vocab_top_n_words(vocab: DataFrame, word_vectors: DataFrame, n_words: int =
     return global_row_number(top, [F.col(col)], name="idx")
 
 
+def _cosines(pdf: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, np.ndarray, bool]:
+    """The two blocks of a pair in order of their words, and their cosines."""
+    same = bool(pdf["bi"].iloc[0] == pdf["bj"].iloc[0])
+    left = pdf[pdf["role"] == "L"].sort_values("idx")
+    right = left if same else pdf[pdf["role"] == "R"].sort_values("idx")
+    if left.empty or right.empty:
+        return left, right, np.zeros((len(left), len(right))), same
+    return left, right, np.vstack(left["unit"].to_numpy()) @ np.vstack(right["unit"].to_numpy()).T, same
+
+
 def _block_pairs_fn(min_cos: float):
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        bi, bj = int(pdf["bi"].iloc[0]), int(pdf["bj"].iloc[0])
-        left = pdf[pdf["role"] == "L"].sort_values("idx")
-        right = left if bi == bj else pdf[pdf["role"] == "R"].sort_values("idx")
-        if left.empty or right.empty:
-            return pd.DataFrame({"word_a": [], "word_b": [], "cosine": []})
-        a = np.vstack(left["unit"].to_numpy())
-        b = np.vstack(right["unit"].to_numpy())
-        sims = a @ b.T
-        ia = left["idx"].to_numpy()[:, None]
-        ib = right["idx"].to_numpy()[None, :]
-        keep = (sims >= min_cos) & (ia < ib)
+        left, right, sims, same = _cosines(pdf)
+        keep = sims >= min_cos
+        if same:
+            keep &= np.tri(len(left), k=-1, dtype=bool).T
         r, c = np.nonzero(keep)
-        return pd.DataFrame({"word_a": left["word"].to_numpy()[r],
-                             "word_b": right["word"].to_numpy()[c],
-                             "cosine": sims[r, c].astype("float64")})
+        one = left[["idx", "word"]].to_numpy()[r]
+        two = right[["idx", "word"]].to_numpy()[c]
+        swap = one[:, 0] > two[:, 0]
+        return pd.DataFrame({"word_a": np.where(swap, two[:, 1], one[:, 1]),
+                             "word_b": np.where(swap, one[:, 1], two[:, 1]), "cosine": sims[r, c].astype("float64")})
+    return fn
+
+
+def nearest_tree(sims: np.ndarray, min_cos: float, same: bool) -> list[tuple[int, int, float]]:
+    """A maximum spanning forest of the pairs with a cosine of at least ``min_cos``:
+    between the rows and columns of ``sims``, or among the rows if both are the
+    ``same`` words.  Prim's method on the dense block; columns count on from the rows."""
+    n_rows, n_cols = sims.shape
+    n = n_rows if same else n_rows + n_cols
+    best, via = np.full(n, -np.inf), np.full(n, -1)
+    left = np.ones(n, bool)
+    out = []
+    for _ in range(n):
+        k = int(np.argmax(np.where(left, best, -np.inf)))
+        if not left[k] or best[k] < min_cos:
+            k = int(np.argmax(left))  # a tree of its own
+        else:
+            out.append((int(via[k]), k, float(best[k])))
+        left[k] = False
+        if same:
+            near, at = sims[k], slice(0, n)
+        elif k < n_rows:
+            near, at = sims[k], slice(n_rows, n)
+        else:
+            near, at = sims[:, k - n_rows], slice(0, n_rows)
+        closer = near > best[at]
+        best[at] = np.where(closer, near, best[at])
+        via[at] = np.where(closer, k, via[at])
+    return out
+
+
+def _block_forest_fn(min_cos: float):
+    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
+        left, right, sims, same = _cosines(pdf)
+        words = [*left["word"]] if same else [*left["word"], *right["word"]]
+        edges = nearest_tree(sims, min_cos, same)
+        return pd.DataFrame({"word_a": np.array([words[a] for a, _, _ in edges], object),
+                             "word_b": np.array([words[b] for _, b, _ in edges], object),
+                             "cosine": np.array([c for *_, c in edges], "float64")})
     return fn
 
 
+#: Digits by which cluster weights of a document are ranked.
+TIE_DIGITS = 9
+#: Pivots that blocks are told apart by, and the most blocks whose pairs are looked at.
+PIVOTS, MAX_BLOCKS = 64, 2048
+
+
+def live_pairs(low: np.ndarray, high: np.ndarray, angle: float) -> list[tuple[int, int]]:
+    """Pairs ``i <= j`` of blocks that may hold words within ``angle``, given each
+    block's least and greatest angle to every pivot.  Rounding is allowed for."""
+    out = []
+    for i in range(len(low)):
+        gap = np.maximum(low[i:] - high[i], low[i] - high[i:]).max(axis=1, initial=0.0)
+        out += [(i, i + int(j)) for j in np.flatnonzero(gap <= angle + 1e-6)]
+    return out
+
+
+def block_pairs(words: DataFrame, word_vectors: DataFrame, distance_threshold: float, block_size: int | None = None,
+                pivots: int = PIVOTS) -> DataFrame | None:
+    """``(bi, bj, role, word, idx, unit)``: the words of every pair of blocks that the
+    pivots can't rule out; None without words.  ``words`` has ``(word, idx)``."""
+    from lexmesh.functions.vectors import unit
+    wv = materialize(words.join(word_vectors, "word").select("word", "idx", unit("vec").alias("unit")), "units")
+    n = wv.count()
+    if not n:
+        return None
+    sample = wv.orderBy(F.xxhash64("word"), "word").limit(pivots).select("unit").collect()  # a bounded sample
+    at = np.vstack([r["unit"] for r in sample])
+
+    def angles(batches):
+        for pdf in batches:
+            found = np.arccos(np.clip(np.vstack(pdf["unit"].to_numpy()) @ at.T, -1.0, 1.0)) if len(pdf) else np.zeros((0, len(at)))
+            yield pdf.assign(angles=list(found), pivot=found.argmin(axis=1) if len(pdf) else [],
+                             nearest=found.min(axis=1) if len(pdf) else [])
+
+    told = wv.mapInPandas(angles, "word string, idx long, unit array<double>, angles array<double>, pivot int, nearest double")
+    ranked = global_row_number(told, [F.col("pivot"), F.col("nearest"), F.col("word")], "at")
+    size = block_size or min(1024, max(64, -(-n // 64)))
+    size = max(size, -(-n // MAX_BLOCKS))
+    blk = materialize(ranked.withColumn("block", F.floor(F.col("at") / size).cast("int")), "blocks")
+    ends = blk.groupBy("block").agg(*(f(F.col("angles")[k]).alias(f"{name}{k}") for name, f in (("l", F.min), ("h", F.max))
+                                      for k in range(len(at)))).orderBy("block").collect()  # MAX_BLOCKS rows at most
+    low, high = (np.array([[r[f"{name}{k}"] for k in range(len(at))] for r in ends]) for name in "lh")
+    # a word of norm 0 is at a right angle to all pivots and similar to nothing
+    partners = {}
+    for i, j in live_pairs(low, high, float(np.arccos(np.clip(1.0 - distance_threshold, -1.0, 1.0)))):
+        partners.setdefault(i, []).append((i, j, "L"))
+        if i != j:
+            partners.setdefault(j, []).append((i, j, "R"))
+    rows = [(b, i, j, role) for b, found in partners.items() for i, j, role in found]
+    pairs = words.sparkSession.createDataFrame(rows, "block int, bi int, bj int, role string")
+    return blk.select("word", "idx", "unit", "block").join(pairs, "block").drop("block")
+
+
 def similar_word_pairs(words: DataFrame, word_vectors: DataFrame,
                        distance_threshold: float = 0.5, block_size: int | None = None) -> DataFrame:
-    """Pairs ``(word_a < word_b)`` with cosine distance <= threshold.
+    """Pairs ``(word_a, word_b)``, in order of ``idx``, with cosine distance <= threshold.
 
-    ``words`` has ``(word, idx)`` (from :func:`vocab_top_n_words`).
-    ``block_size`` is an eighth of the words by default, 128 to 2,048, so
-    that small vocabularies are spread over tasks too."""
-    from lexmesh.functions.vectors import unit
-    wv = words.join(word_vectors, "word").select("word", "idx", unit("vec").alias("unit"))
-    n_blocks_row = words.agg(F.max("idx").alias("m")).first()
-    if n_blocks_row["m"] is None:
+    ``words`` has ``(word, idx)`` (from :func:`vocab_top_n_words`)."""
+    rep = block_pairs(words, word_vectors, distance_threshold, block_size)
+    if rep is None:
+        return words.sparkSession.createDataFrame([], PAIR_SCHEMA)
+    return rep.groupBy("bi", "bj").applyInPandas(_block_pairs_fn(1.0 - distance_threshold), schema=PAIR_SCHEMA)
+
+
+def similarity_forest(words: DataFrame, word_vectors: DataFrame, distance_threshold: float = 0.5,
+                      block_size: int | None = None) -> DataFrame:
+    """The dendrogram of single linkage up to ``distance_threshold`` (C2):
+    ``(word_a, word_b, cosine)``, fewer rows than words.  Merging them in order of
+    falling cosine is the clustering; :func:`cut_forest` stops at any threshold."""
+    rep = block_pairs(words, word_vectors, distance_threshold, block_size)
+    if rep is None:
         return words.sparkSession.createDataFrame([], PAIR_SCHEMA)
-    block_size = block_size or min(2048, max(128, -(-(int(n_blocks_row["m"]) + 1) // 8)))
-    n_blocks = int(n_blocks_row["m"]) // block_size + 1
-    blk = wv.withColumn("block", F.floor(F.col("idx") / block_size).cast("int"))
-    # role L: the word's block is the first of the pair (diagonal included)
-    left = blk.select("word", "idx", "unit", F.col("block").alias("bi"),
-                      F.explode(F.sequence(F.col("block"), F.lit(n_blocks - 1))).alias("bj"),
-                      F.lit("L").alias("role"))
-    # role R: the word's block is the second of an off-diagonal pair
-    right = blk.where(F.col("block") > 0).select(
-        "word", "idx", "unit",
-        F.explode(F.sequence(F.lit(0), F.col("block") - 1)).alias("bi"),
-        F.col("block").alias("bj"), F.lit("R").alias("role"))
-    rep = left.unionByName(right)
-    return rep.groupBy("bi", "bj").applyInPandas(_block_pairs_fn(1.0 - distance_threshold),
-                                                  schema=PAIR_SCHEMA)
+    edges = rep.groupBy("bi", "bj").applyInPandas(_block_forest_fn(1.0 - distance_threshold), schema=PAIR_SCHEMA)
+    return spanning_forest(words, edges)
+
+
+def spanning_forest(words: DataFrame, edges: DataFrame) -> DataFrame:
+    """A maximum spanning forest of ``edges(word_a, word_b, cosine)`` by Boruvka rounds.
+
+    In each round every tree takes its best edge to another tree (equal cosines
+    by the words, so all agree on one order and no cycle can close), the trees at
+    the two ends merge, and edges inside a tree go.  Trees at least halve, so the
+    rounds grow with the log of the words; every round is written."""
+    of = materialize(words.select("word", F.col("idx").alias("tree")), "trees")
+    a, b = F.least("word_a", "word_b").alias("a"), F.greatest("word_a", "word_b").alias("b")
+    left = materialize(edges.groupBy(a, b).agg(F.max("cosine").alias("cosine")).where("a <> b"), "edges")
+    found = None
+    while True:
+        ends = left.join(of.select(F.col("word").alias("a"), F.col("tree").alias("ta")), "a") \
+                   .join(of.select(F.col("word").alias("b"), F.col("tree").alias("tb")), "b").where("ta <> tb")
+        ends = materialize(ends.select("a", "b", "cosine", "ta", "tb"), "edges")
+        if ends.isEmpty():
+            break
+        order = F.struct((-F.col("cosine")).alias("d"), "a", "b")
+        both = ends.select(F.col("ta").alias("tree"), F.col("tb").alias("other"), order.alias("edge")).unionByName(
+            ends.select(F.col("tb").alias("tree"), F.col("ta").alias("other"), order.alias("edge")))
+        best = materialize(both.groupBy("tree").agg(F.min(F.struct("edge", "other")).alias("m"))
+                           .select("tree", "m.other", "m.edge"), "best")
+        taken = best.select(F.col("edge.a").alias("word_a"), F.col("edge.b").alias("word_b"),
+                            (-F.col("edge.d")).alias("cosine")).distinct()
+        found = materialize(taken if found is None else found.unionByName(taken), "forest")
+        of = materialize(_merged_trees(of, best), "trees")
+        left = ends.select("a", "b", "cosine")
+    return found if found is not None else words.sparkSession.createDataFrame([], PAIR_SCHEMA)
+
+
+def _merged_trees(of: DataFrame, best: DataFrame) -> DataFrame:
+    """``of(word, tree)`` after every tree has joined the one its best edge leads to.
+    Two trees may take the same edge; the smaller one is then the root.  The
+    others reach it by pointer jumping."""
+    back = best.select(F.col("tree").alias("other"), F.col("other").alias("theirs"))
+    to = best.join(back, "other", "left").select(
+        "tree", F.when((F.col("theirs") == F.col("tree")) & (F.col("tree") < F.col("other")), F.col("tree"))
+        .otherwise(F.col("other")).alias("root"))
+    to = materialize(to, "roots")
+    while True:
+        up = to.select(F.col("tree").alias("root"), F.col("root").alias("above"))
+        now = materialize(to.join(up, "root", "left").select("tree", F.coalesce("above", "root").alias("root"),
+                                                             (F.coalesce("above", "root") != F.col("root")).alias("moved")), "roots")
+        to = now.drop("moved")
+        if now.where("moved").isEmpty():
+            break
+    return of.join(to, "tree", "left").select("word", F.coalesce("root", "tree").alias("tree"))
+
+
+def cut_forest(words: DataFrame, forest: DataFrame, distance_threshold: float) -> DataFrame:
+    """``(word, cluster_id)`` at a threshold up to the one the forest was built with."""
+    return cluster_words(words, forest.where(F.col("cosine") >= 1.0 - distance_threshold))
 
 
 def cluster_words(words: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -127,7 +280,7 @@ def doc_clusters(tfidf: DataFrame, clusters: DataFrame, word_vectors: DataFrame,
                  id_col: str = "doc_id", col: str = "word") -> DataFrame:
     """Per document and cluster: weight = Σ tf-idf of the document's words
     in the cluster, vector = tf-idf-weighted mean of those words' vectors
-    (C3); top ``n_top_clusters`` by weight (N6, ties -> smaller cluster id);
+    (C3); top ``n_top_clusters`` by weight (N6; ties, to ``TIE_DIGITS``, -> smaller cluster id);
     optional share filter (C5); weights renormalised to sum 1.
 
     Ranking needs only the scalar weight sums, so clusters are ranked and
@@ -140,7 +293,8 @@ def doc_clusters(tfidf: DataFrame, clusters: DataFrame, word_vectors: DataFrame,
     rows = write_bucketed(by_key(tfidf.select(id_col, col, "weight").join(clusters.select(col, "cluster_id"), col),
                                  id_col), "cluster_rows", id_col)
     agg = rows.groupBy(id_col, "cluster_id").agg(F.sum("weight").alias("weight"))
-    w = Window.partitionBy(id_col).orderBy(F.desc("weight"), F.asc("cluster_id"))
+    # sums of the same numbers in another order differ in their last digits, which must not rank
+    w = Window.partitionBy(id_col).orderBy(F.desc(F.round("weight", TIE_DIGITS)), F.asc("cluster_id"))
     ranked = agg.withColumn("rank", F.row_number().over(w))
     if n_top_clusters is not None:
         ranked = ranked.where(F.col("rank") <= n_top_clusters)

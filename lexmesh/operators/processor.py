@@ -9,7 +9,7 @@ without a known word get a zero vector.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,7 +36,8 @@ class DocumentProcessor:
     dim: int
     settings: dict
     clusters: DataFrame | None = None
-    extras: dict = field(default_factory=dict)
+    words: DataFrame | None = None
+    forest: DataFrame | None = None
 
     def counts(self, docs: DataFrame) -> DataFrame:
         return _counts(docs, self.annotations, self.stopwords, self.settings["clean"])
@@ -50,6 +51,17 @@ class DocumentProcessor:
         weights = materialize(self.weights(docs), "weights")
         return C.doc_clusters(weights, self.clusters, self.word_vectors, s["n_top_clusters"], s["cluster_share"])
 
+    def recut(self, distance_threshold: float) -> "DocumentProcessor":
+        """The processor with other clusters, from the fitted dendrogram: any
+        threshold up to the fitted one."""
+        if self.forest is None:
+            raise ValueError("fitted without clusters")
+        if distance_threshold > self.settings["distance_threshold"]:
+            raise ValueError("the dendrogram ends at the fitted threshold")
+        clusters = C.cut_forest(self.words, self.forest, distance_threshold)
+        # the fitted threshold stays the dendrogram's end
+        return replace(self, clusters=clusters)
+
     def vectors(self, docs: DataFrame) -> DataFrame:
         """``(doc_id, vec)``, a row for each document."""
         if self.settings["method"] == "clusters":
@@ -70,7 +82,9 @@ class DocumentProcessor:
     def tables(self) -> dict[str, DataFrame]:
         out = {"vocab": self.tfidf.vocab, "pruned": self.tfidf.pruned, "word_vectors": self.word_vectors,
                "annotations": self.annotations, "stopwords": self.stopwords}
-        return out | ({"clusters": self.clusters} if self.clusters is not None else {})
+        if self.clusters is not None:
+            out |= {"clusters": self.clusters, "cluster_words": self.words, "forest": self.forest}
+        return out
 
     def params(self) -> dict:
         return {"settings": self.settings, "dim": self.dim, "n_docs": self.tfidf.n_docs}
@@ -99,16 +113,17 @@ def fit_processor(docs: DataFrame, word_vectors: DataFrame, annotations: DataFra
         keep = keep.union(keep_words.select("word")).distinct()
     vectors = materialize(word_vectors.select("word", "vec").join(keep, "word", "left_semi"), "vectors")
     dim = vectors.agg(F.max(F.size("vec"))).first()[0] or 0
-    clusters = None
+    clusters = words = forest = None
     if s["method"] == "clusters":
         words = materialize(C.vocab_top_n_words(model.vocab, vectors, s["n_words"]), "words")
-        pairs = materialize(C.similar_word_pairs(words, vectors, s["distance_threshold"]), "pairs")
-        clusters = C.cluster_words(words, pairs)
-    return DocumentProcessor(model, vectors, annotations, stopwords, dim, s, clusters)
+        forest = C.similarity_forest(words, vectors, s["distance_threshold"])
+        clusters = C.cut_forest(words, forest, s["distance_threshold"])
+    return DocumentProcessor(model, vectors, annotations, stopwords, dim, s, clusters, words, forest)
 
 
 def load_processor(spark: SparkSession, tables: dict[str, DataFrame], params: dict) -> DocumentProcessor:
     s = params["settings"]
     model = TfidfModel(tables["vocab"], params["n_docs"], s["min_df"], s["max_df"], tables["pruned"])
     return DocumentProcessor(model, tables["word_vectors"], tables["annotations"], tables["stopwords"],
-                             params["dim"], s, tables.get("clusters"))
+                             params["dim"], s, tables.get("clusters"), tables.get("cluster_words"),
+                             tables.get("forest"))

@@ -29,6 +29,8 @@ from lexmesh.session import materialize
 MAIN_LABELS = [0, 1]
 SUPPORT_LABELS = [2, 3]
 POLARITY_BY_LABEL = {0: 0.9, 1: 0.7, 2: -0.7, 3: -0.9}
+# Ranks that share a head's vector, and the share of the own one: first, and more for each.
+GROUP, GROUP_SHARE = 5, (0.3, 0.2)
 # ---------------------------------------------------------------------------
 
 
@@ -86,6 +88,22 @@ def word_vectors_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
                  lambda: word_vectors(spark, sf_dir, with_meta=True))
 
 
+def grouped_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word vectors with clusters, for the cluster queries: five neighbouring ranks
+    share the vector of the first of them, each plus its own vector in a share
+    that grows along the five, so that some are similar through others only.
+    Columns as :func:`word_vectors_meta`."""
+    def build():
+        wv = word_vectors_meta(spark, sf_dir)
+        nth = F.col("vec_id") % GROUP
+        heads = wv.where(nth == 0).select(F.col("vec_id").alias("head_id"), F.col("vec").alias("head"))
+        share = F.lit(GROUP_SHARE[0]) + F.lit(GROUP_SHARE[1]) * nth
+        rows = wv.withColumns({"head_id": F.col("vec_id") - nth, "share": share}).join(heads, "head_id")
+        mixed = F.transform(F.arrays_zip("head", "vec"), lambda p: p["head"] + F.col("share") * p["vec"])
+        return rows.select("word", mixed.alias("vec"), "label", "vec_id")
+    return _memo(spark, sf_dir, "grouped_vectors", build)
+
+
 def prepare_inputs(spark: SparkSession, sf_dir: str) -> None:
     """Derive the input tables for ``sf_dir`` up front (bench set-up)."""
     word_vectors_meta(spark, sf_dir)
@@ -256,15 +274,25 @@ SQL_FIXTURES = {
 }
 
 
-def with_fixtures(body: str, extra_ctes: str = "", recursive: bool = False):
+#: ``word_vectors`` as :func:`grouped_vectors` has them.
+SQL_GROUPED = {"word_vectors": (
+    "SELECT r.word, list_transform(list_zip(h.embedding, e.embedding), lambda p: CAST(p[1] AS DOUBLE) + "
+    f"CAST({GROUP_SHARE[0]} + {GROUP_SHARE[1]} * (r.vec_id % {GROUP}) AS DOUBLE) * CAST(p[2] AS DOUBLE)) AS vec, "
+    "e.label, r.vec_id FROM ranked r JOIN embeddings e ON e.vec_id = r.vec_id "
+    f"JOIN embeddings h ON h.vec_id = r.vec_id - r.vec_id % {GROUP} "
+    f"AND h.vec_id IN (SELECT vec_id FROM ranked)")}
+
+
+def with_fixtures(body: str, extra_ctes: str = "", recursive: bool = False, instead: dict | None = None):
     """A query prefixed with every fixture CTE (DuckDB ignores unused ones)
     and with ``extra_ctes`` (``name AS (...)`` items, comma separated).
+    ``instead`` replaces fixtures by name.
 
     Returns a function without arguments: the text is put together when
     ``oracle_sql()`` asks for it, so importing the query modules reads no
     file and builds no SQL."""
     def sql() -> str:
-        ctes = {**SQL_FIXTURES, **sql_analyzer_ctes()}
+        ctes = {**SQL_FIXTURES, **sql_analyzer_ctes(), **(instead or {})}
         parts = ",\n".join(f"{k} AS ({v})" for k, v in ctes.items())
         if extra_ctes.strip():
             parts += ",\n" + extra_ctes.strip().rstrip(",")

@@ -38,7 +38,7 @@ cvec AS (SELECT r.doc_id, r.cluster_id, e.i, sum(r.weight * e.x) / sum(r.weight)
          JOIN (SELECT word, unnest(vec) AS x, unnest(generate_series(0, len(vec) - 1)) AS i
                FROM word_vectors) e ON e.word = r.word GROUP BY r.doc_id, r.cluster_id, e.i),
 cranked AS (SELECT doc_id, cluster_id, weight, row_number() OVER (PARTITION BY doc_id
-            ORDER BY weight DESC, cluster_id) AS rnk FROM cagg),
+            ORDER BY round(weight, {C.TIE_DIGITS}) DESC, cluster_id) AS rnk FROM cagg),
 ctop AS (SELECT doc_id, cluster_id, rnk, weight / sum(weight) OVER (PARTITION BY doc_id) AS weight
          FROM cranked WHERE rnk <= {N_TOP}),
 cstats AS (SELECT doc_id, cluster_id, sum(value) AS vsum, sqrt(sum(value * value)) AS vnorm
@@ -55,14 +55,14 @@ cst AS (SELECT avg(s) AS m, stddev_pop(s) AS sd FROM craw)
 
 
 def _sql(body: str) -> str:
-    return with_fixtures(body, _CLUSTER_CTES, recursive=True)
+    return with_fixtures(body, _CLUSTER_CTES, recursive=True, instead=fx.SQL_GROUPED)
 
 
 class _Fitted:
     """The fitted processor shared by the cluster queries (R4: fit once)."""
 
     def __init__(self, spark, d):
-        self.wv = fx.word_vectors_meta(spark, d)
+        self.wv = fx.grouped_vectors(spark, d)
         self.model, toks = fitted_tfidf(spark, d)
         self.toks = toks
         self.words = materialize(C.vocab_top_n_words(self.model.vocab, self.wv, N_WORDS))
@@ -71,8 +71,11 @@ class _Fitted:
     def pairs(self):
         return materialize(C.similar_word_pairs(self.words, self.wvv, THRESHOLD))
 
+    def forest(self):
+        return C.similarity_forest(self.words, self.wvv, THRESHOLD)
+
     def clusters(self):
-        return C.cluster_words(self.words, self.pairs())
+        return C.cut_forest(self.words, self.forest(), THRESHOLD)
 
     def doc_clusters(self, share=None):
         tfidf = materialize(self.model.transform(self.toks))
@@ -95,6 +98,15 @@ def q_cluster_words(spark, d):
     return _Fitted(spark, d).clusters()
 
 
+@register("cluster_cut", sql=with_fixtures(
+    "SELECT word, cluster_id FROM clusters", _CLUSTER_CTES.replace(f"cosine >= {1.0 - THRESHOLD}", "cosine >= 0.7"),
+    recursive=True, instead=fx.SQL_GROUPED))
+def q_cluster_cut(spark, d):
+    """The dendrogram fitted for one threshold, cut at a closer one without a refit."""
+    fit = _Fitted(spark, d)
+    return C.cut_forest(fit.words, fit.forest(), 0.3)
+
+
 def _cluster_summary(dc):
     return dc.select("doc_id", "cluster_id", "rank", F.round("weight", 6).alias("weight"),
                      F.round(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x), 6).alias("vsum"),

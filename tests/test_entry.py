@@ -21,6 +21,14 @@ def test_entry_works_without_the_optional_operators(tmp_path):
     assert done.returncode == 0, done.stderr
 
 
+def test_entry_works_without_a_dependency_of_the_optional_operators(tmp_path):
+    for missing in ("zstandard", "xxhash", "regex"):
+        code = (f"import sys; sys.path.insert(0, {REPO!r}); sys.modules[{missing!r}] = None\n"
+                "import __spark_entry__ as e\nassert len(e.queries()) >= 100")
+        done = _python(code, tmp_path)
+        assert done.returncode == 0, done.stderr
+
+
 def test_worker_functions_are_pickled_by_value(tmp_path):
     from pyspark import cloudpickle
     from lexmesh.operators.ensemble import member_proba
