@@ -14,6 +14,7 @@ from lexmesh.plans.registry import register
 from lexmesh.session import scratch_path
 from lexmesh.sources import lexicon_io as IO
 from lexmesh.sources import store as ST
+from lexmesh.sources.binary_vectors import load_vectors, write_word2vec
 from lexmesh.streaming.batch import score_in_batches, score_stream
 
 _VEC_SQL = W("SELECT word, len(vec) AS dim, round(list_sum(vec), 6) AS vsum FROM word_vectors")
@@ -33,6 +34,14 @@ def q_vectors_from_text(spark, d):
     return _vec_summary(ST.vectors_from_text(spark, path))
 
 
+@register("vectors_from_binary", sql=_VEC_SQL)
+def q_vectors_from_binary(spark, d):
+    """Word vectors through binary word2vec files, read by byte ranges."""
+    path = scratch_path(spark, "vectors-binary")
+    write_word2vec(fx.word_vectors(spark, d), path)
+    return _vec_summary(load_vectors(spark, path, "word2vec"))
+
+
 @register("save_vectors", sql=_VEC_SQL)
 def q_save_vectors(spark, d):
     path = scratch_path(spark, "vectors")
