@@ -47,11 +47,18 @@ def dedupe_last_weight(polarity: DataFrame) -> DataFrame:
                     .where(F.col("_rn") == 1).drop("_rn"))
 
 
-def polarity_weight(polarity: DataFrame, words: DataFrame, col: str = "word") -> DataFrame:
-    """Weight per requested word (P5); unknown words get null (the
-    reference raises; callers can assert on nulls)."""
+def polarity_weight(polarity: DataFrame, words: DataFrame, col: str = "word",
+                    missing: str = "null") -> DataFrame:
+    """Weight per requested word (P5).  A word without one gets null, or with
+    ``missing="error"`` ends the job that reads the result with its name."""
+    if missing not in ("null", "error"):
+        raise ValueError(f"unknown choice {missing!r} for missing words")
     w = dedupe_last_weight(polarity).select(F.col("term").alias(col), "weight")
-    return words.join(w, col, "left")
+    out = words.join(w, col, "left")
+    if missing == "error":
+        said = F.raise_error(F.concat(F.lit("no weight for the word "), F.coalesce(F.col(col), F.lit("null"))))
+        out = out.withColumn("weight", F.coalesce("weight", said.cast("double")))
+    return out
 
 
 def select_keys(lexicon: DataFrame, support_lexicon: DataFrame | None = None,

@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from lexmesh.functions.vectors import norm
 from lexmesh.operators import clusters as C
 from lexmesh.operators import docvec as D
-from lexmesh.operators.scaling import fit_polarity_axis, fit_scaler, scale_scores
+from lexmesh.operators.processor import fit_processor
+from lexmesh.operators.scaling import LatentSemanticScaling, fit_polarity_axis, fit_scaler, scale_scores
+from lexmesh.operators.tokens import stopword_list
 from lexmesh.operators.vectors import embed_lexicon
 from lexmesh.plans import fixtures as fx
 from lexmesh.plans.fixtures import with_fixtures
 from lexmesh.plans.q_tfidf import fitted_tfidf
-from lexmesh.plans.registry import register
+from lexmesh.plans.registry import oracle, register
 from lexmesh.session import materialize
 
 N_WORDS = 40000
@@ -191,22 +193,67 @@ def q_doc_polarity_tfidf(spark, d):
     return out.select("doc_id", F.round("polarity", 6).alias("polarity"))
 
 
+def _processor(spark, d, method):
+    """The fitted processor itself, with the lexicon's words kept beside the vocabulary."""
+    wv = fx.grouped_vectors(spark, d) if method == "clusters" else fx.word_vectors_meta(spark, d)
+    lex = fx.category_lexicon(spark, d, wv=wv).select(F.col("term").alias("word"))
+    return wv, fit_processor(fx.table(spark, d, "documents"), wv, fx.annotations(spark, d), stopword_list(spark),
+                             keep_words=lex, method=method, n_words=N_WORDS, distance_threshold=THRESHOLD,
+                             n_top_clusters=N_TOP, n_top_words=3)
+
+
 @register("fit_processor", sql=_sql(
-    "SELECT (SELECT count(*) FROM vocab) AS n_vocab, "
-    "(SELECT count(*) FROM word_vectors WHERE word IN (SELECT word FROM vocab UNION "
-    "SELECT term FROM category_lexicon)) AS n_vectors, "
-    "(SELECT count(DISTINCT cluster_id) FROM clusters) AS n_clusters"))
+    "SELECT coalesce(v.word, w.word) AS word, v.df, round(v.idf, 6) AS idf, c.cluster_id, "
+    "round(list_sum(w.vec), 6) AS vsum FROM vocab v FULL JOIN (SELECT word, vec FROM word_vectors "
+    "WHERE word IN (SELECT word FROM vocab UNION SELECT term FROM category_lexicon)) w ON w.word = v.word "
+    "LEFT JOIN clusters c ON c.word = v.word"))
 def q_fit_processor(spark, d):
-    """Fit the document processor (M15): tf-idf vocabulary, vectors kept
-    for vocabulary ∪ lexicon words (J2 over U2), word clusters."""
-    from lexmesh.operators.tfidf import keep_vocabulary
-    from lexmesh.operators.vectors import filter_vectors
-    fit = _Fitted(spark, d)
-    keep = keep_vocabulary(fx.category_lexicon(spark, d, wv=fit.wv), fit.model.vocab)
-    kept = filter_vectors(fit.wvv, keep)
-    n_vocab = fit.model.vocab.agg(F.count(F.lit(1)).alias("n_vocab"))
-    n_vec = kept.agg(F.count(F.lit(1)).alias("n_vectors"))
-    n_cl = fit.clusters().agg(F.countDistinct("cluster_id").alias("n_clusters"))
-    # three one-row aggregates side by side (each has exactly one row)
-    return (n_vocab.withColumn("_k", F.lit(1)).join(n_vec.withColumn("_k", F.lit(1)), "_k")
-                   .join(n_cl.withColumn("_k", F.lit(1)), "_k").drop("_k"))
+    """The fitted document processor's state (M15): vocabulary, the vectors kept
+    for vocabulary and lexicon (J2 over U2), and word clusters."""
+    _, p = _processor(spark, d, "clusters")
+    vsum = F.round(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x), 6).alias("vsum")
+    kept = p.word_vectors.select("word", vsum)
+    return p.tfidf.vocab.select("word", "df", F.round("idf", 6).alias("idf")).join(kept, "word", "full") \
+        .join(p.clusters, "word", "left").select("word", "df", "idf", "cluster_id", "vsum")
+
+
+def _scaled_docs(spark, d, method):
+    wv, p = _processor(spark, d, method)
+    est = LatentSemanticScaling(wv.select("word", "vec"), processor=p)
+    docs = fx.table(spark, d, "documents").select("doc_id", "text")
+    model = est.fit(fx.polarity_lexicon(spark, d, wv), docs)
+    return model.predict_docs(docs).select("doc_id", F.round("polarity", 6).alias("polarity"))
+
+
+@register("scaling_docs_tfidf", sql=oracle("doc_polarity_tfidf"))
+def q_scaling_docs_tfidf(spark, d):
+    """Scaling by top tf-idf words through the estimator (M14 with M15): fitted, then asked for the documents."""
+    return _scaled_docs(spark, d, "tfidf")
+
+
+@register("scaling_docs_clusters", sql=oracle("doc_polarity_clusters"))
+def q_scaling_docs_clusters(spark, d):
+    """Scaling by word clusters through the estimator (M14 with M15)."""
+    return _scaled_docs(spark, d, "clusters")
+
+
+def _classified_docs(spark, d, method):
+    from lexmesh.operators.classifier import LexiconClassifier
+    wv, p = _processor(spark, d, method)
+    est = LexiconClassifier(wv, processor=p, n_models=2, multiplier=2, multiplier_outside=2)
+    model = est.fit(fx.main_lexicon(spark, d, wv), fx.support_lexicon(spark, d, wv), ["c0", "c1"], ["c2", "c3"])
+    return model, fx.table(spark, d, "documents").select("doc_id", "text")
+
+
+@register("predict_docs_proba")
+def q_predict_docs_proba(spark, d):
+    """Probability of each main category for every document through the estimator (M9)."""
+    model, docs = _classified_docs(spark, d, "tfidf")
+    return model.predict_docs_proba(docs)
+
+
+@register("predict_docs_clusters")
+def q_predict_docs_clusters(spark, d):
+    """Flags of every document by its top word clusters through the estimator (M9, C4)."""
+    model, docs = _classified_docs(spark, d, "clusters")
+    return model.predict_docs(docs)

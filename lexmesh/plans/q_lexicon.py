@@ -258,10 +258,14 @@ def q_flatten_terms(spark, d):
     return V.flatten_terms(matrix, "terms")
 
 
-@register("to_text", sql="SELECT conv_id, turn, CAST(turn AS VARCHAR) AS turn_text FROM conversations")
+@register("to_text", sql=(
+    "SELECT conv_id, turn, CAST(turn AS VARCHAR) AS turn_text, CAST(text AS VARCHAR) AS text, "
+    "length(CAST(text AS VARCHAR)) AS n_chars FROM conversations"))
 def q_to_text(spark, d):
+    """Numbers and whole texts as strings (F3); null stays null, an empty text empty."""
     c = fx.table(spark, d, "conversations")
-    return c.select("conv_id", "turn", T.to_text("turn").alias("turn_text"))
+    return c.select("conv_id", "turn", T.to_text("turn").alias("turn_text"), T.to_text("text").alias("text"),
+                    F.length(T.to_text("text")).alias("n_chars"))
 
 
 # --- vector joins ----------------------------------------------------------------------

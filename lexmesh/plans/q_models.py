@@ -18,8 +18,7 @@ from lexmesh.session import materialize
 
 MAIN, SUPPORT = ["c0", "c1"], ["c2", "c3"]
 N_MODELS, MULT, MULT_OUT = 10, 5, 5
-# parameter grid of the reference's own classifier test
-TEST_GRID = [{"kernel": ["rbf"], "n_models": [2], "pca": [10, None], "svc_c": [0.1, 1.0, 10.0]}]
+GRID = [{"kernel": ["rbf", "linear"], "n_models": [2], "pca": [0.25, None], "svc_c": [0.25, 4.0]}]
 
 _TRAIN_CTES = f"""
 emb AS (SELECT l.category, l.pos, replace(l.term, '*', '') AS term, w.vec FROM category_lexicon l
@@ -148,30 +147,44 @@ def q_augment_sample(spark, d):
                     F.round(norm("vec"), 6).alias("vnorm"))
 
 
-@register("augment_class", sql=_sql(
-    f"SELECT category, model_ix, inside, kind, n FROM ("
-    f"SELECT category, -1 AS model_ix, true AS inside, 'sample' AS kind, count(*) * {MULT} AS n "
-    "FROM tin GROUP BY category UNION ALL "
-    "SELECT category, -1, true, 'original', count(*) FROM tin GROUP BY category UNION ALL "
-    f"SELECT t.category, m.model_ix, false, 'sample', count(*) * {MULT * MULT_OUT} FROM tin t, "
-    f"range({N_MODELS}) m(model_ix) GROUP BY t.category, m.model_ix UNION ALL "
-    f"SELECT t.category, m.model_ix, false, 'original', count(*) FROM tin t, range({N_MODELS}) "
-    "m(model_ix) GROUP BY t.category, m.model_ix)"))
+# rows and sums of all vector elements of a class-wise set, and of a member's whole set
+_CLASS_CTES = f"""
+class_rows AS (
+  SELECT category, -1 AS model_ix, true AS inside, 'sample' AS kind, sample_id, sum(value) AS vsum
+  FROM combo GROUP BY category, sample_id
+  UNION ALL SELECT category, -1, true, 'original', row_id, list_sum(vec) FROM tin
+  UNION ALL SELECT category, model_ix, false, 'sample', sample_id, sum(value)
+  FROM ocombo GROUP BY category, model_ix, sample_id
+  UNION ALL SELECT o.category, o.model_ix, false, 'original', o.sample_id, list_sum(p.vec) FROM oorig o
+  JOIN tout_all p ON p.category = o.category AND p.pool_pos = {sql_hash_u("'0'", "o.k")} % o.n_out)
+"""
+
+
+def _class_ctes():
+    return _OUT_CTES + "," + _ORIG_CTES + "," + _CLASS_CTES
+
+
+def _vector_sum():
+    return F.round(F.sum(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x)), 4).alias("vsum")
+
+
+@register("augment_class", sql=lambda: _sql(
+    "SELECT category, CAST(model_ix AS INTEGER) AS model_ix, inside, kind, count(*) AS n, "
+    "round(sum(vsum), 4) AS vsum FROM class_rows GROUP BY category, model_ix, inside, kind", _class_ctes())())
 def q_augment_class(spark, d):
-    """Row counts of the class-wise augmented sets per member (M2)."""
+    """The class-wise augmented sets (M2): rows and their vectors' sum for each kind and member."""
     s = ensemble_set(spark, d)
-    return s.groupBy("category", "model_ix", "inside", "kind").agg(F.count(F.lit(1)).alias("n"))
+    return s.groupBy("category", "model_ix", "inside", "kind").agg(F.count(F.lit(1)).alias("n"), _vector_sum())
 
 
-@register("ensemble_training_set", sql=_sql(
-    f"SELECT category, model_ix, inside, count(*) AS n FROM (SELECT t.category, m.model_ix, "
-    f"unnest([true, false]) AS inside, unnest([{MULT} + 1, {MULT * MULT_OUT} + 1]) AS k "
-    f"FROM tin t, range({N_MODELS}) m(model_ix)), range(1000) r(r) WHERE r.r < k "
-    "GROUP BY category, model_ix, inside"))
+@register("ensemble_training_set", sql=lambda: _sql(
+    "SELECT category, CAST(m.model_ix AS INTEGER) AS model_ix, inside, count(*) AS n, round(sum(vsum), 4) AS vsum "
+    f"FROM class_rows r JOIN range({N_MODELS}) m(model_ix) ON r.model_ix IN (-1, m.model_ix) "
+    "GROUP BY category, m.model_ix, inside", _class_ctes())())
 def q_ensemble_training_set(spark, d):
-    """Rows per member after sharing the inside rows."""
+    """Each member's rows after sharing the inside ones (M3, U3), and their vectors' sum."""
     rows = AU.member_rows(ensemble_set(spark, d), N_MODELS)
-    return rows.groupBy("category", "model_ix", "inside").agg(F.count(F.lit(1)).alias("n"))
+    return rows.groupBy("category", "model_ix", "inside").agg(F.count(F.lit(1)).alias("n"), _vector_sum())
 
 
 @register("augment_outside", sql=_sql(
@@ -323,7 +336,7 @@ def q_predict_docs(spark, d):
 
 @register("tune_params")
 def q_tune_params(spark, d):
-    _, ranked, best, _ = TU.tune_params(training_table(spark, d), TEST_GRID, n_iter=150, cv=5,
+    _, ranked, best, _ = TU.tune_params(training_table(spark, d), GRID, n_iter=150, cv=5,
                                         n_best=1, n_models=2, seed=0)
     return best.select("category", "param_id", "rank", F.round("mean_score", 6).alias("mean_score"))
 

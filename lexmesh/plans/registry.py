@@ -24,3 +24,11 @@ def register(name: str, sql: str | Callable[[], str] | None = None):
 def oracle_texts() -> dict[str, str]:
     """The oracle SQL of every query that has one, built on request."""
     return {k: v() if callable(v) else v for k, v in ORACLE.items()}
+
+
+def oracle(name: str) -> Callable[[], str]:
+    """The oracle SQL of another query, for one with the same result by another way."""
+    def text() -> str:
+        sql = ORACLE[name]
+        return sql() if callable(sql) else sql
+    return text

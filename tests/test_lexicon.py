@@ -70,3 +70,17 @@ def test_load_lexicon_wrong_kind(spark, tmp_path):
     IO.save_lexicon(lex, str(tmp_path / "l"), kind="category")
     with pytest.raises(ValueError):
         IO.load_lexicon(spark, str(tmp_path / "l"), kind="polarity")
+
+
+def test_missing_weights_are_null_or_end_the_job(spark):
+    import pytest
+    from lexmesh.operators import lexicon as L
+    polarity = spark.createDataFrame([(0, "hell", .8), (1, "kalt", -.6), (2, "hell", .9)], "pos int, term string, weight double")
+    words = spark.createDataFrame([("hell",), ("nie",)], "word string")
+    assert {r.word: r.weight for r in L.polarity_weight(polarity, words).collect()} == {"hell": .9, "nie": None}
+    known = words.where("word = 'hell'")
+    assert L.polarity_weight(polarity, known, missing="error").first().weight == .9
+    with pytest.raises(Exception, match="no weight for the word nie"):
+        L.polarity_weight(polarity, words, missing="error").collect()
+    with pytest.raises(ValueError):
+        L.polarity_weight(polarity, words, missing="zero")
