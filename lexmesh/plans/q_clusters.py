@@ -257,3 +257,23 @@ def q_predict_docs_clusters(spark, d):
     """Flags of every document by its top word clusters through the estimator (M9, C4)."""
     model, docs = _classified_docs(spark, d, "clusters")
     return model.predict_docs(docs)
+
+
+@register("saved_pipeline", sql=oracle("doc_polarity_tfidf"))
+def q_saved_pipeline(spark, d):
+    """A Spark ML pipeline of document vectors and seed polarity: fitted, saved, loaded
+    again and asked for the documents (P11, M14, M15, S13)."""
+    from pyspark.ml import Pipeline, PipelineModel
+    from lexmesh.operators import ml
+    from lexmesh.session import scratch_path
+    base, wv = scratch_path(spark, "pipeline"), fx.word_vectors_meta(spark, d)
+    given = {"vectors": wv.select("word", "vec"), "annotations": fx.annotations(spark, d),
+             "seeds": fx.polarity_lexicon(spark, d, wv)}
+    for name, df in given.items():
+        df.write.parquet(f"{base}/{name}")
+    docs = fx.table(spark, d, "documents").select("doc_id", "text")
+    stages = [ml.DocumentVectorizer(wordVectors=f"{base}/vectors", annotations=f"{base}/annotations"),
+              ml.SeedPolarity(wordVectors=f"{base}/vectors", seeds=f"{base}/seeds")]
+    Pipeline(stages=stages).fit(docs).write().save(f"{base}/model")
+    out = PipelineModel.load(f"{base}/model").transform(docs)
+    return out.select("doc_id", F.round("polarity", 6).alias("polarity"))
