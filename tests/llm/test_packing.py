@@ -26,6 +26,33 @@ def test_ids_equal_the_tokenizer():
         assert got == want
 
 
+def test_ids_equal_the_tokenizer_on_any_text():
+    path = op.tokenizer_path()
+    t, e, rng = Tokenizer.from_file(path), op.Encoder(path), random.Random(31)
+    assert e.merges is not None
+    common = [chr(c) for c in [9, 10, 13, *range(32, 127), *range(0xA1, 0x250), *range(0x2010, 0x2028), *range(0x20A0, 0x20C0),
+                               0x1F600, 0x1F64F]]
+    assert not op.RARE.search("".join(common))
+    plain = ["".join(rng.choices(common, k=rng.choice([1, 3, 30]))) for _ in range(20_000)]
+    letters = "etaoinshrdlucmfwypvbgkqjxzéüß'  .,\n"
+    plain += ["".join(rng.choices(letters, k=rng.choice([2, 12, 200]))) for _ in range(20_000)]
+    plain += ["".join(rng.choices(letters[:8], k=9)) for _ in range(20_000)]
+    plain += [w for w in t.get_vocab() if not op.RARE.search(w)]  # vocabulary entries as texts
+    plain += ["a\u00a0b \u0085 \x1c\x0b x\u3000y हिन्दी 漢字 ١٢ \u200b", "\ud7ff", "<|endoftext|>", "a <|endoftext|>b"]
+    want = [x.ids for x in t.encode_batch_fast(plain, add_special_tokens=False)]
+    assert [list(struct.unpack(f"<{len(b) // 4}I", b)) for b in e.encode(plain)] == want
+
+
+def test_other_vocabularies_go_to_the_tokenizer(tmp_path):
+    import json
+    said = json.load(open(op.tokenizer_path()))
+    said["pre_tokenizer"]["add_prefix_space"] = True
+    (tmp_path / "t.json").write_text(json.dumps(said))
+    e = op.Encoder(str(tmp_path / "t.json"))
+    assert e.merges is None
+    assert list(struct.unpack("<1I", e.encode(["the"])[0])) == e.tokenizer.encode(" the", add_special_tokens=False).ids
+
+
 def test_pieces_and_places(spark):
     rows = [(i, t, 0, "x") for i, t in enumerate(texts())] + [(None, "one", 1, None), (5, "again", 1, ""), (5, "again", 1, "")]
     cut = op.pieces(spark.createDataFrame(rows, SCHEMA), with_ids=True)
