@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmesh.operators import svm
+from lexmesh.operators.covariance import Moments, principal
 
 MODEL_SCHEMA = (
     "category string, param_id int, fold int, model_ix int, kernel string, "
@@ -124,8 +125,7 @@ def prepared(x: np.ndarray, pca, kernel: str, seed: int, n_rff: int) -> tuple[di
     k = min(n_pca_components(pca, d, n), d)
     comps = np.zeros(0)
     if k:
-        _, _, vt = np.linalg.svd(z - z.mean(axis=0), full_matrices=False)
-        comps = vt[:k]
+        comps, _ = principal(Moments.of(z).covariance(), k)
         z = z @ comps.T
     gamma = 1.0 / (z.shape[1] * z.var()) if z.var() > 0 else 1.0
     return {"kernel": kernel, "mean": mean, "scale": scale, "components": comps.ravel(), "n_comp": int(k),

@@ -10,6 +10,7 @@ from lexmesh.functions.vectors import norm
 from lexmesh.operators import augment as AU
 from lexmesh.operators import ensemble as EN
 from lexmesh.operators import tuning as TU
+from lexmesh.operators.covariance import covariances
 from lexmesh.operators.lexicon import threshold_predictions, wide_predictions
 from lexmesh.plans import fixtures as fx
 from lexmesh.plans.fixtures import with_fixtures
@@ -258,6 +259,14 @@ def q_pca_components(spark, d):
     return m.select("category", "model_ix", "n_comp", F.size("components").alias("n_values"))
 
 
+@register("training_covariance", sql=_sql(
+    "SELECT category, CAST(i - 1 AS INTEGER) AS i, CAST(j - 1 AS INTEGER) AS j, round(covar_pop(vec[i], vec[j]), 9) AS covariance "
+    f"FROM training, range(1, {_DIM} + 1) a(i), range(1, {_DIM} + 1) b(j) WHERE i <= j GROUP BY category, i, j"))
+def q_training_covariance(spark, d):
+    """Covariances of a category's training vectors by merged partial sums (M5)."""
+    return covariances(training_table(spark, d), ["category"]).withColumn("covariance", F.round("covariance", 9))
+
+
 @register("random_fourier_features", sql=_sql(
     f"SELECT category, model_ix, 'rbf' AS kernel, 256 AS n_rff, round(1.0 / {_DIM}, 6) AS gamma "
     f"FROM {_NIN} c, range(2) m(model_ix)"))
