@@ -14,6 +14,7 @@ from lexmesh.operators.covariance import covariances
 from lexmesh.operators.lexicon import threshold_predictions, wide_predictions
 from lexmesh.plans import fixtures as fx
 from lexmesh.plans.fixtures import with_fixtures
+from lexmesh.plans.q_lexicon import SQL_BENCH_WORDS
 from lexmesh.plans.registry import register
 from lexmesh.session import materialize
 
@@ -355,6 +356,80 @@ def q_cross_val_score(spark, d):
     return TU.cross_val_score(training_table(spark, d), {}, cv=5, n_models=2, seed=0)
 
 
+# --- scoring with members that SQL can restate ------------------------------------------
+
+# A member of a category is a linear machine along the vector of one of its words: two
+# parameter sets of three members each, the six first words of the category.
+_LINEAR_CTES = """
+members AS (SELECT l.category, l.pos // 3 AS param_id, l.pos % 3 AS model_ix, w.vec FROM category_lexicon l
+            JOIN word_vectors w ON w.word = l.term WHERE l.category IN ('c0', 'c1') AND l.pos < 6),
+scores AS (SELECT w.word, m.category, m.param_id, m.model_ix, list_inner_product(w.vec, m.vec) AS f,
+           1.0 / (1.0 + exp(-4.0 * list_inner_product(w.vec, m.vec))) AS proba FROM word_vectors w, members m)
+"""
+
+
+def linear_members(spark, d):
+    """Members with given coefficients, as fitting would return them."""
+    wv = fx.word_vectors_meta(spark, d)
+    rows = fx.main_lexicon(spark, d, wv).where("pos < 6").join(wv, F.col("term") == F.col("word"))
+    dim, none = F.size("vec"), F.array().cast("array<double>")
+    members = rows.select(
+        "category", F.floor(F.col("pos") / 3).cast("int").alias("param_id"), F.lit(-1).alias("fold"),
+        (F.col("pos") % 3).cast("int").alias("model_ix"), F.lit("linear").alias("kernel"),
+        F.array_repeat(F.lit(0.0), dim).alias("mean"), F.array_repeat(F.lit(1.0), dim).alias("scale"),
+        none.alias("components"), F.lit(0).alias("n_comp"), F.lit(0).cast("bigint").alias("rff_seed"),
+        F.lit(1.0).alias("gamma"), F.lit(0).alias("n_rff"), F.col("vec").alias("coef"), F.lit(0.0).alias("intercept"),
+        F.lit(-4.0).alias("platt_a"), F.lit(0.0).alias("platt_b"), F.lit(0).alias("n_rows"), F.lit(0).alias("n_inside"),
+        F.lit("fourier").alias("solver"), none.alias("support"), F.lit(0.0).alias("gap"))
+    return materialize(members, "members")
+
+
+@register("linear_member_scores", sql=with_fixtures(
+    "SELECT word, category, CAST(param_id AS INTEGER) AS param_id, CAST(model_ix AS INTEGER) AS model_ix, "
+    "round(proba, 6) AS proba FROM scores", _LINEAR_CTES))
+def q_linear_member_scores(spark, d):
+    """Every member's probability of every word vector."""
+    out = EN.predict_proba(_word_vectors(spark, d), linear_members(spark, d), id_cols=("word",), level="member")
+    return out.select("word", "category", "param_id", "model_ix", F.round("proba", 6).alias("proba"))
+
+
+@register("linear_mean_proba", sql=with_fixtures(
+    "SELECT word, category, round(avg(p), 6) AS proba FROM (SELECT word, category, param_id, avg(proba) AS p "
+    "FROM scores GROUP BY word, category, param_id) GROUP BY word, category", _LINEAR_CTES))
+def q_linear_mean_proba(spark, d):
+    """Mean over members, then over parameter sets."""
+    out = EN.predict_proba(_word_vectors(spark, d), linear_members(spark, d), id_cols=("word",))
+    return out.select("word", "category", F.round("proba", 6).alias("proba"))
+
+
+@register("linear_hard_vote", sql=with_fixtures(
+    "SELECT word, category, round(avg(v), 6) AS share FROM (SELECT word, category, param_id, "
+    "avg(CAST(f > 0 AS INTEGER)) AS v FROM scores GROUP BY word, category, param_id) GROUP BY word, category",
+    _LINEAR_CTES))
+def q_linear_hard_vote(spark, d):
+    """Share of members that vote for the category."""
+    votes = EN.predict_proba(_word_vectors(spark, d), linear_members(spark, d), id_cols=("word",), level="member",
+                             run_fast=True)
+    return EN.hard_vote(votes, ("word",)).select("word", "category", F.round("proba", 6).alias("share"))
+
+
+@register("linear_predict_words", sql=with_fixtures(
+    "SELECT b.word, CAST(coalesce(max(p.proba) FILTER (p.category = 'c0'), 0.5) >= 0.5 AS INTEGER) AS c0, "
+    "CAST(coalesce(max(p.proba) FILTER (p.category = 'c1'), 0.5) >= 0.5 AS INTEGER) AS c1 FROM bench_words b "
+    "LEFT JOIN (SELECT word, category, avg(pp) AS proba FROM (SELECT word, category, param_id, avg(proba) AS pp "
+    "FROM scores GROUP BY word, category, param_id) GROUP BY word, category) p ON p.word = b.word GROUP BY b.word",
+    SQL_BENCH_WORDS.strip().rstrip(",") + "," + _LINEAR_CTES))
+def q_linear_predict_words(spark, d):
+    """Flags of the benchmark words through the fitted classifier's own method (M8, P12);
+    a word without a vector has a zero one, which every member gives 0.5."""
+    from lexmesh.operators.classifier import ClassifierModel
+    from lexmesh.plans.q_lexicon import _bench_words
+    wv = _word_vectors(spark, d)
+    dim = wv.agg(F.max(F.size("vec"))).first()[0]
+    model = ClassifierModel(linear_members(spark, d), MAIN, None, wv, dim)
+    return model.predict_words(_bench_words(spark, d)).select("word", "c0", "c1")
+
+
 # --- scoring operators checked against labels (O) --------------------------------------
 
 _CUTOFFS = [-1.0, -0.5, 0.0, 0.5, 1.0]
