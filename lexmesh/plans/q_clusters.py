@@ -277,3 +277,27 @@ def q_saved_pipeline(spark, d):
     Pipeline(stages=stages).fit(docs).write().save(f"{base}/model")
     out = PipelineModel.load(f"{base}/model").transform(docs)
     return out.select("doc_id", F.round("polarity", 6).alias("polarity"))
+
+
+@register("linear_predict_docs", sql=lambda: with_fixtures(
+    "SELECT doc_id, CAST(max(proba) FILTER (category = 'c0') >= 0.5 AS INTEGER) AS c0, "
+    "CAST(max(proba) FILTER (category = 'c1') >= 0.5 AS INTEGER) AS c1 FROM (SELECT doc_id, category, avg(p) AS proba "
+    "FROM (SELECT doc_id, category, param_id, avg(1.0 / (1.0 + exp(-4.0 * f))) AS p FROM doc_scores "
+    "GROUP BY doc_id, category, param_id) GROUP BY doc_id, category) GROUP BY doc_id",
+    _linear_ctes() + """, doc_scores AS (SELECT e.doc_id, m.category, m.param_id, m.model_ix, sum(e.value * m.x) AS f
+    FROM docvec e JOIN (SELECT category, param_id, model_ix, unnest(vec) AS x,
+    unnest(generate_series(0, len(vec) - 1)) AS i FROM members) m ON m.i = e.pos
+    GROUP BY e.doc_id, m.category, m.param_id, m.model_ix)""")())
+def q_linear_predict_docs(spark, d):
+    """Flags of every document through the fitted processor and classifier (M9, P12), with
+    members of given coefficients."""
+    from lexmesh.operators.classifier import ClassifierModel
+    from lexmesh.plans.q_models import linear_members
+    wv, p = _processor(spark, d, "tfidf")
+    model = ClassifierModel(linear_members(spark, d), ["c0", "c1"], p, p.word_vectors, p.dim)
+    return model.predict_docs(fx.table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "c0", "c1")
+
+
+def _linear_ctes() -> str:
+    from lexmesh.plans.q_models import _LINEAR_CTES
+    return _LINEAR_CTES.strip()
