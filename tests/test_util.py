@@ -1,5 +1,6 @@
 """Scale helpers: distributed row numbers, one partitioning by document, shared folder."""
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -61,3 +62,36 @@ def test_cluster_sessions_need_a_shared_folder():
 
     with pytest.raises(RuntimeError):
         ensure_checkpoint_dir(Session())
+
+
+def test_small_tables_are_sent_and_large_ones_are_not(spark):
+    from lexmesh.operators.util import sent_if_small
+    df = spark.createDataFrame([("a", 1, [1.0] * 10), (None, None, None)], "word string, n long, vec array<double>")
+    hint = "strategy=broadcast"
+    assert hint in sent_if_small(df)._jdf.queryExecution().analyzed().toString()
+    assert hint not in sent_if_small(df, 200)._jdf.queryExecution().analyzed().toString()
+    assert hint in sent_if_small(df.limit(0), 0)._jdf.queryExecution().analyzed().toString()
+
+
+def test_counts_and_cluster_rows_stay_with_their_documents(spark):
+    """A small vocabulary and the clustered words' vectors go to the documents, whatever
+    Spark's own limit: no exchange by word."""
+    from lexmesh.operators.clusters import doc_clusters
+    from lexmesh.operators.tfidf import tfidf_transform
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        tf = spark.createDataFrame([(d, w, 1) for d in range(6) for w in ("a", "b", "c")][:-2], "doc_id long, word string, tf long")
+        vocab = spark.createDataFrame([("a", 2.0), ("b", 1.0)], "word string, idf double")
+        weights = tfidf_transform(tf, vocab, counted=True)
+        wv = spark.createDataFrame([(w, [float(k), 1.0]) for k, w in enumerate("abc")], "word string, vec array<double>")
+        clusters = spark.createDataFrame([("a", 0), ("b", 0)], "word string, cluster_id long")
+        found = doc_clusters(weights, clusters, wv)
+        for df in (weights, found):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "hashpartitioning(word" not in plan and "BroadcastHashJoin" in plan
+        rows = {r.doc_id: r for r in found.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert sorted(rows) == list(range(6)) and rows[5].vec == [0.0, 1.0]
+    assert rows[0].vec[0] == pytest.approx(1 / 3) and rows[0].weight == pytest.approx(1)
