@@ -66,3 +66,39 @@ def test_empty_corpus(spark, docs):
     surfaces = CN.surface_counts(docs.where("doc_id < 0"))
     annotations = TK.derive_annotations(CN.distinct_surfaces(surfaces))
     assert CN.term_counts(surfaces, annotations, TK.stopword_list(spark)).collect() == []
+
+
+def test_cleaned_texts_move_once(docs):
+    plan = CN.counts_in_place(TK.clean_docs(docs))._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and plan.count("Exchange hashpartitioning(doc_id") == 1
+    assert "Exchange hashpartitioning(doc_id#" in plan and ", word#" not in \
+        "".join(x for x in plan.splitlines() if "Exchange" in x)
+
+
+@pytest.mark.parametrize("min_df, max_df", [(1, 1.0), (2, 0.6), (5, 0.95), (0.1, 30), (10, 1.0)])
+def test_vocabulary_from_surfaces_equals_that_from_counts(spark, docs, tables, min_df, max_df):
+    surfaces, _, stopwords = tables
+    # two surfaces of one word, also in one document; one surface of two words
+    annotations = spark.createDataFrame(
+        [("Haus", "Haus", "NOUN", None), ("Garten", "Haus", "NOUN", None), ("Auto", "auto", "VERB", None),
+         ("Weg", "weg", "ADV", None), ("Weg", "pfad", "NOUN", None), ("Baum", "Baum", "OTHER", None),
+         ("CDU", "cdu", "NOUN", "PER"), ("fehlt", "nie", "ADJ", None)], "surface string, lemma string, upos string, ent_type string")
+    want = TF.fit_tfidf(CN.term_counts(surfaces, annotations, stopwords), docs, min_df, max_df, counted=True)
+    got = TF.fit_surfaces(surfaces, TK.prepare_annotations(annotations, stopwords), docs, min_df, max_df)
+    assert sorted(got.vocab.collect()) == sorted(want.vocab.collect())
+    assert sorted(got.pruned.collect()) == sorted(want.pruned.collect()) and got.n_docs == want.n_docs
+
+
+def test_weights_of_the_processor_stay_with_their_documents(spark, docs, tables):
+    from lexmesh.operators.processor import fit_processor
+    surfaces, annotations, stopwords = tables
+    wv = spark.createDataFrame([(w, [1.0, float(k)]) for k, w in enumerate(["Haus", "haus", "baum", "Auto", "auto", "weg", "Weg"])],
+                               "word string, vec array<double>")
+    more = docs.unionByName(docs.limit(3))  # repeated ids
+    p = fit_processor(more, wv, annotations, stopwords, min_df=1, max_df=1.0)
+    got = p.weights(more)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1  # the texts
+    want = p.tfidf.transform(p.counts(more), counted=True)
+    rows = lambda df: sorted((r.doc_id, r.word, r.tf, round(r.weight, 12)) for r in df.collect())
+    assert rows(got) == rows(want) and len(rows(got)) > 40
