@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lexmesh.operators import augment as AU
 from lexmesh.operators import ensemble as EN
 from lexmesh.operators import tuning as TU
-from lexmesh.operators.draws import Drawn
+from lexmesh.operators.draws import Drawn, span_draws
 
 
 def training(spark, n=12, dim=5):
@@ -89,3 +89,32 @@ def test_a_fit_holds_a_block_of_rows_only(monkeypatch):
     assert max(seen) == 7
     for k in ("mean", "scale", "components", "gamma", "coef", "intercept", "platt_a"):
         assert np.allclose(got[k], one[k], atol=1e-6)
+
+
+@pytest.mark.parametrize("n_draw", [3, 9])
+def test_spans_name_the_draws(spark, monkeypatch, n_draw):
+    """A row for each draw was moved to every member; now a row for each span of them is."""
+    monkeypatch.setattr(AU, "SPAN", 7)
+    tr = TU.assign_folds(training(spark), 3)
+    args = dict(n_models=2, multiplier=2, multiplier_outside=2, n_draw=n_draw, seed=4, group_cols=("fold",))
+    spans = AU.ensemble_training_set(tr, spans=True, **args).collect()
+    got = {}
+    for s in spans:
+        pool, place, weights = span_draws(s.asDict())
+        for k in range(s.n):
+            got[s.fold, s.category, s.model_ix, s.inside, s.kind, s.sample_id + k] = (pool[k], [*(place[k] * 11 + weights[k])])
+    want = {(r.fold, r.category, r.model_ix, r.inside, r.kind, r.sample_id): (r.pool, r.draws)
+            for r in AU.ensemble_training_set(tr, vectors=False, **args).collect()}
+    assert got == want and len(spans) < len(want) / 3
+
+
+def test_machines_from_spans_are_those_from_draws(spark):
+    tr = TU.assign_folds(training(spark), 3).cache()
+    params = {0: {"n_rff": 16}}
+    found = []
+    for form in ({"vectors": False}, {"spans": True}):
+        rows = AU.member_rows(AU.ensemble_training_set(tr.drop("fold"), 2, 2, 2, **form), 2)
+        folded = AU.member_rows(AU.ensemble_training_set(tr, 2, 2, 2, group_cols=("fold",), **form), 2)
+        models = EN.fit_ensemble(rows, params, 1, tr.drop("fold"), 2).unionByName(EN.fit_folds(folded, params, 0, 2, tr, 2))
+        found.append(sorted(map(tuple, models.drop("components", "support").collect())))
+    assert found[0] == found[1] and len(found[0]) == 2 * 2 + 2 * 2 * 3
