@@ -102,3 +102,19 @@ def test_weights_of_the_processor_stay_with_their_documents(spark, docs, tables)
     want = p.tfidf.transform(p.counts(more), counted=True)
     rows = lambda df: sorted((r.doc_id, r.word, r.tf, round(r.weight, 12)) for r in df.collect())
     assert rows(got) == rows(want) and len(rows(got)) > 40
+
+
+def test_buckets_grow_with_the_text(spark, docs, monkeypatch):
+    """A bucket, which one task counts and sorts, had a share of the corpus that grew with it."""
+    from lexmesh.operators import util
+    least = CN.n_buckets(docs)
+    assert CN.text_buckets(docs) == least
+    monkeypatch.setattr(util, "TASK_TEXT", 100)
+    held = docs.agg(F.sum(F.octet_length("text"))).first()[0]
+    n = CN.text_buckets(docs)
+    assert n % least == 0 and held / 100 <= n < held / 100 + least
+    surfaces = CN.surface_counts(docs)
+    assert surfaces.groupBy("doc_id").count().rdd.getNumPartitions() == n
+    monkeypatch.undo()
+    want = CN.surface_counts(docs)
+    assert sorted(map(tuple, surfaces.collect())) == sorted(map(tuple, want.collect()))

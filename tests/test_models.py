@@ -148,3 +148,25 @@ def test_connected_components_on_chains(spark):
     got = {r["word"]: r["cluster_id"] for r in cluster_words(words, pairs).collect()}
     want = {f"w{i:03d}": (0 if i < 20 else (i if i < 25 else 25)) for i in range(n)}
     assert got == want
+
+
+def test_word_scores_go_to_the_documents(spark, monkeypatch):
+    """By the size of the vectors' files, not of the scores, every count was moved to its word and back."""
+    from lexmesh.operators import scaling as S
+    words = spark.createDataFrame([(f"w{k}", [float(k), 1.0]) for k in range(50)], "word string, vec array<double>")
+    docs = spark.createDataFrame([(k, " ".join(f"w{k * j % 60}" for j in range(k))) for k in range(30)] + [(99, None)],
+                                 "doc_id long, text string").repartition("doc_id")
+    axis = S.PolarityAxis([0.6, 0.8], 3)
+    default = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sent = S.doc_polarity_allwords(docs, words, axis)
+        assert "hashpartitioning(word" not in sent._jdf.queryExecution().executedPlan().toString()
+        monkeypatch.setattr(S, "SCORE_BYTES", 0)
+        by_word = S.doc_polarity_allwords(docs, words, axis)
+        assert "hashpartitioning(word" in by_word._jdf.queryExecution().executedPlan().toString()
+        got, want = ({r.doc_id: r.polarity for r in df.collect()} for df in (sent, by_word))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", default)
+    assert got.keys() == want.keys() and got[99] is None and got[0] is None
+    assert all(got[k] == pytest.approx(want[k]) for k in range(1, 30))

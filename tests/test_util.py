@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lexmesh.operators.util import global_row_number, spread
+from lexmesh.operators.util import global_row_number, spread, text_parts
 
 
 def test_global_row_number_equals_window(spark):
@@ -42,6 +42,18 @@ def test_spread_clusters_by_document(spark):
     assert counted._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
 
 
+def test_tasks_hold_a_bounded_share_of_the_text(spark):
+    """Adaptive execution joined partitions up to 64 MB of packed text, whose tokens take some twenty times that."""
+    docs = spark.createDataFrame([(k, "wort " * 40) for k in range(300)] + [(None, None)], "doc_id long, text string")
+    parts = text_parts(docs, task_bytes=1000)
+    assert parts == 300 * 200 // 1000
+    assert text_parts(docs.unionByName(docs), task_bytes=1000) == 2 * parts
+    assert text_parts(docs) is None and text_parts(docs.where("false")) is None
+    sizes = spread(docs, "doc_id", parts=parts).groupBy(F.spark_partition_id()).agg(
+        F.sum(F.octet_length("text")).alias("n")).collect()
+    assert len(sizes) > parts / 2 and max(r.n or 0 for r in sizes) < 4000
+
+
 def test_cluster_sessions_need_a_shared_folder():
     import pytest
     from lexmesh.session import ensure_checkpoint_dir
