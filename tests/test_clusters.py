@@ -118,3 +118,15 @@ def test_nothing_to_cluster(spark):
     lone = spark.createDataFrame([("x", [1.0, 0.0])], "word string, vec array<double>")
     forest = C.similarity_forest(one, lone)
     assert forest.count() == 0 and C.cut_forest(one, forest, .5).first()["cluster_id"] == 0
+
+
+def test_words_move_once_for_each_of_few_blocks(spark):
+    """In all directions nothing is pruned: a word moved up to 65 times."""
+    rng = np.random.default_rng(1)
+    vecs = rng.normal(size=(2500, 32))
+    words = spark.createDataFrame([(f"w{k:04d}", k) for k in range(len(vecs))], "word string, idx long")
+    vectors = spark.createDataFrame([(f"w{k:04d}", v.tolist()) for k, v in enumerate(vecs)], "word string, vec array<double>")
+    assert C.block_pairs(words, vectors, 0.5).count() <= len(vecs) * (C.BLOCKS + 1)
+    sims = cosines(vecs)
+    want = {(f"w{i:04d}", f"w{j:04d}") for i, j in zip(*np.nonzero(np.triu(sims >= .5, 1)))}
+    assert {(r.word_a, r.word_b) for r in C.similar_word_pairs(words, vectors, 0.5).collect()} == want and len(want) > 100
